@@ -87,7 +87,7 @@ def fuse_chunks(dense: DataFrame, reranked: DataFrame, dense_weight: float = 0.2
     return with_rank(
         pair.withColumn("score", score),
         ["qid"],
-        [F.col("score").desc(), F.col("rerank_rank"), F.col("dense_rank"), F.col("chunk_id")],
+        [F.col("score").desc(), F.col("dense_rank"), F.col("rerank_rank"), F.col("chunk_id")],
     )
 
 
