@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexatlas.functions.unicode import normalized
+from lexatlas.functions.unicode import let, normalized
 
 # Character classes equal to the Unicode word, white-space and
 # line-break classes of the published results.
@@ -59,23 +59,29 @@ def bigrams(tokens: Column) -> Column:
     )
 
 
-def trigrams(tokens: Column) -> Column:
-    return F.array_compact(
-        F.zip_with(
-            bigrams(tokens), F.slice(tokens, F.lit(3), F.size(tokens)), lambda a, b: F.concat(a, F.lit(" "), b)
-        )
-    )
-
-
 def ngrams_1_to_3(tokens: Column) -> Column:
     """All 1-, 2- and 3-grams in one array (STR-08)."""
-    return F.concat(tokens, bigrams(tokens), trigrams(tokens))
+    return let(
+        tokens,
+        lambda t: let(
+            bigrams(t),
+            lambda pairs: F.concat(
+                t,
+                pairs,
+                F.array_compact(
+                    F.zip_with(pairs, F.slice(t, F.lit(3), F.size(t)), lambda a, b: F.concat(a, F.lit(" "), b))
+                ),
+            ),
+        ),
+    )
 
 
 def lines(text: Column) -> Column:
     """Physical lines; a final line break opens no further line."""
-    parts = F.split(text, LINE_BREAK)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(
+        F.split(text, LINE_BREAK),
+        lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts),
+    )
 
 
 def paragraphs(text: Column) -> Column:
@@ -101,8 +107,8 @@ def first_words(text: Column, count: int | Column) -> Column:
 
 def jaccard(left: Column, right: Column) -> Column:
     """Set similarity; two empty sets give zero (NUM-03)."""
-    union = F.size(F.array_union(left, right))
-    return F.when(union > 0, F.size(F.array_intersect(left, right)) / union).otherwise(F.lit(0.0))
+    common = F.size(F.array_intersect(left, right))
+    return let(F.size(F.array_union(left, right)), lambda union: F.when(union > 0, common / union).otherwise(F.lit(0.0)))
 
 
 def slug_words(path: Column) -> Column:

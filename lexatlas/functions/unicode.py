@@ -21,26 +21,40 @@ from pyspark.sql import functions as F
 _PLAIN_BLOCKS = ((0x0000, 0x02FF), (0x1E00, 0x1EFF), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20BF))
 
 
-def _class_of(points: Iterable[int]) -> str:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _runs(points: Iterable[int], gap: int = 0) -> list[list[int]]:
+    """Consecutive points as ranges; ``gap`` also bridges small holes."""
     runs: list[list[int]] = []
-    for point in points:
-        if runs and point == runs[-1][1] + 1:
+    for point in sorted(points):
+        if runs and point <= runs[-1][1] + 1 + gap:
             runs[-1][1] = point
         else:
             runs.append([point, point])
+    return runs
+
+
+def _class_of(runs: Iterable[Iterable[int]]) -> str:
     return "".join(rf"\x{{{lo:04X}}}-\x{{{hi:04X}}}" for lo, hi in runs)
 
 
 @lru_cache(maxsize=None)
 def unsafe_pattern(form: str) -> str:
-    """Regex that finds a character the form might change."""
+    """Regex that finds a character the form might change.
+
+    Short runs of stable characters are left out to keep the class small; their
+    texts merely take the exact path.
+    """
     keep = [
         point
         for low, high in _PLAIN_BLOCKS
         for point in range(low, high + 1)
         if unicodedata.normalize(form, chr(point)) == chr(point)
     ]
-    return f"[^{_class_of(keep)}]"
+    return f"[^{_class_of(run for run in _runs(keep) if run[1] - run[0] > 4)}đ]"
 
 
 @lru_cache(maxsize=None)
@@ -69,18 +83,29 @@ def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(source), "".join(target), tuple(long)
 
 
+@lru_cache(maxsize=None)
+def _fold_pattern() -> str:
+    """Regex that finds a character lower-casing does not fold (a superset)."""
+    source, _, long = _fold_tables()
+    return f"[{_class_of(_runs([*map(ord, source), *(ord(char) for char, _ in long)], gap=48))}]"
+
+
 def casefold(text: Column) -> Column:
     """Full case folding inside the JVM (STR-03).
 
-    Lower-casing does nearly all of it; the rest is one ``translate`` plus, only
-    where such a character occurs, the expansions of ``ß`` and its like.
+    Lower-casing does nearly all of it.  Only texts with one of the remaining
+    characters go through a ``translate`` and the expansions of ``ß`` and its
+    like.
     """
     source, target, long = _fold_tables()
-    folded = F.translate(F.lower(text), source, target)
-    expanded = folded
-    for char, letters in long:
-        expanded = F.replace(expanded, F.lit(char), F.lit(letters))
-    return F.when(folded.rlike(f"[{''.join(char for char, _ in long)}]"), expanded).otherwise(folded)
+
+    def finish(lowered: Column) -> Column:
+        expanded = F.translate(lowered, source, target)
+        for char, letters in long:
+            expanded = F.replace(expanded, F.lit(char), F.lit(letters))
+        return F.when(lowered.rlike(_fold_pattern()), expanded).otherwise(lowered)
+
+    return let(F.lower(text), finish)
 
 
 def normalized(text: Column, form: str = "NFC", fold: bool = False) -> Column:
@@ -89,8 +114,8 @@ def normalized(text: Column, form: str = "NFC", fold: bool = False) -> Column:
     The Arrow UDF forgets how rows are placed, so callers normalise before they
     repartition, never between two windows.
     """
-    needs_python = text.rlike(unsafe_pattern(form))
-    result = F.when(needs_python, _normaliser(form)(F.when(needs_python, text))).otherwise(text)
+    changed = _normaliser(form)(F.when(text.rlike(unsafe_pattern(form)), text))
+    result = F.coalesce(changed, text)
     return casefold(result) if fold else result
 
 

@@ -14,14 +14,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexatlas.functions import text as tx
-from lexatlas.operators.joins import bounded_join, fits_broadcast
+from lexatlas.operators.joins import bounded_join, fits_broadcast, spread
 
 # BM25 parameters and depth of the published results.
 K1 = 0.7
 B = 0.3
 TOP_K = 100
 
-_DOC_MARK = ""  # pseudo term: one row per document that carries its length
+#: Questions up to this size (bytes) are broadcast with their vocabulary, which
+#: is at most about seven times as large.
+QUESTION_BYTES = 8 << 20
+
+DOC_MARK = ""  # pseudo term: one row per document that carries its length
 
 
 @dataclass(frozen=True)
@@ -30,8 +34,9 @@ class Bm25Parts:
 
     postings: DataFrame  # doc_id, term, tf, dl
     stats: DataFrame  # one row: doc_count, avg_length
-    frequencies: DataFrame  # term, df
+    frequencies: DataFrame  # term, df; the document mark is the term ""
     vocabulary: DataFrame  # term, n
+    small: bool  # the questions, and with them the vocabulary, may be broadcast
 
 
 def vocabulary(questions: DataFrame, text: str = "question") -> DataFrame:
@@ -45,12 +50,14 @@ def vocabulary(questions: DataFrame, text: str = "question") -> DataFrame:
     )
 
 
-def question_terms(questions: DataFrame, vocab: DataFrame, qid: str = "qid", text: str = "question") -> DataFrame:
+def question_terms(
+    questions: DataFrame, vocab: DataFrame, qid: str = "qid", text: str = "question", broadcast: bool | None = None
+) -> DataFrame:
     """Terms present in each question; questions are read with plain lower case."""
     terms = questions.select(F.col(qid).alias("qid"), tx.word_tokens(F.col(text)).alias("t")).select(
         "qid", F.explode(F.array_distinct(tx.ngrams_1_to_3(F.col("t")))).alias("term")
     )
-    return bounded_join(terms, vocab, ["term"], F.col("qid"))
+    return bounded_join(terms, vocab, ["term"], F.col("qid"), broadcast=broadcast)
 
 
 def parts(
@@ -59,27 +66,41 @@ def parts(
     question: str = "question",
     doc_id: str = "doc_id",
     text: str = "text",
+    broadcast: bool | None = None,
 ) -> Bm25Parts:
+    """Postings, corpus statistics and document frequencies (A-06).
+
+    A question set that fits a broadcast has a vocabulary that does, as it holds
+    at most three n-grams per question word; the questions are measured once.
+    """
+    small = fits_broadcast(questions.select(question), max_bytes=QUESTION_BYTES) if broadcast is None else broadcast
     vocab = vocabulary(questions, question)
-    marks = questions.sparkSession.createDataFrame([(_DOC_MARK, 0)], "term string, n int")
-    known = vocab.select("term").unionByName(marks.select("term"))
-    tokens = documents.select(F.col(doc_id).alias("doc_id"), tx.word_tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    mark = questions.sparkSession.range(1).select(F.lit(DOC_MARK).alias("term"))
+    known = vocab.select("term").unionByName(mark)
+    texts = spread(documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
+    tokens = texts.select("doc_id", tx.word_tokens(F.col("text")).alias("t"))
     terms = tokens.select(
         "doc_id",
         F.greatest(F.size("t"), F.lit(1)).alias("dl"),
-        F.explode(F.concat(F.array(F.lit(_DOC_MARK)), tx.ngrams_1_to_3(F.col("t")))).alias("term"),
+        F.explode(F.concat(F.array(F.lit(DOC_MARK)), tx.ngrams_1_to_3(F.col("t")))).alias("term"),
     )
-    hits = bounded_join(terms, known, ["term"], F.col("doc_id"), "left_semi")
+    hits = bounded_join(terms, known, ["term"], F.col("doc_id"), "left_semi", broadcast=small)
     # Place by document before counting: the pairs of one document are counted,
     # weighted and summed in one task, so (question, document, term) triples
     # never cross the network.
     placed = hits.repartition("doc_id")
-    postings = placed.where(F.col("term") != _DOC_MARK).groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    stats = placed.where(F.col("term") == _DOC_MARK).agg(
-        F.count(F.lit(1)).alias("doc_count"), F.avg("dl").alias("avg_length")
+    postings = placed.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    # The document mark is counted like a term: its df is the number of documents
+    # and its summed length gives the average.  It is picked out by conditional
+    # aggregates, as a filter would be pushed down and tokenise the corpus again.
+    per_term = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("length"))
+    is_mark = F.col("term") == DOC_MARK
+    stats = per_term.agg(
+        F.max(F.when(is_mark, F.col("df"))).alias("doc_count"),
+        F.max(F.when(is_mark, F.col("length") / F.col("df"))).alias("avg_length"),
     )
-    frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return Bm25Parts(postings, stats, frequencies, vocab)
+    frequencies = per_term.select("term", "df")
+    return Bm25Parts(postings, stats, frequencies, vocab, small)
 
 
 def weight(tf: Column, dl: Column, df: Column, n: Column, doc_count: Column, avg_length: Column) -> Column:
@@ -99,13 +120,13 @@ def scores(
 ) -> DataFrame:
     """Positive BM25 scores (qid, doc_id, score)."""
     p = parts(questions, documents, question, doc_id, text)
-    asked = question_terms(questions, p.vocabulary, qid, question)
-    # idf per (question, term); no larger than the questions themselves.
-    asked = asked.join(p.frequencies, "term")
-    if fits_broadcast(questions.select(qid, question)):
-        asked = F.broadcast(asked)
-        matched = p.postings.join(asked, "term")
+    asked = question_terms(questions, p.vocabulary, qid, question, p.small)
+    # df per (question, term); no larger than the questions themselves
+    if p.small:
+        asked = asked.join(F.broadcast(p.frequencies), "term")
+        matched = p.postings.join(F.broadcast(asked), "term")
     else:
+        asked = asked.join(p.frequencies, "term")
         matched = bounded_join(p.postings, asked, ["term"], F.col("doc_id"), broadcast=False).repartition("doc_id")
     weighted = matched.join(F.broadcast(p.stats)).select(
         "qid",

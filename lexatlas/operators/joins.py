@@ -64,3 +64,18 @@ def bounded_join(
     if broadcast:
         return big.join(F.broadcast(small), list(keys), how)
     return salted_join(big, small, keys, spread, how)
+
+
+#: Estimated bytes per core below which a scan has too few tasks to fill them.
+SMALL_SCAN = 8 << 20
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """Spread a small scan over all cores before costly per-row work.
+
+    Large inputs already come in many splits and are returned as they are.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    plan = frame._jdf.queryExecution().optimizedPlan()
+    small = int(str(plan.stats().sizeInBytes())) < SMALL_SCAN * cores
+    return frame.repartition(cores) if small and "Repartition" not in plan.toString() else frame

@@ -8,6 +8,8 @@ no model; their results say nothing about model quality.
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -39,23 +41,35 @@ def embed_texts(
     With ``max_words`` longer texts are embedded in windows and mean-pooled.
     """
     source = rows.select(key, F.explode(token_windows(F.col(text), max_words, overlap)).alias("t")) if max_words else rows.select(key, F.col(text).alias("t"))
-    if factory is None:
-        embedded = source.select(key, vectors.hashed_embedding(F.col("t"), dimension).alias("v")).where("v is not null")
-        embedded = embedded.where(vectors.norm(F.col("v")) > 0)
-    else:
+    build = factory or (lambda: hashing_encoder(dimension))
 
-        @F.pandas_udf("array<float>")
-        def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = factory()
-            for batch in batches:
-                yield pd.Series(list(np.asarray(model(list(batch)), dtype=np.float32)))
+    @F.pandas_udf("array<float>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = build()
+        for batch in batches:
+            yield pd.Series(list(np.asarray(model(list(batch)), dtype=np.float32)))
 
-        embedded = source.select(key, encode("t").alias("v"))
+    embedded = source.select(key, encode("t").alias("v"))
+    if factory is None:  # a text without words has no direction
+        embedded = embedded.where(F.exists("v", lambda x: x != 0))
     if max_words:
         return vectors.pooled(embedded, key, "v").select(key, F.transform("v", lambda x: x.cast("float")).alias("v"))
     return embedded.select(key, vectors.unit(F.col("v")).alias("v"))
 
 
+def hashing_encoder(dimension: int) -> Embed:
+    """Stand-in encoder: signed hashed word counts, no claim about quality."""
+
+    def encode(texts: Sequence[str]) -> np.ndarray:
+        rows = np.zeros((len(texts), dimension), dtype=np.float32)
+        for row, text in zip(rows, texts, strict=True):
+            codes = np.fromiter((zlib.crc32(w.encode()) for w in re.findall(r"\w+", text.lower())), dtype=np.int64)
+            np.add.at(row, codes % dimension, np.where(codes & (1 << 30), 1.0, -1.0))
+        return rows
+
+    return encode
+
+
 def lexical_overlap(question: Column, text: Column) -> Column:
     """Share of question words found in the text; the default pair scorer."""
     asked = F.array_distinct(tx.word_tokens(question))

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexatlas.operators.joins import spread
+
 #: Largest question matrix (bytes) that is shipped to every executor.
 QUERY_BYTES = 32 << 20
 #: Rows of one fragment on either side of a grid cell.
@@ -136,12 +138,12 @@ def _grid_search(vectors: DataFrame, questions: DataFrame, k: int, rows: int, as
     down, across = max(1, math.ceil(rows / fragment)), max(1, math.ceil(asked / fragment))
     left = vectors.select(
         F.pmod(F.xxhash64("vec_id"), F.lit(down)).alias("r"),
-        F.explode(F.sequence(F.lit(0), F.lit(across - 1))).cast("long").alias("c"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))).alias("c"),
         "vec_id",
         "v",
     )
     right = questions.select(
-        F.explode(F.sequence(F.lit(0), F.lit(down - 1))).cast("long").alias("r"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))).alias("r"),
         F.pmod(F.xxhash64("qid"), F.lit(across)).alias("c"),
         "qid",
         "v",
@@ -173,6 +175,7 @@ def nearest(
     """
     asked = questions.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
     count, dimension = asked["n"], asked["d"] or 0
+    vectors = spread(vectors)
     if count * dimension * 8 <= query_bytes:
         table = questions.select(F.col("qid").cast("long"), "v").toArrow()
         matrix = _matrix(table["v"], table.num_rows)
@@ -214,28 +217,6 @@ def delete(existing: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return existing.join(keys.select(key).distinct(), key, "left_anti")
 
 
-def hashed_embedding(text: Column, dimension: int = 64) -> Column:
-    """Deterministic stand-in for a text encoder: signed hashed word counts.
-
-    It lets every dense operator run without a model; it makes no claim about
-    retrieval quality.
-    """
-    from lexatlas.functions.text import word_tokens
-
-    tokens = word_tokens(text)
-    hashes = F.transform(tokens, lambda t: F.xxhash64(t))
-    slots = F.sequence(F.lit(0), F.lit(dimension - 1))
-    raw = F.transform(
-        slots,
-        lambda slot: F.aggregate(
-            hashes,
-            F.lit(0.0),
-            lambda acc, h: acc + F.when(F.pmod(h, F.lit(dimension)) == slot, F.when(h < 0, -1.0).otherwise(1.0)).otherwise(0.0),
-        ).cast("float"),
-    )
-    return F.when(F.size(tokens) > 0, raw)
-
-
 VECTOR_SCHEMA = T.StructType(
     [
         T.StructField("vec_id", T.LongType(), False),
