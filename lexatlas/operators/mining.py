@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,7 +93,8 @@ def select_negatives(questions: DataFrame, gold: DataFrame, candidates: DataFram
     ).select("qid", "source", "source_order", "doc_id", "e.*")
     unique = unique.withColumn("tokens", long_tokens(F.coalesce("text", F.lit(""))))
     is_gold = gold.select("qid", "doc_id", F.lit(True).alias("is_gold")).distinct()
-    judged = unique.join(is_gold, ["qid", "doc_id"], "left")
+    # read four times below; no larger than the candidate pool
+    judged = unique.join(is_gold, ["qid", "doc_id"], "left").persist(StorageLevel.DISK_ONLY)
     positives = (
         judged.where("is_gold")
         .groupBy("qid", "doc_id")
