@@ -82,7 +82,7 @@ def parts(
     terms = tokens.select(
         "doc_id",
         F.greatest(F.size("t"), F.lit(1)).alias("dl"),
-        F.explode(F.concat(F.array(F.lit(DOC_MARK)), tx.ngrams_1_to_3(F.col("t")))).alias("term"),
+        F.explode_outer(F.concat(F.array(F.lit(DOC_MARK)), tx.ngrams_1_to_3(F.col("t")))).alias("term"),
     )
     hits = bounded_join(terms, known, ["term"], F.col("doc_id"), "left_semi", broadcast=small)
     # Place by document before counting: the pairs of one document are counted,

@@ -142,9 +142,9 @@ def _doc_flags(parsed: DataFrame) -> DataFrame:
     listed = F.when(
         has, F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in warnings.items()]))
     ).otherwise(F.array().cast("array<string>"))
-    marker = F.col("piece")
+    lowered = F.lower("piece")
     # the first label of the list that occurs anywhere in the text
-    positions = [F.max(F.contains(casefold(marker), F.lit(name.casefold()))).over(doc) for name in P.FALLBACK_LABELS]
+    positions = [F.max(F.contains(lowered, F.lit(name.lower()))).over(doc) for name in P.FALLBACK_LABELS]
     label = F.coalesce(*[F.when(found, F.lit(name)) for name, found in zip(P.FALLBACK_LABELS, positions, strict=True)])
     return (
         rows.withColumn("structure_warnings", listed)
@@ -225,7 +225,7 @@ def segments(documents: DataFrame, text: str = "cleaned_text", placed: bool = Fa
             member(whole, "document", F.col("piece")),
         )
     )
-    exploded = rows.withColumn("m", F.explode(members)).drop("article_seq", "clause_seq", "point_seq", "piece")
+    exploded = rows.withColumn("m", F.explode_outer(members)).where(F.col("m").isNotNull()).drop("article_seq", "clause_seq", "point_seq", "piece")
     keys = ["doc_id", F.col("m.segment"), F.col("m.article_seq"), F.col("m.clause_seq"), F.col("m.point_seq"), F.col("m.gap")]
     body = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col("m.piece").alias("piece")))), lambda e: e["piece"]), ""
@@ -364,14 +364,14 @@ def chunk_records(
         F.when(is_article, label("clause")).alias("clause"),
         F.when(is_article, label("point")).alias("point"),
         F.size("parts").alias("n_parts"),
-        F.explode(
+        F.explode_outer(
             F.concat(
                 F.when(F.col("parent_text").isNotNull() & (F.col("para") == 0), F.array(F.struct(F.lit("parent").alias("record"), F.lit(0).alias("part"), F.col("parent_text").alias("text"))))
                 .otherwise(F.array().cast("array<struct<record:string,part:int,text:string>>")),
                 F.transform("parts", lambda t, i: F.struct(F.lit("chunk").alias("record"), (i + 1).alias("part"), t.alias("text"))),
             )
         ).alias("r"),
-    ).select("*", "r.*").drop("r")
+    ).where(F.col("r").isNotNull()).select("*", "r.*").drop("r")
     is_chunk = F.col("record") == "chunk"
     always_numbered = F.col("structure_type").isin("document_context", "unstructured_fallback")
     number = F.row_number().over(Window.partitionBy("doc_id", "record", "parent_id", "chunk_base").orderBy("seq", "para", "part"))

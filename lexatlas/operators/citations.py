@@ -7,13 +7,14 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexatlas.functions import patterns as P
 from lexatlas.functions import text as tx
 from lexatlas.functions.unicode import casefold
 from lexatlas.operators.ranking import with_rank
 
-_FIELDS = "array<struct<law_name:string,article:string,clause:string,point:string>>"
+_FIELDS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("law_name", "article", "clause", "point")]))
 
 # Inline forms.  The leading words belong to the match, so law
 # names are looked for before them.
@@ -94,7 +95,7 @@ def parse_citations(answers: DataFrame, answer: str = "answer") -> DataFrame:
     first = answers.select("qid", F.col(answer).alias("_a"), bracketed(F.col(answer)).alias("_b"))
     second = _inline(F.when((F.size("_b") == 0) & F.col("_a").rlike("[Đđ]i[ềê]u"), F.col("_a")))
     merged = first.select("qid", F.when(F.size("_b") > 0, F.col("_b")).otherwise(second).alias("c"))
-    return merged.select("qid", F.posexplode("c").alias("at", "c")).select("qid", (F.col("at") + 1).alias("n"), "c.*")
+    return merged.select("qid", F.posexplode_outer("c").alias("at", "c")).where(F.col("c").isNotNull()).select("qid", (F.col("at") + 1).alias("n"), "c.*")
 
 
 def match_key(text: Column) -> Column:

@@ -145,7 +145,8 @@ def expand_parents(hits: DataFrame, parents: DataFrame, max_parent: int = BASE_B
             F.collect_list(F.struct(F.col("place").cast("int").alias("place"), "doc_id", F.col("parent_id"), "chunk_id", usable.alias("parent_text"), "anchors"))
         ).alias("groups")
     )
-    contexts = listed.select("qid", "groups", F.posexplode(_expander(max_parent, max_total)(F.col("groups"))).alias("at", "c"))
+    contexts = listed.select("qid", "groups", F.posexplode_outer(_expander(max_parent, max_total)(F.col("groups"))).alias("at", "c"))
+    contexts = contexts.where(F.col("c").isNotNull())
     group = F.get(F.filter("groups", lambda g: g["place"] == F.col("c.place")), F.lit(0))
     return contexts.select(
         "qid", (F.col("at") + 1).alias("rank"), group["doc_id"].alias("doc_id"), group["parent_id"].alias("parent_id"),

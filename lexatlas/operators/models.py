@@ -40,7 +40,7 @@ def embed_texts(
 
     With ``max_words`` longer texts are embedded in windows and mean-pooled.
     """
-    source = rows.select(key, F.explode(token_windows(F.col(text), max_words, overlap)).alias("t")) if max_words else rows.select(key, F.col(text).alias("t"))
+    source = rows.select(key, F.explode_outer(token_windows(F.col(text), max_words, overlap)).alias("t")).where("t is not null") if max_words else rows.select(key, F.col(text).alias("t"))
     build = factory or (lambda: hashing_encoder(dimension))
 
     @F.pandas_udf("array<float>")

@@ -106,7 +106,7 @@ def logical_lines(documents: DataFrame, text: str = "cleaned_text", carry: tuple
         .otherwise(F.array(piece(0, n, tx.strip(line), False)))
     )
     return lines.withColumn("suspected", suspected).select(
-        "doc_id", *carry, "n", "piece", "line", "suspected", F.inline(parts)
+        "doc_id", *carry, "n", "piece", "line", "suspected", F.inline_outer(parts)
     ).withColumn("seq", F.col("n") * 2 + F.col("sub"))
 
 
@@ -227,7 +227,8 @@ def nodes(parsed: DataFrame) -> DataFrame:
     member = (
         parsed.where(F.col("live") & (F.col("kind") != "appendix"))
         .withColumn("deepest", deepest)
-        .withColumn("node", F.explode(opened))
+        .withColumn("node", F.explode_outer(opened))
+        .where(F.col("node").isNotNull())
     )
     in_order = lambda cond: F.array_join(
         F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("seq", "text")))), lambda e: e["text"]), "\n"

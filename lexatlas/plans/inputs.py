@@ -44,7 +44,7 @@ def gold(spark: SparkSession, folder: str) -> DataFrame:
     size = F.least(F.lit(3), F.size(tokens))
     keys = asked.select("qid", "question", anchor.alias("term"), size.alias("n"))
     texts = documents(spark, folder).select("doc_id", "text")
-    terms = F.explode(F.array_distinct(tx.ngrams_1_to_3(tx.word_tokens(F.col("text")))))
+    terms = F.explode_outer(F.array_distinct(tx.ngrams_1_to_3(tx.word_tokens(F.col("text")))))
     if fits_broadcast(keys):
         pairs = texts.select("doc_id", "text", terms.alias("term")).join(F.broadcast(keys), "term")
         return pairs.where(F.contains("text", F.col("question"))).select("qid", "doc_id").distinct()

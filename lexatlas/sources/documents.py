@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexatlas.functions import text as tx
 from lexatlas.functions.unicode import document_slug
@@ -27,7 +28,7 @@ def _stem(path: Column) -> Column:
     return F.regexp_replace(_file_name(path), r"\.[^.]*$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode_json(content: pd.Series) -> pd.Series:
     """First of UTF-8 (with or without BOM), UTF-16, UTF-32 that decodes."""
 
@@ -42,7 +43,7 @@ def _decode_json(content: pd.Series) -> pd.Series:
     return content.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode_text(content: pd.Series) -> pd.Series:
     """UTF-8 if valid, else a detected charset if a detector is present."""
 
