@@ -45,13 +45,14 @@ t AS (SELECT qid, question, generated, pos, trim(regexp_replace(raw, '\s+', ' ',
 f AS (SELECT *, row_number() OVER (PARTITION BY qid, array_to_string(w, ' ') ORDER BY pos) AS copy FROM t WHERE len(w) >= 3),
 i AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos) - 1 AS idx, list_distinct({_words('question')}) AS q, list_distinct({_words('generated')}) AS g, {_words('question')} AS qw, {_words('generated')} AS gw FROM f WHERE copy = 1),
 p AS (SELECT *, list_distinct(w) AS ws, {_pairs('w')} AS wp, {_pairs('qw')} AS qp, {_pairs('gw')} AS gp, list_filter(q, lambda x: regexp_matches(x, '\p{{Nd}}')) AS num FROM i)
-SELECT qid, idx, sha256(unit) AS unit_hash, round(3.0::DOUBLE * len(list_intersect(q, ws)) / greatest(1, len(q)) + 2.0::DOUBLE * len(list_intersect(qp, wp)) / greatest(1, len(qp)) + 1.2::DOUBLE * len(list_intersect(num, ws)) / greatest(1, len(num))
+SELECT qid, idx, sha256(unit) AS unit_hash, round(round(3.0::DOUBLE * len(list_intersect(q, ws)) / greatest(1, len(q)) + 2.0::DOUBLE * len(list_intersect(qp, wp)) / greatest(1, len(qp)) + 1.2::DOUBLE * len(list_intersect(num, ws)) / greatest(1, len(num))
  + 0.7::DOUBLE * len(list_filter(list_intersect(q, ws), lambda x: NOT list_contains(g, x))) / greatest(1, len(q)) - 0.9::DOUBLE * len(list_intersect(ws, g)) / (len(ws) + len(g) - len(list_intersect(ws, g)))
- - 0.4::DOUBLE * len(list_intersect(gp, wp)) / greatest(1, len(wp)) - 0.3::DOUBLE * greatest(0, (len(w) - 90) / 180.0::DOUBLE) - 0.0005::DOUBLE * idx, 6) AS score FROM p""")
+ - 0.4::DOUBLE * len(list_intersect(gp, wp)) / greatest(1, len(wp)) - 0.3::DOUBLE * greatest(0, (len(w) - 90) / 180.0::DOUBLE) - 0.0005::DOUBLE * idx, 9), 6) AS score FROM p""")
 def sentence_scores(spark, folder):
     rows = turn_pairs(spark, folder)
     units = rows.select("qid", answers.sentence_table(F.col("extractive")).alias("u"), *[tx.folded_word_tokens(F.col(c)).alias(c) for c in ("question", "generated")])
-    scored = units.select("qid", F.explode_outer(answers.sentence_scores(F.col("u"), F.col("question"), F.col("generated"))).alias("s")).where(F.col("s").isNotNull())
+    rated = answers.score_sentences(units, "u", "question", "generated", "rated")
+    scored = rated.select("qid", F.explode_outer("rated").alias("s")).where(F.col("s").isNotNull())
     return scored.select("qid", F.col("s.idx").cast("long").alias("idx"), F.sha2("s.unit", 256).alias("unit_hash"), F.round("s.score", 6).alias("score"))
 
 
