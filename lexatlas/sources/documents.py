@@ -108,11 +108,13 @@ def _parsed(rows: DataFrame, raw: str) -> DataFrame:
     """Adds ``record`` (first object of a list root) and ``valid``."""
     trimmed = F.ltrim(F.col(raw))
     one = F.from_json(F.when(trimmed.startswith("{"), F.col(raw)), "map<string,string>")
-    many = F.from_json(F.when(trimmed.startswith("["), F.col(raw)), "array<map<string,string>>")
+    # elements of a list stay JSON text, so one that is no object does no harm
+    items = F.from_json(F.when(trimmed.startswith("["), F.col(raw)), "array<string>")
+    first = F.get(F.filter(items, lambda item: F.ltrim(item).startswith("{")), F.lit(0))
     return rows.withColumns(
         {
             "valid": F.try_parse_json(F.col(raw)).isNotNull(),
-            "record": F.coalesce(one, F.get(F.filter(many, lambda m: m.isNotNull()), F.lit(0))),
+            "record": F.coalesce(one, F.from_json(first, "map<string,string>")),
         }
     )
 
