@@ -83,15 +83,17 @@ def select_negatives(questions: DataFrame, gold: DataFrame, candidates: DataFram
     """Negatives of each question within the per-strength limits (F-09, TK-07, UDT-13).
 
     ``candidates``: qid, doc_id, source, rank, score, text, law_name, ambiguous;
-    ``source_order`` is optional and decides whose text a positive takes.
+    ``source_order`` is optional and decides whose text a positive takes;
+    ``tokens`` may hold the :func:`long_tokens` of the text already.
     """
+    if "tokens" not in candidates.columns:
+        candidates = candidates.withColumn("tokens", long_tokens(F.coalesce("text", F.lit(""))))
     if "source_order" not in candidates.columns:
         candidates = candidates.withColumn("source_order", F.col("source"))
     # one entry per (source, question, document): the first one listed
     unique = candidates.groupBy("qid", "source", "source_order", "doc_id").agg(
-        F.min_by(F.struct("rank", "score", "text", "law_name", "ambiguous"), "rank").alias("e")
+        F.min_by(F.struct("rank", "score", "text", "law_name", "ambiguous", "tokens"), "rank").alias("e")
     ).select("qid", "source", "source_order", "doc_id", "e.*")
-    unique = unique.withColumn("tokens", long_tokens(F.coalesce("text", F.lit(""))))
     is_gold = gold.select("qid", "doc_id", F.lit(True).alias("is_gold")).distinct()
     # read four times below; no larger than the candidate pool
     judged = unique.join(is_gold, ["qid", "doc_id"], "left").persist(StorageLevel.DISK_ONLY)
@@ -110,7 +112,10 @@ def select_negatives(questions: DataFrame, gold: DataFrame, candidates: DataFram
         .join(laws, ["qid", "law"], "left")
         .withColumn("same_law", F.coalesce("same_law", F.lit(False)))
         .join(asked, "qid")
-        .withColumn("shared_tokens", F.size(F.array_intersect("tokens", "qtokens")))
+        .withColumn(
+            "shared_tokens",
+            F.when(F.col("rank").between(limits.semi_min, limits.semi_max), F.size(F.array_intersect("tokens", "qtokens"))),
+        )
         .withColumn("negative_type", negative_type(limits))
         .where("negative_type is not null")
         .withColumn("strength", strength(limits))

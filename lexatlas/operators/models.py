@@ -72,8 +72,12 @@ def hashing_encoder(dimension: int) -> Embed:
 
 def lexical_overlap(question: Column, text: Column) -> Column:
     """Share of question words found in the text; the default pair scorer."""
-    asked = F.array_distinct(tx.word_tokens(question))
-    return F.size(F.array_intersect(asked, tx.word_tokens(text))) / F.greatest(F.size(asked), F.lit(1))
+    return word_overlap(tx.word_tokens(question), tx.word_tokens(text))
+
+
+def word_overlap(asked: Column, found: Column) -> Column:
+    """:func:`lexical_overlap` of texts that are tokenised already."""
+    return F.size(F.array_intersect(asked, found)) / F.greatest(F.size(F.array_distinct(asked)), F.lit(1))
 
 
 def score_pairs(pairs: DataFrame, question: str, text: str, factory: Callable[[], Score] | None = None) -> DataFrame:

@@ -304,7 +304,7 @@ def negatives(spark, folder):
 @query("near_duplicate_exclusion", f"WITH {_MINE.replace('>= 0.9 *', '>= 0.2 *')} SELECT qid, doc_id FROM near")
 def near_duplicate_exclusion(spark, folder):
     gold = inputs.gold(spark, folder)
-    rows = inputs.candidates(spark, folder).withColumn("tokens", mining.long_tokens(F.col("text")))
+    rows = inputs.candidates(spark, folder)
     flagged = rows.join(gold.withColumn("g", F.lit(True)), ["qid", "doc_id"], "left")
     positives = flagged.where("g").select("qid", "doc_id", "tokens").dropDuplicates(["qid", "doc_id"])
     return mining.near_duplicates(flagged.where("g is null"), positives, 0.2).select("qid", "doc_id").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexatlas.functions import text as tx
-from lexatlas.operators import bm25, models, ranking, vectors
+from lexatlas.operators import bm25, mining, models, ranking, vectors
 from lexatlas.operators.joins import fits_broadcast, salted_join, spread
 
 KNN_DEPTH = 20
@@ -62,36 +62,46 @@ def bm25_ranking(spark: SparkSession, folder: str) -> DataFrame:
     return bm25.rank_documents(questions(spark, folder), documents(spark, folder)).persist()
 
 
-def _with_texts(ranked: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
-    """Question and document text next to each candidate, fetched by id."""
-    with_docs = ranked.join(documents(spark, folder).select("doc_id", "text", "source"), "doc_id")
-    return with_docs.join(questions(spark, folder), "qid")
+def scored_pool(spark: SparkSession, folder: str) -> DataFrame:
+    """The candidates with both second-stage scores.
+
+    A document is tokenised once, before it meets the questions it is a
+    candidate for.  The few numbers are kept, as the rankings below and mining
+    all start from them.
+    """
+    words = lambda column: F.array_distinct(tx.word_tokens(F.col(column)))
+    texts = documents(spark, folder).select("doc_id", words("text").alias("dw"))
+    asked = questions(spark, folder).select("qid", words("question").alias("qw"))
+    pairs = bm25_ranking(spark, folder).join(texts, "doc_id").join(asked, "qid")
+    common = F.size(F.array_intersect("qw", "dw"))
+    return pairs.select(
+        "qid", "doc_id", "rank", "score",
+        F.round(models.word_overlap(F.col("qw"), F.col("dw")), 6).alias("rerank_score"),
+        F.round(common / (F.size("qw") + F.size("dw") - common), 6).alias("similarity"),
+    ).persist()
 
 
 def reranked(spark: SparkSession, folder: str, depth: int = 50) -> DataFrame:
     """BM25 candidates reordered by the default pair scorer."""
-    scored = models.score_pairs(_with_texts(bm25_ranking(spark, folder), spark, folder), "question", "text")
-    return ranking.rerank(scored.select("qid", "doc_id", "rank", "score", "rerank_score"), depth)
+    return ranking.rerank(scored_pool(spark, folder).drop("similarity"), depth)
 
 
 def jaccard_ranking(spark: SparkSession, folder: str) -> DataFrame:
     """A second candidate order over the same pool: word-set similarity."""
-    pairs = _with_texts(bm25_ranking(spark, folder), spark, folder)
-    similarity = F.round(tx.jaccard(tx.word_tokens(F.col("question")), tx.word_tokens(F.col("text"))), 6)
-    scored = pairs.select("qid", "doc_id", similarity.alias("score"))
+    scored = scored_pool(spark, folder).select("qid", "doc_id", F.col("similarity").alias("score"))
     return ranking.with_rank(scored, ["qid"], [F.col("score").desc(), F.col("doc_id")])
 
 
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Candidates of two sources with texts, for mining; ``source`` plays the law."""
-    lexical = _with_texts(bm25_ranking(spark, folder), spark, folder).withColumns({"channel": F.lit("bm25"), "order": F.lit(0)})
-    dense = _with_texts(jaccard_ranking(spark, folder), spark, folder).withColumns({"channel": F.lit("dense"), "order": F.lit(1)})
-    return lexical.select("qid", "doc_id", "rank", "score", "text", "source", "channel", "order").unionByName(
-        dense.select("qid", "doc_id", "rank", "score", "text", "source", "channel", "order")
-    ).select(
-        "qid", "doc_id", F.col("channel").alias("source"), F.col("order").alias("source_order"), "rank", "score", "text",
-        F.col("source").alias("law_name"), F.lit(False).alias("ambiguous"),
+    channels = [
+        frame.select("qid", "doc_id", "rank", "score", F.lit(name).alias("source"), F.lit(i).alias("source_order"))
+        for i, (name, frame) in enumerate((("bm25", bm25_ranking(spark, folder)), ("dense", jaccard_ranking(spark, folder))))
+    ]
+    texts = documents(spark, folder).select(
+        "doc_id", "text", F.col("source").alias("law_name"), mining.long_tokens(F.col("text")).alias("tokens")
     )
+    return channels[0].unionByName(channels[1]).join(texts, "doc_id").withColumn("ambiguous", F.lit(False))
 
 
 def knn(spark: SparkSession, folder: str, k: int = KNN_DEPTH, labels: list[int] | None = None) -> DataFrame:
