@@ -24,10 +24,8 @@ class MiningLimits:
     max_semi: int = 10
     max_easy: int = 0
     near_duplicate: float = 0.90
-
-
-# Source names that count as dense retrieval.
-DENSE_SOURCES = "dense|hcmute|parent|semantic"
+    #: Parts of source names that count as dense retrieval; add those of your encoders.
+    dense_sources: tuple[str, ...] = ("dense", "parent", "semantic")
 
 
 def long_tokens(text: Column) -> Column:
@@ -59,7 +57,7 @@ def negative_type(limits: MiningLimits) -> Column:
     """
     rank = F.col("rank")
     hard = rank <= limits.hard_rank_max
-    dense = F.col("source").rlike(DENSE_SOURCES)
+    dense = F.col("source").rlike("|".join(limits.dense_sources))
     return (
         F.when(F.col("same_law"), "same_law")
         .when(dense & hard, "semantic_confuser")

@@ -13,7 +13,6 @@ import math
 from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
