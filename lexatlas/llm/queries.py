@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexatlas.llm.common import table
+from lexatlas.llm.lines import dedup_lines
 from lexatlas.llm.packing import pack
+from lexatlas.llm.simhash import near_duplicates
 from lexatlas.llm.token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +41,46 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_packing")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents").select("doc_id", "text"), tokenizer_file())
+
+
+@query("op2_simhash_near_dedup")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+OP5_SQL = r"""
+WITH raw AS (
+  SELECT doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), lines AS (
+  SELECT doc_id, line_no, parts[line_no + 1] AS line,
+         list_filter(regexp_split_to_array(translate(parts[line_no + 1], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM raw
+), firsts AS (
+  SELECT words, min({'d': doc_id, 'l': line_no}) AS place FROM lines WHERE len(words) > 0 GROUP BY words
+), long AS (
+  SELECT words, place, len(words) AS n FROM firsts WHERE len(words) >= 8
+), variants AS (
+  SELECT place, n, i, words[1:i - 1] || words[i + 1:n] AS rest FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM long)
+), groups AS (
+  SELECT rest, i, min(place) AS earlier FROM variants GROUP BY rest, i HAVING count(*) > 1
+), pairs AS (
+  SELECT v.place, g.earlier FROM variants v JOIN groups g ON v.rest = g.rest AND v.i = g.i
+  UNION ALL SELECT v.place, l.place FROM variants v JOIN long l ON v.rest = l.words
+  UNION ALL SELECT l.place, v.place FROM variants v JOIN long l ON v.rest = l.words
+), near AS (SELECT DISTINCT place FROM pairs WHERE earlier < place),
+kept AS (SELECT place FROM firsts WHERE place NOT IN (SELECT place FROM near)),
+marked AS (
+  SELECT l.doc_id, l.line_no, l.line, len(l.words) = 0 AS blank, k.place IS NOT NULL AS first
+  FROM lines l LEFT JOIN kept k ON k.place.d = l.doc_id AND k.place.l = l.line_no
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines,
+       md5(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE blank OR first), '')) AS kept_md5
+FROM marked GROUP BY doc_id
+"""
+
+
+@query("op5_line_dedup", OP5_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of each document and the digest of the text that is left of it."""
+    documents = table(spark, folder, "documents").select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
+    return dedup_lines(documents).select("doc_id", "n_lines", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))

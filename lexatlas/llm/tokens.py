@@ -14,8 +14,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-#: Pieces a worker remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED = 400_000
+#: Pieces a worker remembers: two generations of half as many, the older of which is dropped when the newer is full.
+REMEMBERED = 1_200_000
 #: Bytes of text that are encoded in one call.
 BATCH_BYTES = 1 << 20
 #: Runs of white space, white space before a blank, or characters whose class differs between Unicode
@@ -37,16 +37,19 @@ class TokenIds:
         self.tokenizer.no_padding()
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, texts: list[list[str]]) -> None:
-        """Encode the pieces of ``texts`` that are not known yet."""
-        new = list(set().union(*(set(pieces).difference(self.known) for pieces in texts)))
-        if len(self.known) + len(new) > self.remembered:
-            self.known.clear()
-            new = list(set().union(*texts))
+        """Make sure that the pieces of ``texts`` are known."""
+        if len(self.known) > self.remembered // 2:
+            self.known, self.older = {}, self.known
+        missing = set().union(*(set(pieces).difference(self.known) for pieces in texts))
+        kept = missing.intersection(self.older)
+        self.known.update((piece, self.older[piece]) for piece in kept)
+        new = list(missing.difference(kept))
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            for piece, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.known[piece] = np.asarray(found.ids, dtype="<u4").tobytes()
 
     @staticmethod
