@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexatlas.llm.common import table
 from lexatlas.llm.lines import dedup_lines
+from lexatlas.llm.mixing import taken_words
 from lexatlas.llm.packing import pack
 from lexatlas.llm.simhash import near_duplicates
 from lexatlas.llm.token_counts import count_tokens
@@ -84,3 +85,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of each document and the digest of the text that is left of it."""
     documents = table(spark, folder, "documents").select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
     return dedup_lines(documents).select("doc_id", "n_lines", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
+
+
+@query("op1_source_mixing")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return taken_words(table(spark, folder, "documents"))
