@@ -13,6 +13,7 @@ from lexatlas.llm.mixing import taken_words
 from lexatlas.llm.packing import pack
 from lexatlas.llm.simhash import near_duplicates
 from lexatlas.llm.token_counts import count_tokens
+from lexatlas.llm.warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +91,19 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_source_mixing")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return taken_words(table(spark, folder, "documents"))
+
+
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), o AS (SELECT payload_digest, max(page_id) AS owner FROM p GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM owner THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM owner THEN owner END AS refers_to
+FROM p JOIN o USING (payload_digest)
+"""
+
+
+@query("op6_warc", OP6_SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return archive_pages(table(spark, folder, "pages")).drop("verified")
