@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import os
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Sequence
 
@@ -49,6 +51,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def worker_state() -> dict:
+    """Values that a Python worker keeps from task to task.
+
+    The package's functions travel by value, so their own globals are new in every task.
+    """
+    return vars(sys.modules.setdefault("_lexatlas_worker", types.ModuleType("_lexatlas_worker")))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

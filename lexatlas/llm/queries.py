@@ -11,8 +11,10 @@ from lexatlas.llm.common import table
 from lexatlas.llm.lines import dedup_lines
 from lexatlas.llm.mixing import taken_words
 from lexatlas.llm.packing import pack
+from lexatlas.llm.preference import format_preferences, own_reply_pairs
 from lexatlas.llm.simhash import near_duplicates
 from lexatlas.llm.token_counts import count_tokens
+from lexatlas.llm.toxicity import score_documents
 from lexatlas.llm.warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +109,41 @@ FROM p JOIN o USING (payload_digest)
 @query("op6_warc", OP6_SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return archive_pages(table(spark, folder, "pages")).drop("verified")
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+OP10_SQL = """
+WITH r AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+a AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM r WHERE role = 'assistant'),
+e AS (
+  SELECT conv_id, max(turn) AS last_turn FROM a GROUP BY conv_id
+), b AS (
+  SELECT conv_id, max({'t': turn, 'x': text}).x AS other FROM a JOIN e USING (conv_id) WHERE turn < last_turn GROUP BY conv_id
+), k AS (
+  SELECT r.*, last_turn, coalesce(other, '') AS other FROM r JOIN e USING (conv_id) LEFT JOIN b USING (conv_id) WHERE turn <= last_turn
+), sides AS (
+  SELECT conv_id, 'chosen' AS side, turn, role, text FROM k
+  UNION ALL SELECT conv_id, 'rejected', turn, role, CASE WHEN turn = last_turn AND role = 'assistant' THEN other ELSE text END FROM k
+), p AS (
+  SELECT conv_id, side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id, side, turn ORDER BY coalesce(role, ''), coalesce(text, '')) AS nth FROM sides
+), d AS (
+  SELECT conv_id, turn, nth FROM p GROUP BY conv_id, turn, nth HAVING count(*) < 2 OR min(role) <> max(role) OR min(text) <> max(text)
+), f AS (SELECT conv_id, min({'t': turn, 'n': nth}) AS fork FROM d GROUP BY conv_id),
+s AS (
+  SELECT p.conv_id, turn, nth, role, text, CASE WHEN fork IS NULL OR {'t': turn, 'n': nth} < fork THEN 'prompt' ELSE side END AS part, side
+  FROM p LEFT JOIN f USING (conv_id)
+)
+SELECT conv_id AS pair_id, part, turn, nth::INTEGER AS nth, role, '<|im_start|>' || role || chr(10) AS head,
+       text || '<|im_end|>' || chr(10) AS body, part <> 'prompt' AND role = 'assistant' AS learn
+FROM s WHERE part <> 'prompt' OR side = 'chosen'
+"""
+
+
+@query("op10_preference_formatting", OP10_SQL)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return format_preferences(own_reply_pairs(table(spark, folder, "conversations")))

@@ -13,6 +13,8 @@ import re
 import struct
 from collections.abc import Iterator, Sequence
 
+from lexatlas.llm.common import worker_state
+
 #: Pieces a worker remembers: two generations of half as many, the older of which is dropped when the newer is full.
 REMEMBERED = 1_200_000
 #: Bytes of text that are encoded in one call.
@@ -83,11 +85,9 @@ class TokenIds:
             start = stop
 
 
-_LOADED: dict[str, TokenIds] = {}
-
-
 def loaded(path: str) -> TokenIds:
-    """The worker's tokenizer, kept between batches and tasks."""
-    if path not in _LOADED:
-        _LOADED[path] = TokenIds(path)
-    return _LOADED[path]
+    """The worker's tokenizer with what it remembers, kept between batches and tasks."""
+    kept = worker_state()
+    if path not in kept:
+        kept[path] = TokenIds(path)
+    return kept[path]
