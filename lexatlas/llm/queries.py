@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexatlas.llm.common import table
+from lexatlas.llm.forest import nearest
 from lexatlas.llm.lines import dedup_lines
 from lexatlas.llm.mixing import taken_words
 from lexatlas.llm.packing import pack
@@ -15,6 +16,7 @@ from lexatlas.llm.preference import format_preferences, own_reply_pairs
 from lexatlas.llm.simhash import near_duplicates
 from lexatlas.llm.token_counts import count_tokens
 from lexatlas.llm.toxicity import score_documents
+from lexatlas.llm.wand import top_documents
 from lexatlas.llm.warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +149,33 @@ FROM s WHERE part <> 'prompt' OR side = 'chosen'
 @query("op10_preference_formatting", OP10_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return format_preferences(own_reply_pairs(table(spark, folder, "conversations")))
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents WHERE doc_id IS NOT NULL
+), q AS (
+  SELECT item_id AS query_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM benchmark WHERE item_id IS NOT NULL
+), n AS (SELECT count(*) AS rows, CASE WHEN sum(len(words)) > 0 THEN avg(len(words)) ELSE 1 END AS mean FROM d),
+qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(words) AS term FROM q) GROUP BY ALL),
+dt AS (SELECT doc_id, term, count(*) AS tf, any_value(len) AS len FROM (SELECT doc_id, len(words) AS len, unnest(words) AS term FROM d) GROUP BY doc_id, term),
+df AS (SELECT term, count(*) AS df FROM dt GROUP BY term),
+s AS (
+  SELECT query_id, doc_id, round(sum(times * ln(1 + (rows - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
+  FROM qt JOIN df USING (term) JOIN dt USING (term), n GROUP BY query_id, doc_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query("op9_bm25_topk", OP9_SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    questions = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return top_documents(questions, table(spark, folder, "documents"))
+
+
+@query("op3_lsh_forest")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
