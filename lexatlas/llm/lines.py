@@ -7,9 +7,11 @@ earlier line (by document id, then position) has the same words, or, from
 The neighbourhood of a line is its word sequence with each single word left
 out. Before these variants are made, lines that cannot have a neighbour are
 set aside without loss: one edit lies in the front or in the rear half, so
-neighbours agree in the other half exactly. Variants are hashed keys, so equal
-ones meet in a grouping that keeps only the earliest line; every match found
-this way is verified on the words.
+neighbours agree in the other half exactly, and only words of the half with
+the edit need leaving out. Variants are hashed keys, so equal ones meet in a
+grouping that keeps only the earliest line and, where one line is the rest of
+longer ones, that line; every match found this way is verified on the words.
+Texts are exchanged once, to meet the numbers of the lines that stay.
 """
 
 from __future__ import annotations
@@ -18,96 +20,138 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexatlas.llm.common import WORD, lowered, save, small_batches
+from lexatlas.llm.common import numbered, save, small_batches
 
 MIN_WORDS = 8
 #: Odd bases of the two sequence hashes, and their inverses modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
+#: Bits of the filter that finds the candidates' texts again: 4 MB, whatever the corpus. Full, it only filters less.
+FILTER_BITS = 25
+#: Lines or variants that a task hands on at a time.
+OUT_ROWS = 20_000
+PLACE = ["nameless", "doc_id", "line_no"]
+LINES = "doc_id long, line_no int, h1 long, h2 long, front long, rear long, front_longer long, rear_longer long"
 
 
-def line_words(line: Column) -> Column:
-    return F.regexp_extract_all(lowered(line), F.lit(f"({WORD})"))
+def words_of(line: str) -> list[bytes]:
+    return line.encode("utf-8", "surrogatepass").lower().split()
 
 
-def occurrences(documents: DataFrame) -> DataFrame:
-    """Non-blank lines: their place, words and two independent hashes of the words."""
-    lines = documents.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
-    worded = lines.select("doc_id", "line_no", line_words(F.col("line")).alias("words")).filter(F.size("words") > 0)
-    return worded.withColumn("h1", F.xxhash64("words")).withColumn("h2", F.xxhash64(F.lit(1), "words"))
+def _line_hash(words: list[bytes]) -> tuple[int, int]:
+    import xxhash
 
+    both = xxhash.xxh3_128_intdigest(b" ".join(words))
+    return (both >> 64) - (1 << 63), (both & (1 << 64) - 1) - (1 << 63)
 
-def _half_keys(words: Column) -> Column:
+
+def _half_keys(words: list[bytes]) -> tuple[int, ...]:
     """Keys of the front and rear halves, as the shorter and as the longer line of a pair."""
-    size = F.size(words)
+    import xxhash
+
+    n, out = len(words), []
+    for shorter in (n, n - 1):
+        half = shorter // 2
+        for side, part in ((b"f", words[:half]), (b"r", words[n - shorter + half :])):
+            out.append(xxhash.xxh3_64_intdigest(b"%s%d " % (side, shorter) + b" ".join(part)) - (1 << 63))
+    return tuple(out)
+
 
-    def halves(shorter: Column) -> list[Column]:
-        front = F.floor(shorter / 2).cast("int")
-        rear = shorter - front
-        return [
-            F.xxhash64(F.lit(0), shorter, F.slice(words, F.lit(1), front)),
-            F.xxhash64(F.lit(1), shorter, F.slice(words, size - rear + 1, rear)),
-        ]
+def scan_lines(documents: DataFrame, min_words: int) -> DataFrame:
+    """Non-blank lines: place, two hash halves of the words and, for long lines, their half keys."""
 
-    return F.array_distinct(F.array(*halves(size), *halves(size - 1)))
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in LINES.split(", ")]
+
+        def made(rows: list) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in columns if c not in ("line_no", "h1", "h2")})
+
+        rows: list = []
+        for frame in batches:
+            for doc_id, text in zip(frame["doc_id"].tolist(), frame["text"], strict=True):
+                for number, line in enumerate(text.split("\n")):
+                    words = words_of(line)
+                    if words:
+                        keys = _half_keys(words) if len(words) >= min_words else (None,) * 4
+                        rows.append((doc_id, number, *_line_hash(words), *keys))
+                if len(rows) >= OUT_ROWS:
+                    yield made(rows)
+                    rows = []
+        if rows:
+            yield made(rows)
+
+    return documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(scan, LINES)
 
 
 def first_places(documents: DataFrame, min_words: int) -> DataFrame:
-    """One row per different line: ``place`` of its earliest occurrence and, for long lines, its half keys.
+    """One row per different line, at its earliest place; ids sort before null ids.
 
-    Ids sort before null ids; equal lines are combined before they are exchanged.
+    Equal lines are combined before they are exchanged.
     """
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "line_no")
-    keys = F.when(F.size("words") >= min_words, _half_keys(F.col("words")))
-    return occurrences(documents).groupBy("h1", "h2").agg(F.min(place).alias("place"), F.first(keys, ignorenulls=True).alias("keys"))
+    keys = ["front", "rear", "front_longer", "rear_longer"]
+    grouped = scan_lines(documents, min_words).groupBy("h1", "h2").agg(F.min(place).alias("place"), *[F.max(k).alias(k) for k in keys])
+    return grouped.select("h1", "h2", "place.*", *keys)
 
 
-def _variants(words: list[str], digest) -> tuple[np.ndarray, np.ndarray]:
+def _variants(words: list[bytes], digest) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of the sequence without each word, then of the whole sequence."""
     n = len(words)
-    code = np.fromiter((digest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, n)
+    code = np.fromiter(map(digest, words), np.uint64, n)
     out = []
     for base, inverse in zip(BASES, INVERSES, strict=True):
         powers = np.full(n, base, np.uint64)
         powers[0] = 1
         powers = np.cumprod(powers, dtype=np.uint64)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * powers, dtype=np.uint64)])
-        without = sums[:-1] + (sums[-1] - sums[1:]) * np.uint64(inverse)
-        out.append(np.append(without, sums[-1]).view(np.int64))
+        out.append(np.append(sums[:-1] + (sums[-1] - sums[1:]) * np.uint64(inverse), sums[-1]))
     return out[0], out[1]
 
 
 def emit_variants(lines: DataFrame) -> DataFrame:
-    """Rows (size, va, vb, at, place): variant keys of each line; ``at`` is the word left out, -1 for the line itself."""
+    """Rows (key, other, no, whole) of lines (no, line, in_front, in_rear).
+
+    A rest with the place of the missing word is one key, shared by lines that
+    differ by a replaced word; a rest alone is another, shared by a line and
+    those with a word more; ``whole`` marks the line that is itself the rest.
+    """
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
+        digest, columns = xxhash.xxh3_64_intdigest, ["key", "other", "no", "whole"]
         for frame in batches:
+            parts: list[list[np.ndarray]] = [[], [], [], []]
+            rows = 0
             for row in frame.itertuples(index=False):
-                n = len(row.words)
-                va, vb = _variants(list(row.words), xxhash.xxh64_intdigest)
-                yield pd.DataFrame(
-                    {
-                        "size": np.append(np.full(n, n - 1), n),
-                        "va": va,
-                        "vb": vb,
-                        "at": np.append(np.arange(n), -1),
-                        "nameless": row.nameless,
-                        "doc_id": pd.array([row.doc_id] * (n + 1), "Int64"),
-                        "line_no": row.line_no,
-                    }
-                )
-
-    flat = lines.select("words", "place.nameless", F.col("place.doc_id").cast("long").alias("doc_id"), "place.line_no")
-    keyed = flat.mapInPandas(emit, "size int, va long, vb long, at int, nameless boolean, doc_id long, line_no int")
-    return keyed.select("size", "va", "vb", "at", F.struct("nameless", "doc_id", "line_no").alias("place"))
-
-
-def within_one_edit(a: list[str], b: list[str]) -> bool:
+                words = words_of(row.line)
+                n = len(words)
+                va, vb = _variants(words, digest)
+                first = 0 if row.in_front else (n - 1) // 2
+                last = n if row.in_rear else n // 2 + 1
+                at = np.arange(first, last)
+                # Sizes and places are mixed into one half, so that no key meets one of another kind.
+                rest = vb[at] * np.uint64(0x100000001B3) + np.uint64(n - 1)
+                placed = rest + (at.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+                own = vb[n:] * np.uint64(0x100000001B3) + np.uint64(n)
+                parts[0] += [va[at], va[at], va[n:]]
+                parts[1] += [placed, rest, own]
+                parts[2].append(np.full(2 * len(at) + 1, row.no))
+                parts[3].append(np.arange(2 * len(at) + 1) == 2 * len(at))
+                rows += 2 * len(at) + 1
+                if rows >= OUT_ROWS:
+                    yield pd.DataFrame(dict(zip(columns, map(np.concatenate, parts), strict=True))).astype({"key": "int64", "other": "int64"})
+                    parts, rows = [[], [], [], []], 0
+            if rows:
+                yield pd.DataFrame(dict(zip(columns, map(np.concatenate, parts), strict=True))).astype({"key": "int64", "other": "int64"})
+
+    return lines.select("no", "line", "in_front", "in_rear").mapInPandas(emit, "key long, other long, no long, whole boolean")
+
+
+def within_one_edit(a: list, b: list) -> bool:
     """Whether one inserted, deleted or replaced word (or none) turns a into b."""
     if abs(len(a) - len(b)) > 1:
         return False
@@ -117,34 +161,69 @@ def within_one_edit(a: list[str], b: list[str]) -> bool:
     return max(len(a), len(b)) - front - rear <= 1
 
 
+def _slot(h1):
+    return (h1 >> 3) & ((1 << FILTER_BITS) - 1)
+
+
+def candidate_texts(documents: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Add ``line`` to the candidates, read from the documents again.
+
+    A bit filter of fixed size passes the candidates' lines and few others, so
+    only these are exchanged to be matched exactly.
+    """
+    spark = documents.sparkSession
+    slot = f"(shiftright(h1, 3) & {(1 << FILTER_BITS) - 1})"
+    bits = candidates.select(F.expr(f"shiftright({slot}, 6)").alias("at"), F.expr(f"shiftleft(1L, cast({slot} & 63 as int))").alias("bit"))
+    table = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    for part in bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toLocalIterator():  # at most 2**19 rows
+        table[part["at"]] = part["bits"]
+    shared = spark.sparkContext.broadcast(table)
+
+    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = shared.value
+        for frame in batches:
+            rows = []
+            for text in frame["text"]:
+                for line in text.split("\n"):
+                    words = words_of(line)
+                    if words:
+                        h1, h2 = _line_hash(words)
+                        at = _slot(h1)
+                        if int(found[at >> 6]) >> (at & 63) & 1:
+                            rows.append((h1, h2, line))
+            # Only the words count, so any of equal lines will do.
+            yield pd.DataFrame(rows, columns=["h1", "h2", "line"]).drop_duplicates(["h1", "h2"])
+
+    lines = documents.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(fetch, "h1 long, h2 long, line string")
+    return lines.join(candidates, ["h1", "h2"]).groupBy("no").agg(F.first("line").alias("line"), F.first("in_front").alias("in_front"), F.first("in_rear").alias("in_rear"), *[F.first(c).alias(c) for c in PLACE])
+
+
 def near_places(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     """Places of different lines that have an earlier line one edit away."""
-    keyed = distinct.filter("keys is not null").select("place", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
-    places = save(keyed.join(shared, "key").select("place").distinct(), "candidates")
-    # Words of the candidates only; `place` names one line, as it is the earliest of equal ones.
-    holders = places.select(F.col("place.doc_id").alias("doc_id")).distinct()
-    found = occurrences(documents.join(holders, documents["doc_id"].eqNullSafe(holders["doc_id"]), "left_semi"))
-    found = found.withColumn("place", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "line_no"))
-    lines = save(found.join(places, "place").groupBy("place").agg(F.first("words").alias("words")), "lines")
+    keys = F.array(*[F.struct(F.col(k).alias("key"), F.lit(k.startswith("rear")).alias("in_front")) for k in ("front", "rear", "front_longer", "rear_longer")])
+    keyed = distinct.filter("front is not null").select("h1", "h2", F.explode(keys).alias("k")).select("h1", "h2", "k.key", "k.in_front")
+    shared = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("key")
+    # An edit lies in front where the rear is shared, and the other way round.
+    flagged = keyed.join(shared, "key").groupBy("h1", "h2").agg(F.max("in_front").alias("in_front"), F.max(~F.col("in_front")).alias("in_rear"))
+    placed = flagged.join(distinct.select("h1", "h2", *PLACE), ["h1", "h2"])
+    order = [F.col("nameless"), F.col("doc_id"), F.col("line_no")]
+    candidates = save(numbered(placed, order, "no"), "candidates")
+    lines = save(candidate_texts(documents, candidates), "lines")
+
     variants = save(emit_variants(lines), "variants")
-    # A replaced word: the same word left out of two lines of one length leaves the same rest.
-    group = ["size", "va", "vb"]
-    replaced = variants.filter("at >= 0").groupBy(*group, "at").agg(F.min("place").alias("earlier"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    first = variants.filter("at >= 0").join(replaced, [*group, "at"]).select("place", "earlier")
-    # A word more: a line is the rest of a longer one. Each side learns the other's earliest.
-    whole = variants.filter("at < 0").groupBy(*group).agg(F.min("place").alias("shorter"))
-    longer = variants.filter("at >= 0").join(whole, group)
-    second = longer.select("place", F.col("shorter").alias("earlier"))
-    third = longer.groupBy(F.col("shorter").alias("place")).agg(F.min("place").alias("earlier"))
-    pairs = first.unionByName(second).unionByName(third).filter(F.col("earlier") < F.col("place")).distinct()
+    groups = variants.groupBy("key", "other").agg(F.min("no").alias("least"), F.max("no").alias("most"), F.max(F.when(F.col("whole"), F.col("no"))).alias("rest"))
+    met = variants.join(groups.filter("least <> most"), ["key", "other"])
+    earlier = F.when(F.col("whole"), F.col("least")).otherwise(F.coalesce("rest", "least"))
+    # A line that is the rest of longer ones may come after some of them and before others: both sides are asked.
+    pairs = met.select("no", earlier.alias("earlier")).filter("earlier < no").distinct()
 
     @F.pandas_udf("boolean")
     def verified(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([within_one_edit(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
+        return pd.Series([within_one_edit(words_of(x), words_of(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    told = pairs.join(lines, "place").join(lines.select(F.col("place").alias("earlier"), F.col("words").alias("other")), "earlier")
-    return told.filter(verified("words", "other")).select("place").distinct()
+    texts = lines.select("no", "line")
+    told = pairs.join(texts, "no").join(texts.select(F.col("no").alias("earlier"), F.col("line").alias("other")), "earlier")
+    return told.filter(verified("line", "other")).select("no").distinct().join(candidates, "no").select("h1", "h2")
 
 
 def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -159,18 +238,18 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     own = documents.select("doc_id", "text")
     distinct = save(first_places(own, min_words), "first")
     near = near_places(own, distinct)
-    kept = distinct.select("place").join(near, "place", "left_anti")
-    lists = kept.groupBy("place.nameless", "place.doc_id").agg(F.sort_array(F.collect_list("place.line_no")).alias("kept_lines"))
+    kept = distinct.select("h1", "h2", *PLACE).join(near, ["h1", "h2"], "left_anti")
+    lists = kept.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("nameless").alias("_nameless")).agg(F.collect_list("line_no").alias("_kept"))
 
     @F.pandas_udf("string")
     def without(text: pd.Series, kept_lines: pd.Series) -> pd.Series:
         out = []
         for whole, numbers in zip(text, kept_lines, strict=True):
-            keep = set() if numbers is None else set(numbers)
+            keep = set() if numbers is None else set(numbers.tolist())
             out.append(None if whole is None else "\n".join(x for i, x in enumerate(whole.split("\n")) if i in keep or not x.strip(" \t\n\x0b\x0c\r")))
         return pd.Series(out, dtype=object)
 
-    packed = documents.select(F.col("doc_id").alias("_id"), F.struct("*").alias("_row"))
-    joined = packed.join(lists, packed["_id"].eqNullSafe(lists["doc_id"]), "left").select("_row", without("_row.text", "kept_lines").alias("_text"))
+    packed = documents.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("_id"), F.col("doc_id").isNull().alias("_nameless"), F.struct("*").alias("_row"))
+    joined = packed.join(lists, ["_id", "_nameless"], "left").select("_row", without("_row.text", "_kept").alias("_text"))
     changed = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
     return joined.select(*[changed[c].alias(c) if c in changed else F.col("_row")[c].alias(c) for c in documents.columns])
