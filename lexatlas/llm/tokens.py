@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import os
 import re
-import struct
+import sys
+from array import array
 from collections.abc import Iterator, Sequence
 
 from lexatlas.llm.common import worker_state
 
 #: Pieces a worker remembers: two generations of half as many, the older of which is dropped when the newer is full.
-REMEMBERED = 1_200_000
+REMEMBERED = 1_600_000
 #: Bytes of text that are encoded in one call.
 BATCH_BYTES = 1 << 20
 #: Texts of these characters and no double white space fall into words, stops and line ends.
@@ -30,7 +31,11 @@ PIECES = re.compile(r"\s*\S+|\s+")
 
 
 def pack(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    """Unsigned 32-bit ids in little-endian order."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 class TokenIds:
@@ -52,13 +57,13 @@ class TokenIds:
         if len(self.known) > self.remembered // 2:
             self.known, self.older = {}, self.known
         missing = set().union(*(set(pieces).difference(self.known) for pieces in texts))
-        kept = missing.intersection(self.older)
-        self.known.update((piece, self.older[piece]) for piece in kept)
+        kept = {piece: self.older[piece] for piece in missing if piece in self.older}
+        self.known.update(kept)
         new = list(missing.difference(kept))
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[piece] = pack(found.ids)
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.known.update(zip(part, [pack(piece.ids) for piece in found], strict=True))
 
     @staticmethod
     def pieces(text: str) -> list[str]:
