@@ -147,7 +147,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
 
     learn = save(rows.select(F.col("toxic").cast("double").alias("label"), dense("text").alias("features")), "features")
     vectors = learn.select("label", array_to_vector("features").alias("features")).coalesce(12).persist()
-    machine = FMClassifier(factorSize=FACTORS, maxIter=120, stepSize=0.1, regParam=1e-4, initStd=0.01, seed=seed, solver="adamW").fit(vectors)
+    machine = FMClassifier(factorSize=FACTORS, maxIter=120, stepSize=0.1, regParam=1e-2, initStd=0.01, seed=seed, solver="adamW").fit(vectors)
     vectors.unpersist()
     return Model(terms, float(machine.intercept), machine.linear.toArray(), machine.factors.toArray())
 
