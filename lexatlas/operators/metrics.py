@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 # Official answer length and diagnostic depths.
 MAX_DOCUMENTS = 5
 DEPTHS = (5, 10, 20, 50, 100, 200)
-OPTIONAL_DEPTH = 500
 
 
 def judge(gold: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 # Fusion constant, depths and method names of the published results.
 RRF_K = 60
-COMPONENT_DEPTH = 200
 FINAL_DOCUMENTS = 5
 MISSING_RANK = 10**9
 AGGREGATION_METHODS = (

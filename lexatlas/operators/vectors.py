@@ -14,9 +14,10 @@ from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexatlas.operators.joins import spread
 
@@ -61,17 +62,10 @@ def unit(vector: Column, dimension: int | None = None) -> Column:
 def pooled(windows: DataFrame, key: str, vector: str) -> DataFrame:
     """Renormalised mean of the vectors that share a key (A-22).
 
-    Components are averaged as rows, so a key with a third of all vectors is
-    still combined map-side before the shuffle.
+    One running mean per key and task is combined before the shuffle, so a key
+    with a third of all vectors costs a row per task.
     """
-    mean = (
-        windows.select(key, F.posexplode(vector).alias("i", "x"))
-        .groupBy(key, "i")
-        .agg(F.avg(F.col("x").cast("double")).alias("x"))
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p"))
-        .select(key, F.transform("p", lambda e: e["x"]).alias("m"))
-    )
+    mean = windows.groupBy(key).agg(vector_to_array(Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))).alias("m"))
     length = norm(F.col("m"))
     return mean.select(key, F.transform("m", lambda x: x / length).alias(vector))
 
@@ -97,38 +91,51 @@ def _matrix(values: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
 SCORE_BYTES = 32 << 20
 
 
-def _blocks(questions: np.ndarray, qids: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """Each question's k best of this block by (-score, id)."""
-    order = np.argsort(ids, kind="stable")
-    block, ids = block[order], ids[order]
-    keep = min(k, len(ids))
+def _leaders(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's k best as (ids, scores), by (-score, id); ``ids`` is one row or one per row, unordered."""
+    keep = min(k, scores.shape[1])
+    ids = np.broadcast_to(ids, scores.shape)
+    if keep < scores.shape[1]:
+        least = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1 : keep]
+        above, level = scores > least, scores == least
+        wanted = keep - above.sum(axis=1)
+        for row in np.flatnonzero(level.sum(axis=1) > wanted):  # ties at the last place go to the smaller ids
+            at = np.flatnonzero(level[row])
+            level[row, at[np.argsort(ids[row, at], kind="stable")[wanted[row] :]]] = False
+        chosen = np.nonzero(above | level)[1].reshape(len(scores), keep)
+        scores, ids = np.take_along_axis(scores, chosen, 1), np.take_along_axis(ids, chosen, 1)
+    order = np.lexsort((ids, -scores), axis=1)
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+
+
+def _blocks(questions: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each question's k best of this block; scores are held for a bounded number of questions at a time."""
     step = max(1, SCORE_BYTES // (8 * len(ids)))
-    for at in range(0, len(qids), step):
-        scores = np.round(questions[at : at + step] @ block.T, 6) + 0.0
-        # ids ascend, so a stable sort breaks ties by the smaller id
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(qids[at : at + step], keep), pa.int64()),
-                pa.array(ids[best].ravel(), pa.int64()),
-                pa.array(np.take_along_axis(scores, best, 1).ravel(), pa.float64()),
-            ],
-            names=["qid", "vec_id", "score"],
-        )
+    parts = [_leaders(np.round(questions[at : at + step] @ block.T, 6) + 0.0, ids, k) for at in range(0, len(questions), step)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _rows(qids: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(np.repeat(qids, ids.shape[1]), pa.int64()), pa.array(ids.ravel(), pa.int64()), pa.array(scores.ravel(), pa.float64())]
+    return pa.RecordBatch.from_arrays(columns, names=["qid", "vec_id", "score"])
 
 
 _RESULT = "qid long, vec_id long, score double"
 
 
 def _stream_search(vectors: DataFrame, question_ids: np.ndarray, questions: np.ndarray, k: int) -> DataFrame:
+    """At most k rows per question and task: the running best is kept over a task's batches."""
     shared = vectors.sparkSession.sparkContext.broadcast((question_ids, questions))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, matrix = shared.value
+        best: tuple[np.ndarray, np.ndarray] | None = None
         for batch in batches:
-            if batch.num_rows:
-                ids = np.asarray(batch.column(0), dtype=np.int64)
-                yield from _blocks(matrix, qids, _matrix(batch.column(1), batch.num_rows), ids, k)
+            if batch.num_rows and len(qids):
+                found = _blocks(matrix, _matrix(batch.column(1), batch.num_rows), np.asarray(batch.column(0), dtype=np.int64), k)
+                best = found if best is None else _leaders(np.hstack([best[1], found[1]]), np.hstack([best[0], found[0]]), k)
+        if best is not None:
+            yield _rows(qids, *best)
 
     return vectors.mapInArrow(search, _RESULT)
 
@@ -154,7 +161,7 @@ def _grid_search(vectors: DataFrame, questions: DataFrame, k: int, rows: int, as
         ids = np.asarray(vec["vec_id"], dtype=np.int64)
         qids = np.asarray(ask["qid"], dtype=np.int64)
         block, matrix = _matrix(vec["v"], vec.num_rows), _matrix(ask["v"], ask.num_rows)
-        return pa.Table.from_batches(_blocks(matrix, qids, block, ids, k))
+        return pa.Table.from_batches([_rows(qids, *_blocks(matrix, block, ids, k))])
 
     return left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInArrow(cell, _RESULT)
 
@@ -214,11 +221,3 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, sequence: str) ->
 
 def delete(existing: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return existing.join(keys.select(key).distinct(), key, "left_anti")
-
-
-VECTOR_SCHEMA = T.StructType(
-    [
-        T.StructField("vec_id", T.LongType(), False),
-        T.StructField("v", T.ArrayType(T.FloatType(), False), False),
-    ]
-)

@@ -17,7 +17,7 @@ from lexatlas.plans.text_queries import TOKEN, WORD
 def turn_pairs(spark, folder):
     """Each user turn with the reply and the opening turn of its conversation."""
     rows = inputs.table(spark, folder, "conversations")
-    key = (F.col("conv_id") * 1000 + F.col("turn")).alias("qid")
+    key = inputs.turn_id().alias("qid")
     asked = rows.where("role = 'user'").select("conv_id", "turn", key, F.col("text").alias("question"))
     reply = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("generated"))
     first = rows.where("turn = 0").select("conv_id", F.col("text").alias("opening"))
@@ -26,7 +26,7 @@ def turn_pairs(spark, folder):
 
 
 _PAIRS = """
-rep AS (SELECT a.conv_id * 1000 + a.turn AS qid, a.text AS question, b.text AS generated, o.text || chr(10) || b.text || chr(10) || a.text AS extractive FROM conversations a
+rep AS (SELECT a.conv_id || '-' || a.turn AS qid, a.text AS question, b.text AS generated, o.text || chr(10) || b.text || chr(10) || a.text AS extractive FROM conversations a
   JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 JOIN conversations o ON o.conv_id = a.conv_id AND o.turn = 0 WHERE a.role = 'user')"""
 
 
@@ -126,11 +126,11 @@ def ensemble_answers(spark, folder):
 
 
 @query("refused_answers", """
-SELECT conv_id * 1000 + turn AS qid, trim(text) = '' OR turn % 3 = 1 AS refused FROM conversations""")
+SELECT conv_id || '-' || turn AS qid, trim(text) = '' OR turn % 3 = 1 AS refused FROM conversations""")
 def refused_answers(spark, folder):
     """Every third turn gets a refusal phrase; all are finished alike."""
     raw = F.when(F.col("turn") % 3 == 1, F.concat("text", F.lit(" Không có thông tin."))).otherwise(F.col("text"))
-    rows = inputs.table(spark, folder, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), answers.finish_answer(raw).alias("a"))
+    rows = inputs.table(spark, folder, "conversations").select(inputs.turn_id().alias("qid"), answers.finish_answer(raw).alias("a"))
     return rows.select("qid", (F.col("a") == P.REFUSAL_ANSWER).alias("refused"))
 
 

@@ -243,7 +243,19 @@ def fold_violations(spark, folder):
     return folds.fold_violations(bad, inputs.turns(spark, folder))
 
 
-@query("grouped_folds_balanced")
+@query("grouped_folds_balanced", f"""
+WITH RECURSIVE {FOLDED_TURNS}, o AS (
+  SELECT group_key, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, sha256('2026:' || group_key), group_key) AS i FROM folded GROUP BY group_key
+), s AS (
+  SELECT 0::BIGINT AS i, '' AS group_key, 0 AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS load, [0, 0, 0, 0, 0]::BIGINT[] AS held
+  UNION ALL
+  SELECT i, group_key, f, list_transform(range(0, 5), lambda k: load[k + 1] + CASE WHEN k = f THEN size ELSE 0 END), list_transform(range(0, 5), lambda k: held[k + 1] + CASE WHEN k = f THEN 1 ELSE 0 END)
+  FROM (
+    SELECT o.i, o.group_key, o.size, s.load, s.held, list_sort(list_transform(range(0, 5), lambda k: {{'a': s.load[k + 1], 'b': s.held[k + 1], 'c': k}}))[1].c::INT AS f
+    FROM s JOIN o ON o.i = s.i + 1
+  )
+)
+SELECT qid, s.fold FROM folded JOIN s USING (group_key) WHERE s.i > 0""")
 def grouped_folds_balanced(spark, folder):
     return folds.balanced_folds(folds.with_group(inputs.turns(spark, folder))).select("qid", "fold")
 

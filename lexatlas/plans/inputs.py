@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexatlas.functions import text as tx
@@ -25,10 +25,15 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
+def turn_id() -> Column:
+    """Question id of a conversation turn; distinct for any number of turns."""
+    return F.concat_ws("-", "conv_id", "turn")
+
+
 def turns(spark: SparkSession, folder: str) -> DataFrame:
     """Conversation turns as questions."""
     return table(spark, folder, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("question")
+        turn_id().alias("qid"), F.col("text").alias("question")
     )
 
 

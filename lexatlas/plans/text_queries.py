@@ -136,7 +136,7 @@ def repeated_lines_dropped(spark, folder):
 
 
 _KEY = rf"trim(regexp_replace({FOLDED.format('question')}, '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
-TURNS = "turns AS (SELECT conv_id * 1000 + turn AS qid, text AS question FROM conversations)"
+TURNS = "turns AS (SELECT conv_id || '-' || turn AS qid, text AS question FROM conversations)"
 GROUPED = f"grouped AS (SELECT qid, question, {_KEY} AS group_key FROM turns)"
 
 

@@ -1,11 +1,8 @@
-"""Session defaults and the shared checkpoint folder."""
+"""Session defaults."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 #: Settings that only change plans, never results; a cluster may override all.
 DEFAULTS = {
@@ -34,32 +31,3 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only a local run gets its own.
-
-    The folder must be visible to every executor, so a session on a real
-    cluster without the setting is refused instead of falling back to a
-    machine-local path.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="lexatlas-checkpoint-", dir=os.environ.get("TMPDIR"))
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, unlike a local one."""
-    spark = frame.sparkSession
-    folder = ensure_checkpoint_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return frame.checkpoint()

@@ -70,7 +70,7 @@ def _lower_keys(record: Column) -> Column:
 
 
 def _first_filled(record: Column, names: Sequence[str]) -> Column:
-    return F.coalesce(*[F.when(F.trim(record[n]) != "", F.trim(record[n])) for n in names])
+    return F.coalesce(*[F.when(tx.strip(record[n]) != "", tx.strip(record[n])) for n in names])
 
 
 def _first_present(record: Column, names: Sequence[str]) -> Column:
@@ -94,6 +94,7 @@ def from_records(rows: DataFrame, record: str = "record", path: str = "path", ra
     return rows.select(
         document_slug(F.coalesce(given, fallback)).alias("doc_id"),
         F.col(path).alias("source_path"),
+        (F.lit(0) if line is None else F.col(line)).cast("long").alias("source_line"),
         _first_filled(r, TITLE_FIELDS).alias("title"),
         F.coalesce(content, F.col(raw)).alias("raw_text"),
         F.lit("json").alias("file_format"),
@@ -106,11 +107,11 @@ def from_records(rows: DataFrame, record: str = "record", path: str = "path", ra
 
 def _parsed(rows: DataFrame, raw: str) -> DataFrame:
     """Adds ``record`` (first object of a list root) and ``valid``."""
-    trimmed = F.ltrim(F.col(raw))
+    trimmed = tx.strip(F.col(raw))
     one = F.from_json(F.when(trimmed.startswith("{"), F.col(raw)), "map<string,string>")
     # elements of a list stay JSON text, so one that is no object does no harm
     items = F.from_json(F.when(trimmed.startswith("["), F.col(raw)), "array<string>")
-    first = F.get(F.filter(items, lambda item: F.ltrim(item).startswith("{")), F.lit(0))
+    first = F.get(F.filter(items, lambda item: tx.strip(item).startswith("{")), F.lit(0))
     return rows.withColumns(
         {
             "valid": F.try_parse_json(F.col(raw)).isNotNull(),
@@ -135,7 +136,7 @@ def read_jsonl(spark: SparkSession, path: str, glob: str = "*.jsonl") -> tuple[D
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"),
     )
-    parsed = _parsed(number_lines(rows).where(F.trim("raw") != ""), "raw")
+    parsed = _parsed(number_lines(rows).where(tx.strip(F.col("raw")) != ""), "raw")
     good = parsed.where("valid and record is not null")
     bad = parsed.where("not (valid and record is not null)").select("path", F.lit("invalid JSON line").alias("error"))
     return from_records(good, line="line_no"), bad
@@ -164,7 +165,7 @@ def read_text(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
 def _plain(rows: DataFrame, file_format: str) -> DataFrame:
     first = F.get(F.filter(F.transform(tx.lines(F.col("raw")), tx.strip), lambda line: line != ""), F.lit(0))
     return rows.select(
-        document_slug(_stem(F.col("path"))).alias("doc_id"), F.col("path").alias("source_path"), first.alias("title"),
+        document_slug(_stem(F.col("path"))).alias("doc_id"), F.col("path").alias("source_path"), F.lit(0).cast("long").alias("source_line"), first.alias("title"),
         F.col("raw").alias("raw_text"), F.lit(file_format).alias("file_format"), F.lit(None).cast("string").alias("issue_date"),
         F.lit(None).cast("string").alias("source_link"), F.lit(None).cast("string").alias("source_name"),
         (tx.strip(F.col("raw")) == "").alias("source_content_empty"),
@@ -231,22 +232,31 @@ def read_directory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     json_docs, json_bad = read_json(spark, path)
     line_docs, line_bad = read_jsonl(spark, path)
     documents = json_docs.unionByName(line_docs).unionByName(read_text(spark, path))
-    return resolve_duplicates(documents, json_bad.unionByName(line_bad))
+    return resolve_duplicates(documents, json_bad.unionByName(line_bad).unionByName(unread_files(spark, path)))
+
+
+def unread_files(spark: SparkSession, path: str) -> DataFrame:
+    """An error row for every file of a type that the directory reader leaves alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    read = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin("json", "jsonl", "txt")
+    return files.where(~read).select("path", F.lit("unsupported file type").alias("error"))
 
 
 def resolve_duplicates(documents: DataFrame, errors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Keep identical copies once; conflicting copies of an id are errors (SET-06).
 
-    The first copy by path stays; later copies that differ are reported.  Only
-    hashes travel to the grouping, and texts are fetched by (id, path).
+    The first copy by path and line stays, one row per id; others that differ
+    from it are reported. Only hashes travel to the grouping.
     """
-    content = [c for c in documents.columns if c not in ("source_path",)]
+    content = [c for c in documents.columns if c not in ("source_path", "source_line")]
     digest = F.sha2(F.to_json(F.struct(*sorted(content))), 256)
+    place = F.struct(*[c for c in ("source_path", "source_line") if c in documents.columns])
     marked = documents.withColumn("_hash", digest)
-    first = marked.groupBy("doc_id").agg(F.min_by("_hash", "source_path").alias("_first"), F.min("source_path").alias("_path"))
+    first = marked.groupBy("doc_id").agg(F.min(F.struct(place.alias("place"), F.col("_hash").alias("hash"))).alias("_first"))
     joined = marked.join(first, "doc_id")
-    kept = joined.where(F.col("source_path") == F.col("_path")).drop("_hash", "_first", "_path")
-    conflicts = joined.where(F.col("_hash") != F.col("_first")).select(
+    is_first = place == F.col("_first.place")
+    kept = joined.where(is_first).drop("_hash", "_first", "source_line")
+    conflicts = joined.where(~is_first & (F.col("_hash") != F.col("_first.hash"))).select(
         F.col("source_path").alias("path"), F.concat(F.lit("conflicting duplicate id: "), F.col("doc_id")).alias("error")
     )
     return kept, conflicts if errors is None else errors.unionByName(conflicts)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexatlas.functions import text as tx
 from lexatlas.operators.audit import valid_identifier
 from lexatlas.operators.metrics import coverage
 
@@ -46,7 +47,6 @@ CHUNK = T.StructType(
     )]
     + [T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))]
 )
-BENCHMARK = "question_id string, question string, answer string, gold_chunk_ids array<string>, gold_citations array<string>, difficulty string"
 
 
 def _strict(frame: DataFrame, condition, message: str) -> DataFrame:
@@ -68,7 +68,7 @@ def read_question_map(spark: SparkSession, path: str, answers: str = "array<stri
     """
     parsed = _whole(spark, path).select(F.from_json("value", f"map<string,struct<question:string,answer:{answers}>>").alias("m"))
     rows = parsed.select(F.explode("m").alias("qid", "r")).select("qid", "r.question", "r.answer")
-    checked = _strict(rows, valid_identifier(F.col("qid")) & (F.trim("question") != ""), "invalid question record")
+    checked = _strict(rows, valid_identifier(F.col("qid")) & (tx.strip(F.col("question")) != ""), "invalid question record")
     if answers.startswith("array"):
         return _strict(
             checked, (F.size("answer") > 0) & (F.size(F.array_distinct("answer")) == F.size("answer")), "answers must be unique and not empty"
@@ -121,11 +121,11 @@ def read_chunks(spark: SparkSession, path: str, limit: int | None = None) -> tup
 
     ``limit`` is the caller's own head limit (TK-09).
     """
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).where((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).where((tx.strip(F.col("value")) != "") & ~tx.strip(F.col("value")).startswith("#"))
     parsed = lines.select("value", F.col("_metadata.file_path").alias("path"), F.from_json("value", CHUNK).alias("c"), F.try_parse_json("value").alias("v"))
-    ok = F.col("v").isNotNull() & valid_identifier(F.col("c.chunk_id")) & valid_identifier(F.col("c.doc_id")) & (F.coalesce(F.trim("c.text"), F.lit("")) != "")
+    ok = F.col("v").isNotNull() & valid_identifier(F.col("c.chunk_id")) & valid_identifier(F.col("c.doc_id")) & (F.coalesce(tx.strip(F.col("c.text")), F.lit("")) != "")
     good = parsed.where(ok).select("c.*")
-    bad = parsed.where(~ok).select("path", F.substring("value", 1, 200).alias("line"))
+    bad = parsed.where(~ok).select("path", F.col("value").alias("line"))
     return (good if limit is None else good.orderBy("chunk_id").limit(limit)), bad
 
 
@@ -152,7 +152,7 @@ def read_rankings(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
     return reduce(DataFrame.unionByName, [one(i, n, p) for i, (n, p) in enumerate(sources.items())])
 
 
-def read_folds(spark: SparkSession, path: str, schema_version: str = "legal-ir-strict-cv-v2") -> DataFrame:
+def read_folds(spark: SparkSession, path: str, schema_version: str) -> DataFrame:
     """(qid, fold) rows of a fold file of the expected version (M-24)."""
     fields = "struct<schema_version:string,folds:array<struct<fold:int,validation_ids:array<string>>>>"
     payload = _whole(spark, path).select(F.from_json("value", fields).alias("p"))
@@ -163,11 +163,18 @@ def read_folds(spark: SparkSession, path: str, schema_version: str = "legal-ir-s
     ).drop("n")
 
 
-def require_coverage(expected: DataFrame, actual: DataFrame) -> None:
-    """Raise with examples when two id sets differ (F-14)."""
-    problems = coverage(expected, actual).limit(10).collect()
-    if problems:
-        raise ValueError("; ".join(f"{row['problem']}: {row['id']}" for row in problems))
+def require_coverage(expected: DataFrame, actual: DataFrame, report: str | None = None) -> DataFrame:
+    """All ids by which two sets differ (F-14); raises with some of them if there are any.
+
+    ``report`` is a path that gets the complete list before.
+    """
+    problems = coverage(expected, actual)
+    if report is not None:
+        problems.write.mode("overwrite").parquet(report)
+    some = problems.orderBy("problem", "id").take(10)
+    if some:
+        raise ValueError("ids differ, among them " + "; ".join(f"{row['problem']}: {row['id']}" for row in some))
+    return problems
 
 
 def pending(selected: DataFrame, completed: DataFrame) -> DataFrame:

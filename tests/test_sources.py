@@ -49,8 +49,8 @@ def test_predictions_and_folds(spark, tmp_path):
     assert [(r.chunk_id, r["rank"]) for r in records.read_predictions(spark, str(tmp_path / "p.jsonl")).orderBy("rank").collect()] == [("c1", 1), ("c2", 2)]
     ranked = records.read_rankings(spark, {"Dense": str(tmp_path / "p.jsonl")})
     assert {r.source for r in ranked.collect()} == {"dense"}
-    (tmp_path / "f.json").write_text(json.dumps({"schema_version": "legal-ir-strict-cv-v2", "folds": [{"fold": 0, "validation_ids": ["a"]}, {"fold": 1, "validation_ids": ["b"]}]}))
-    assert {tuple(r) for r in records.read_folds(spark, str(tmp_path / "f.json")).collect()} == {("a", 0), ("b", 1)}
+    (tmp_path / "f.json").write_text(json.dumps({"schema_version": "folds-v1", "folds": [{"fold": 0, "validation_ids": ["a"]}, {"fold": 1, "validation_ids": ["b"]}]}))
+    assert {tuple(r) for r in records.read_folds(spark, str(tmp_path / "f.json"), "folds-v1").collect()} == {("a", 0), ("b", 1)}
 
 
 def test_submission_round_trip(spark, tmp_path):
@@ -73,3 +73,17 @@ def test_resume_and_bundle(spark, tmp_path):
     assert sinks.write_pending(rows, str(tmp_path / "t")).count() == 2
     sinks.write_bundle({tmp_path / "r.json": b"{}", tmp_path / "r.md": b"#"})
     assert (tmp_path / "r.md").read_bytes() == b"#"
+
+
+def test_repeats_and_conflicts_inside_one_file(spark, tmp_path):
+    lines = [{"id": "a", "content": "x"}, {"id": "a", "content": "x"}, {"id": "b", "content": "one"}, {"id": "b", "content": "two"}]
+    (tmp_path / "d.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n\t\n \nnot json\n")
+    (tmp_path / "scan.pdf").write_bytes(b"%PDF")
+    kept, errors = documents.read_directory(spark, str(tmp_path))
+    assert sorted((r.doc_id, r.raw_text) for r in kept.collect()) == [("a", "x"), ("b", "one")]
+    assert sorted(r.error for r in errors.collect()) == ["conflicting duplicate id: b", "invalid JSON line", "unsupported file type"]
+
+
+def test_rejected_lines_are_whole(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text("x" * 500 + "\n")
+    assert [len(r.line) for r in records.read_chunks(spark, str(tmp_path))[1].collect()] == [500]
