@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import FMClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from lexatlas.llm.common import save, small_batches
 
 #: Bits of the term hash, terms the model may weigh, and labelled rows it learns from at most.
-HASH_BITS, MODEL_TERMS, SAMPLE_ROWS = 24, 512, 20_000
+HASH_BITS, MODEL_TERMS, SAMPLE_ROWS = 24, 256, 20_000
 FACTORS = 4
 #: Occurrences a term needs among the sample's rows.
 LEAST_ROWS = 3
@@ -146,8 +147,10 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
             yield pd.Series(out)
 
     learn = save(rows.select(F.col("toxic").cast("double").alias("label"), dense("text").alias("features")), "features")
-    vectors = learn.select("label", array_to_vector("features").alias("features")).coalesce(12).persist()
-    machine = FMClassifier(factorSize=FACTORS, maxIter=120, stepSize=0.1, regParam=1e-2, initStd=0.01, seed=seed, solver="adamW").fit(vectors)
+    vectors = learn.select("label", array_to_vector("features").alias("dense")).coalesce(12)
+    # The assembler stores the few terms of a row sparsely.
+    vectors = VectorAssembler(inputCols=["dense"], outputCol="features").transform(vectors).select("label", "features").persist()
+    machine = FMClassifier(factorSize=FACTORS, maxIter=100, stepSize=0.1, regParam=1e-2, initStd=0.01, seed=seed, solver="adamW").fit(vectors)
     vectors.unpersist()
     return Model(terms, float(machine.intercept), machine.linear.toArray(), machine.factors.toArray())
 
