@@ -26,8 +26,10 @@ from lexatlas.llm.common import save, small_batches
 #: Bits of the term hash, terms the model may weigh, and labelled rows it learns from at most.
 HASH_BITS, MODEL_TERMS, SAMPLE_ROWS = 24, 256, 20_000
 FACTORS = 4
-#: Occurrences a term needs among the sample's rows.
-LEAST_ROWS = 3
+#: Rows of the sample that a term needs, and the log-likelihood ratio that tells it from chance.
+LEAST_ROWS, LEAST_RATIO = 3, 5.0
+#: Training of the machine.
+TRAINING = {"maxIter": 100, "stepSize": 0.1, "regParam": 1e-3, "initStd": 0.01}
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words a worker remembers the terms of.
 REMEMBERED = 500_000
@@ -118,7 +120,7 @@ def choose_terms(rows: DataFrame, model_terms: int) -> dict[int, int]:
         rest = F.lit(of) - seen
         return F.when(seen > 0, seen * F.log(seen / (share * F.lit(max(1, of))))).otherwise(0.0) + F.when(rest > 0, rest * F.log(rest / ((1 - share) * F.lit(max(1, of))))).otherwise(0.0)
 
-    best = present.withColumn("tells", part(F.col("a"), clean) + part(F.col("b"), toxic)).orderBy(F.col("tells").desc(), "term").limit(model_terms)
+    best = present.withColumn("tells", part(F.col("a"), clean) + part(F.col("b"), toxic)).filter(F.col("tells") >= LEAST_RATIO).orderBy(F.col("tells").desc(), "term").limit(model_terms)
     return {r["term"]: i for i, r in enumerate(best.select("term").collect())}
 
 
@@ -134,6 +136,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
         share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
         return Model({}, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
     terms = choose_terms(rows, model_terms)
+    if not terms:
+        share = counts[1] / sum(counts.values())
+        return Model({}, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
 
     @F.pandas_udf("array<double>")
     def dense(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -150,7 +155,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     vectors = learn.select("label", array_to_vector("features").alias("dense")).coalesce(12)
     # The assembler stores the few terms of a row sparsely.
     vectors = VectorAssembler(inputCols=["dense"], outputCol="features").transform(vectors).select("label", "features").persist()
-    machine = FMClassifier(factorSize=FACTORS, maxIter=100, stepSize=0.1, regParam=1e-2, initStd=0.01, seed=seed, solver="adamW").fit(vectors)
+    machine = FMClassifier(factorSize=FACTORS, seed=seed, solver="adamW", **TRAINING).fit(vectors)
     vectors.unpersist()
     return Model(terms, float(machine.intercept), machine.linear.toArray(), machine.factors.toArray())
 
