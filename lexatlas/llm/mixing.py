@@ -25,6 +25,8 @@ from lexatlas.llm.common import BROADCAST_ROWS, WORD, level_buckets, numbered, r
 #: Words per block where single words matter, and where documents should stay whole.
 FINE_BLOCK, TEXT_BLOCK = 32, 2048
 SHARD_SLOTS = 4096
+#: Slots that one task makes out of the counts.
+TASK_SLOTS = 100_000
 #: Rounds of the permutation, and cells per lookup of a draw.
 ROUNDS, CELLS = 20, 1024
 
@@ -121,6 +123,7 @@ def mix(
     counts = save(draw_counts(sources, total, shard_slots, seed, small), "draws")
     ahead = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     drawn = counts.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    drawn = drawn.repartition(max(1, total // TASK_SLOTS), "source_no", "shard")  # few rows of counts, many slots
     slots = drawn.select("shard", "source_no", F.explode(F.sequence(F.col("ahead"), F.col("ahead") + F.col("n") - 1)).alias("j"))
 
     # Settlement: draws beyond a source's target go, one by one, to the sources that were drawn too rarely.
