@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexatlas.functions import text as tx
 from lexatlas.operators import bm25, mining, models, ranking, vectors
-from lexatlas.operators.joins import fits_broadcast, salted_join, spread
+from lexatlas.operators.joins import fits_broadcast, narrow, salted_join, spread
 
 KNN_DEPTH = 20
 TABLES = ("documents", "benchmark", "labels", "embeddings", "conversations", "pages", "events")
@@ -75,9 +75,10 @@ def scored_pool(spark: SparkSession, folder: str) -> DataFrame:
     all start from them.
     """
     words = lambda column: F.array_distinct(tx.word_tokens(F.col(column)))
-    texts = documents(spark, folder).select("doc_id", words("text").alias("dw"))
+    found = bm25_ranking(spark, folder)
+    texts = narrow(table(spark, folder, "documents").select("doc_id", "text"), found, "doc_id").select("doc_id", words("text").alias("dw"))
     asked = questions(spark, folder).select("qid", words("question").alias("qw"))
-    pairs = bm25_ranking(spark, folder).join(texts, "doc_id").join(asked, "qid")
+    pairs = found.join(texts, "doc_id").join(asked, "qid")
     common = F.size(F.array_intersect("qw", "dw"))
     return pairs.select(
         "qid", "doc_id", "rank", "score",
@@ -103,10 +104,11 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
         frame.select("qid", "doc_id", "rank", "score", F.lit(name).alias("source"), F.lit(i).alias("source_order"))
         for i, (name, frame) in enumerate((("bm25", bm25_ranking(spark, folder)), ("dense", jaccard_ranking(spark, folder))))
     ]
-    texts = documents(spark, folder).select(
+    both = channels[0].unionByName(channels[1])
+    texts = narrow(table(spark, folder, "documents").select("doc_id", "text", "source"), both, "doc_id").select(
         "doc_id", "text", F.col("source").alias("law_name"), mining.long_tokens(F.col("text")).alias("tokens")
     )
-    return channels[0].unionByName(channels[1]).join(texts, "doc_id").withColumn("ambiguous", F.lit(False))
+    return both.join(texts, "doc_id").withColumn("ambiguous", F.lit(False))
 
 
 def knn(spark: SparkSession, folder: str, k: int = KNN_DEPTH, labels: list[int] | None = None) -> DataFrame:

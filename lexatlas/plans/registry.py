@@ -27,6 +27,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """Import the query modules once and return both tables."""
-    from lexatlas.plans import answer_queries, corpus_queries, evaluation_queries, retrieval_queries, text_queries  # noqa: F401
+    from lexatlas.plans import answer_queries, corpus_queries, evaluation_queries, invariant_queries, retrieval_queries, text_queries  # noqa: F401
 
     return dict(QUERIES), dict(ORACLES)
