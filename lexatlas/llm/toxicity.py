@@ -10,6 +10,7 @@ whole texts and never sees labels, language, source or id.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,8 +32,8 @@ LEAST_ROWS, LEAST_RATIO = 3, 5.0
 #: Training of the machine.
 TRAINING = {"maxIter": 100, "stepSize": 0.1, "regParam": 1e-3, "initStd": 0.01}
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Words a worker remembers the terms of.
-REMEMBERED = 500_000
+#: Words a worker remembers the terms of, and terms it counts before it hands the counts on.
+REMEMBERED, COUNTED = 150_000, 50_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -101,14 +102,20 @@ def choose_terms(rows: DataFrame, model_terms: int) -> dict[int, int]:
     """Terms whose presence tells most about the label, as (hash, place in the model)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[int, list[int]] = {}
-        terms = Terms()
+        terms, held = Terms(), {0: Counter(), 1: Counter()}
+
+        def told() -> pd.DataFrame:
+            rows = [(term, n if not toxic else 0, n if toxic else 0) for toxic, counts in held.items() for term, n in counts.items()]
+            for counts in held.values():
+                counts.clear()
+            return pd.DataFrame(rows, columns=["term", "clean", "toxic"])
+
         for frame in batches:
             for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
-                for term in terms.of(text):
-                    counts.setdefault(term, [0, 0])[int(toxic)] += 1
-        if counts:
-            yield pd.DataFrame({"term": list(counts), "clean": [c[0] for c in counts.values()], "toxic": [c[1] for c in counts.values()]})
+                held[int(toxic)].update(terms.of(text))
+                if len(held[0]) + len(held[1]) > COUNTED:
+                    yield told()
+        yield told()
 
     sums = rows.groupBy("toxic").count().collect()
     clean, toxic = (sum(r["count"] for r in sums if r["toxic"] == k) for k in (0, 1))
