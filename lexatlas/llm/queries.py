@@ -176,6 +176,13 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return top_documents(questions, table(spark, folder, "documents"))
 
 
+@query("op9_bm25_documents")
+def op9_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The search contract's questions: every document whose id is divisible by 20, whole, against all documents."""
+    documents = table(spark, folder, "documents")
+    return top_documents(documents.filter(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text"), documents)
+
+
 @query("op3_lsh_forest")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexatlas.llm.common import small_batches
+from lexatlas.llm.common import numbered, save, small_batches
 
 K1, B = 1.2, 0.75
 #: Documents per shard and per block of an index.
@@ -56,32 +56,45 @@ def _statistics(documents: DataFrame, vocabulary: set[bytes]) -> tuple[int, floa
 
 
 class Shard:
-    """The postings of some documents for the wanted terms, with block maxima."""
+    """The postings of some documents for the wanted terms, with block maxima; its size follows its postings."""
 
-    def __init__(self, found: list[list[int]], lengths: list[int], idf: np.ndarray, mean: float):
+    def __init__(self, found: list[np.ndarray], lengths: list[int], idf: np.ndarray, mean: float):
         self.size = len(found)
         self.blocks = -(-self.size // BLOCK_DOCS)
         docs, terms, counts = [], [], []
         for number, places in enumerate(found):
-            if places:
-                term, count = np.unique(np.array(places, np.int32), return_counts=True)
+            if len(places):
+                term, count = np.unique(np.asarray(places, np.int32), return_counts=True)
                 docs.append(np.full(len(term), number, np.int32))
                 terms.append(term)
                 counts.append(count)
         none = np.empty(0, np.int32)
         doc, term, count = (np.concatenate(x) if x else none for x in (docs, terms, counts))
-        order = np.argsort(term, kind="stable")
-        self.doc, term, count = doc[order], term[order], count[order].astype(float)
+        self.terms, place = np.unique(term, return_inverse=True)
+        key = (doc // BLOCK_DOCS).astype(np.int64) * len(self.terms) + place
+        order = np.argsort(key, kind="stable")
+        key, self.doc, term, count = key[order], doc[order], term[order], count[order].astype(float)
         length = np.array(lengths, float)[self.doc]
         self.weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean))
-        self.start = np.searchsorted(term, np.arange(len(idf) + 1))
-        self.block = self.doc // BLOCK_DOCS
-        self.maxima = np.zeros((len(idf), self.blocks))
-        np.maximum.at(self.maxima, (term, self.block), self.weight)
+        self.start = np.searchsorted(key, np.arange(self.blocks * len(self.terms) + 1))
+        self.maxima = np.zeros((len(self.terms), self.blocks))
+        np.maximum.at(self.maxima, (place[order], self.doc // BLOCK_DOCS), self.weight)
+
+    def _scores(self, blocks: np.ndarray, at: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Scores of the documents of some blocks, all terms at once."""
+        keys = (blocks[:, None] * len(self.terms) + at[None, :]).ravel()
+        low, count = self.start[keys], self.start[keys + 1] - self.start[keys]
+        posting = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        weight = np.repeat(np.tile(times, len(blocks)), count) * self.weight[posting]
+        return np.bincount(self.doc[posting], weight, minlength=self.size)
 
     def best(self, terms: np.ndarray, times: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """Document numbers and scores of every document that may be among the k best and reaches ``least``."""
-        bound = times @ self.maxima[terms]
+        at = np.searchsorted(self.terms, terms)
+        here = at < len(self.terms)
+        here[here] = self.terms[at[here]] == terms[here]
+        at, times = at[here], times[here]
+        bound = times @ self.maxima[at]
         order = np.argsort(-bound, kind="stable")
         scores = np.zeros(self.size)
         done, step = 0, 2
@@ -91,12 +104,7 @@ class Shard:
             live = live[(bound[live] > 0) & (bound[live] >= least - 10.0**-DECIMALS)]
             if not len(live):
                 break
-            wanted = np.zeros(self.blocks, bool)
-            wanted[live] = True
-            for term, weight in zip(terms, times, strict=True):
-                low, high = self.start[term], self.start[term + 1]
-                hit = wanted[self.block[low:high]]
-                scores[self.doc[low:high][hit]] += weight * self.weight[low:high][hit]
+            scores += self._scores(live, at, times)
             done, step = done + len(live), step * 4
             above = scores[scores > 0]
             if len(above) >= k:
@@ -125,7 +133,7 @@ def _leaders(documents: DataFrame, questions: list[tuple[int, list[bytes]]], sta
                 for doc_id, text in zip(frame["doc_id"].tolist(), frame["text"], strict=True):
                     words = terms_of(text)
                     ids.append(doc_id)
-                    found.append([terms[w] for w in words if w in terms])
+                    found.append(np.array([terms[w] for w in words if w in terms], np.int32))
                     lengths.append(len(words))
                     if len(ids) == SHARD_DOCS:
                         yield ids, found, lengths
@@ -158,24 +166,30 @@ def top_documents(questions: DataFrame, documents: DataFrame, k: int = 10) -> Da
     words are not found; equal scores (to six decimals) go to the smaller id.
     Rows without id take no part, null texts are empty, repeated rows are
     found each, other columns are not read, and empty tables find nothing.
-    Questions are answered in blocks, each in one pass over all documents.
+    Questions of any length are kept as a saved table and answered in blocks
+    of ``QUESTION_BLOCK``, each in one pass over all documents.
     """
     spark = documents.sparkSession
     small_batches(spark)
     corpus = documents.filter("doc_id is not null").select("doc_id", "text")
     asked = questions.filter("query_id is not null").select("query_id", "text")
-    found = spark.createDataFrame([], FOUND)
-    block: list[tuple[int, list[bytes]]] = []
+    placed = numbered(asked, [F.col("query_id"), F.col("text")], "_at").withColumn("_block", F.floor(F.col("_at") / QUESTION_BLOCK))
+    placed = save(placed.select("query_id", "text", "_block"), "questions")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
-    def answer() -> DataFrame:
+    last = placed.agg(F.max("_block")).first()[0]
+    parts = []
+    for number in range(0 if last is None else last + 1):
+        rows = placed.filter(F.col("_block") == number).select("query_id", "text").collect()
+        block = [(row["query_id"], terms_of(row["text"])) for row in rows]
         statistics = _statistics(corpus, {w for _, words in block for w in words})
-        return found.unionByName(_leaders(corpus, block, statistics, k))
-
-    for row in asked.orderBy("query_id").toLocalIterator():
-        block.append((row["query_id"], terms_of(row["text"])))
-        if len(block) == QUESTION_BLOCK:
-            found, block = answer(), []
-    if block:
-        found = answer()
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+        parts.append(_leaders(corpus, block, statistics, k))
+        if last:  # more blocks: only the leaders of each stay, and its questions leave the driver
+            parts[-1] = save(ranked(parts[-1]).select("query_id", "doc_id", "score"), "leaders")
+    found = spark.createDataFrame([], FOUND)
+    for part in parts:
+        found = found.unionByName(part)
+    return ranked(found)

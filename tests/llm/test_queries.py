@@ -11,7 +11,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from lexatlas.llm import mixing, toxicity
+from lexatlas.llm import mixing, toxicity, wand
 from lexatlas.llm.queries import ORACLES, QUERIES
 
 from test_text_operators import brute_components, brute_lines, reference_ids
@@ -41,6 +41,19 @@ def test_query_matches_sql(spark, name):
     assert Counter(tuple(r[c] for c in names) for r in frame.collect()) == want
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+@pytest.mark.parametrize("block", [1024, 3])
+def test_documents_as_questions_match_sql(spark, monkeypatch, block):
+    """The SQL of op9 with each document whose id is divisible by 20 as an item of its benchmark."""
+    monkeypatch.setattr(wand, "QUESTION_BLOCK", block)
+    sql = duckdb.connect()
+    sql.execute(f"create view documents as select * from '{FOLDER}/documents.parquet'")
+    sql.execute("create view benchmark as select doc_id as item_id, text from documents where doc_id % 20 = 0")
+    want = Counter(sql.execute(f"select query_id, rank, doc_id, score from ({ORACLES['op9_bm25_topk']})").fetchall())
+    got = QUERIES["op9_bm25_documents"](spark, FOLDER).select("query_id", "rank", "doc_id", "score").collect()
+    assert len({q for q, *_ in want}) == 10 and Counter(tuple(r) for r in got) == want
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 def test_near_duplicates_of_the_table(spark):
     got = [(r.doc_id, r.fingerprint, r.component_id) for r in QUERIES["op2_simhash_near_dedup"](spark, FOLDER).collect()]
