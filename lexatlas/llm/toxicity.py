@@ -2,7 +2,7 @@
 
 Terms of a text are its words (ASCII lower case, outer punctuation removed)
 and their beginnings of four and five characters, hashed. From a bounded
-sample of labelled rows the terms that go with either label are chosen, and a
+sample of labelled rows all terms that go with either label are chosen, and a
 factorization machine learns a weight for each and, through its factors, for
 each pair: such as an insult beside the mention of a group. Scoring reads
 whole texts and never sees labels, language, source or id.
@@ -17,15 +17,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import FMClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexatlas.llm.common import save, small_batches
 
-#: Bits of the term hash, terms the model may weigh, and labelled rows it learns from at most.
-HASH_BITS, MODEL_TERMS, SAMPLE_ROWS = 24, 256, 20_000
+#: Bits of the term hash, and labelled rows the model learns from at most.
+HASH_BITS, SAMPLE_ROWS = 24, 20_000
 FACTORS = 4
 #: Rows of the sample that a term needs, and the log-likelihood ratio that tells it from chance.
 LEAST_ROWS, LEAST_RATIO = 3, 5.0
@@ -77,7 +76,7 @@ class Terms:
 
 @dataclass(frozen=True)
 class Model:
-    """A fitted machine; its size is bounded by ``MODEL_TERMS`` and ``FACTORS``."""
+    """A fitted machine; it grows with the terms of the sample and ``FACTORS``."""
 
     terms: dict[int, int]
     bias: float
@@ -98,8 +97,8 @@ def labelled(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     return documents.select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
 
-def choose_terms(rows: DataFrame, model_terms: int) -> dict[int, int]:
-    """Terms whose presence tells most about the label, as (hash, place in the model)."""
+def choose_terms(rows: DataFrame) -> dict[int, int]:
+    """All terms whose presence tells more about the label than chance, as (hash, place in the model)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms, held = Terms(), {0: Counter(), 1: Counter()}
@@ -127,11 +126,11 @@ def choose_terms(rows: DataFrame, model_terms: int) -> dict[int, int]:
         rest = F.lit(of) - seen
         return F.when(seen > 0, seen * F.log(seen / (share * F.lit(max(1, of))))).otherwise(0.0) + F.when(rest > 0, rest * F.log(rest / ((1 - share) * F.lit(max(1, of))))).otherwise(0.0)
 
-    best = present.withColumn("tells", part(F.col("a"), clean) + part(F.col("b"), toxic)).filter(F.col("tells") >= LEAST_RATIO).orderBy(F.col("tells").desc(), "term").limit(model_terms)
+    best = present.withColumn("tells", part(F.col("a"), clean) + part(F.col("b"), toxic)).filter(F.col("tells") >= LEAST_RATIO).orderBy(F.col("tells").desc(), "term")
     return {r["term"]: i for i, r in enumerate(best.select("term").collect())}
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, model_terms: int = MODEL_TERMS, seed: int = 5) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 5) -> Model:
     """Learn from at most ``sample_rows`` labelled rows outside the held-out fifth.
 
     Without two different labels the model scores every text by their share.
@@ -142,26 +141,21 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     if not counts.get(0) or not counts.get(1):
         share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
         return Model({}, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
-    terms = choose_terms(rows, model_terms)
+    terms = choose_terms(rows)
     if not terms:
         share = counts[1] / sum(counts.values())
         return Model({}, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
 
-    @F.pandas_udf("array<double>")
-    def dense(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("array<int>")
+    def places(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         finder = Terms(terms)
         for texts in batches:
-            out = []
-            for text in texts:
-                row = np.zeros(len(terms))
-                row[list(finder.of(text))] = 1.0
-                out.append(row)
-            yield pd.Series(out)
-
-    learn = save(rows.select(F.col("toxic").cast("double").alias("label"), dense("text").alias("features")), "features")
-    vectors = learn.select("label", array_to_vector("features").alias("dense")).coalesce(12)
-    # The assembler stores the few terms of a row sparsely.
-    vectors = VectorAssembler(inputCols=["dense"], outputCol="features").transform(vectors).select("label", "features").persist()
+            yield pd.Series([sorted(finder.of(text)) for text in texts])
+
+    size = len(terms)
+    sparse = F.udf(lambda at: Vectors.sparse(size, at, [1.0] * len(at)), VectorUDT())
+    learn = save(rows.select(F.col("toxic").cast("double").alias("label"), places("text").alias("places")), "features")
+    vectors = learn.coalesce(12).select("label", sparse("places").alias("features")).persist()
     machine = FMClassifier(factorSize=FACTORS, seed=seed, solver="adamW", **TRAINING).fit(vectors)
     vectors.unpersist()
     return Model(terms, float(machine.intercept), machine.linear.toArray(), machine.factors.toArray())

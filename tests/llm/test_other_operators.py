@@ -195,6 +195,23 @@ def test_toxicity_learns_pairs(spark):
     assert kept.columns == docs.columns and kept.count() == sum(1 - r.predicted for r in got)
 
 
+def test_toxicity_weighs_rare_terms(spark):
+    """200 insults of some rows each: no bound on terms leaves any without a weight."""
+    picks = random.Random(3)
+    insults = ["".join(picks.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(200)]
+    rows = []
+    for i in range(5600):
+        text = [f"w{picks.randint(0, 300)}" for _ in range(12)] + [insults[i // 2 % 200]] * (i % 2)
+        rows.append((i, " ".join(text), i % 2))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    told = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    truth = {i: t for i, _, t in rows}
+    got = [(r.predicted, truth[r.doc_id]) for r in toxicity.score_documents(docs, told).collect() if r.held_out]
+    assert sum(t for _, t in got) > 300
+    assert sum(p and t for p, t in got) >= 0.95 * sum(t for _, t in got)
+    assert sum(p and t for p, t in got) >= 0.95 * sum(p for p, _ in got)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
