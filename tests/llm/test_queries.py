@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -133,3 +134,40 @@ def test_stages_equal_brute_force(spark, tmp_path):
             assert Counter((r.doc_id, r.start, r.ids_crc32) for r in after) == want
     whole = corpus_pipeline.run(spark, folder).collect()
     assert Counter((r.doc_id, r.start, r.ids_crc32) for r in whole) == Counter((r.doc_id, r.start, r.ids_crc32) for r in kept["packing"])
+
+
+def test_stage_links_at_five_word_similarity(spark):
+    """Copies with words replaced: those at 0.8 or more go, also through others, and those below stay."""
+    picks = random.Random(21)
+    rows = []
+    for g in range(40):
+        base = [f"g{g}w{picks.randint(0, 9999)}" for _ in range(200)]
+        for c in range(5):
+            copy = list(base)
+            for at in picks.sample(range(5, 195, 8), [0, 2, 4, 7, 10][c]):
+                copy[at] = f"new{picks.random()}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(900, None), (901, " "), (902, "a few words"), (903, "A few  words"), (None, "no id"), (None, "no id"), (None, rows[0][1]), (902, "a few words")]
+
+    def pieces(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets, root = [pieces(t) for _, t in rows], list(range(len(rows)))
+    levels = set()
+    for i in range(len(rows)):
+        for j in range(i):
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if 5 * both >= 4 * either:
+                levels.add(round(both / either, 2) if either else 1.0)
+                root = [root[j] if r == root[i] else r for r in root]
+    assert any(0.8 <= x < 0.85 for x in levels) and any(0.85 <= x < 0.95 for x in levels)
+    groups = defaultdict(list)
+    for r, (i, _) in zip(root, rows):
+        groups[r].append(i)
+    want = Counter(min((i for i in ids if i is not None), default=None) for ids in groups.values())
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("kept"))
+    got = stage(spark, frame, "")
+    assert got.columns == frame.columns and Counter(r.doc_id for r in got.collect()) == want
+    assert stage(spark, frame.limit(0), "").count() == 0
