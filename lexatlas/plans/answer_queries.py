@@ -258,7 +258,7 @@ def selector_documents(spark, folder):
 
 @query("selector_fold")
 def selector_fold(spark, folder):
-    """One outer fold of the answer selector over the whole bank."""
+    """Nested choice of the answer selector over the whole bank: every question, in the fold that leaves it out."""
     pairs = turn_pairs(spark, folder)
     bank = answers.candidate_bank(pairs).join(pairs, "qid")
     rows = bank.select(
@@ -267,6 +267,4 @@ def selector_fold(spark, folder):
         scoring.meteor(F.col("question"), F.col("answer")).alias("target"),
     )
     assigned = folds.hashed_folds(folds.with_group(pairs.select("qid", "question")), 3).select("qid", "fold")
-    placed = rows.join(assigned, "qid").persist()
-    scored = selector.fit_scores(placed.where("fold <> 0"), placed.where("fold = 0"), trees=10, seed=2026, depth=5)
-    return selector.pick(scored).select("method", "qid", "profile")
+    return selector.select_nested(rows, assigned, 3).select("method", "qid", "profile")

@@ -1,7 +1,13 @@
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from lexatlas.functions import patterns as P
-from lexatlas.operators import answers, citations, evidence
+from lexatlas.operators import answers, citations, evidence, selector
+from lexatlas.plans import answer_queries
+
+FOLDER = os.environ.get("LEXATLAS_DATA", "/root/testdata/sf0.001")
 
 
 def test_find_words_and_windows():
@@ -59,3 +65,19 @@ def test_citations(spark):
     hits = spark.createDataFrame([(0, 1, "c1", "luật lao động - 2019", "điều 10", "Khoản 1", "Điểm a"), (0, 2, "c2", "Bộ luật Lao động", "Điều 10", "khoản 1", "điểm a")], "qid int, rank int, chunk_id string, law_name string, article string, clause string, point string")
     checked = citations.verify(citations.parse_citations(spark.createDataFrame([(0, texts[0])], "qid int, answer string")), hits).first()
     assert checked.is_verified and checked.chunk_id == "c1" or checked.chunk_id == "c2"
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_selector_chooses_for_every_question(spark, monkeypatch):
+    """All outer and inner folds are fitted with the full forests; only the fits themselves are replaced."""
+    fits = []
+
+    def scores(train, valid, trees, seed, depth=12):
+        fits.append((trees, depth))
+        return valid.select("qid", "profile", "position", "target", "answer", *[F.col("target").alias(m) for m in selector.METHODS])
+
+    monkeypatch.setattr(selector, "fit_scores", scores)
+    got = [r.qid for r in answer_queries.selector_fold(spark, FOLDER).select("qid").collect()]
+    asked = [r.qid for r in answer_queries.turn_pairs(spark, FOLDER).select("qid").collect()]
+    assert sorted(got) == sorted(set(asked)) and len(got) > 0
+    assert sorted(fits) == [(selector.TREES["inner"], 12)] * 6 + [(selector.TREES["outer"], 12)] * 3
