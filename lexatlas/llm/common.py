@@ -8,7 +8,8 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,11 @@ BROADCAST_ROWS = 100_000
 BATCH_ROWS = 1_000
 
 
+#: Folders made for sessions that name none, by application; and the tables of the scratch blocks that are open.
+_folders: dict[str, str] = {}
+_scratch: list[list[str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or an own one in local runs only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -29,22 +35,52 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="lexatlas-", dir=os.environ.get("TMPDIR"))
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _folders:
+        _folders[application] = tempfile.mkdtemp(prefix="lexatlas-", dir=os.environ.get("TMPDIR"))
+    return _folders[application]
 
 
 def save(frame: DataFrame, what: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends, any executor can reread it.
 
     Also fixes values that a recomputation might number anew, and lets later
-    readers fetch single columns.
+    readers fetch single columns. Inside a ``scratch`` block the table goes
+    with the block.
     """
     path = f"{shared_folder(frame.sparkSession)}/lexatlas/{what}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A block whose saved tables are deleted at its end; what it yields saves a table that outlives the block.
+
+    Nothing lazy may leave the block but what reads tables saved that way, so
+    a lost executor finds every table that its work still needs.
+    """
+    own: list[str] = []
+
+    def keep(frame: DataFrame, what: str) -> DataFrame:
+        _scratch.remove(own)
+        try:
+            return save(frame, what)
+        finally:
+            _scratch.append(own)
+
+    _scratch.append(own)
+    try:
+        yield keep
+    finally:
+        _scratch.remove(own)
+        for name in own:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the texts per Arrow batch of this session."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:

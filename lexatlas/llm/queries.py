@@ -12,12 +12,15 @@ from lexatlas.llm.forest import nearest
 from lexatlas.llm.lines import dedup_lines
 from lexatlas.llm.mixing import taken_words
 from lexatlas.llm.packing import pack
+from lexatlas.llm.phrases import collocations
 from lexatlas.llm.preference import format_preferences, own_reply_pairs
 from lexatlas.llm.simhash import near_duplicates
+from lexatlas.llm.suffixes import remove_repeats
 from lexatlas.llm.token_counts import count_tokens
 from lexatlas.llm.toxicity import score_documents
 from lexatlas.llm.wand import top_documents
 from lexatlas.llm.warc import archive_pages
+from lexatlas.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -186,3 +189,45 @@ def op9_documents(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_lsh_forest")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op11_suffix_dedup")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and spans removed of each document, and the digest of what is left."""
+    found = remove_repeats(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+sized AS (SELECT lang, w, unnest(range(1, least(5, len(w)) + 1)) AS m FROM p WHERE len(w) > 0),
+grams AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS i FROM sized)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 100),
+cuts AS (SELECT *, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:len(w)], ' ') AS tail FROM (SELECT *, unnest(range(1, len(w))) AS k FROM c)),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, k, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = tail JOIN totals ON totals.lang = cuts.lang
+), weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ones AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS i FROM (SELECT *, unnest(range(2, len(w))) AS m FROM c)) GROUP BY ALL
+), kept AS (SELECT weakest.* FROM weakest LEFT JOIN inner_ones USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
+
+@query("op12_phrase_collocations", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings"))
