@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,6 +109,32 @@ def lowered(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+#: Bounds of a bit filter's size as powers of two: at most 32 MB.
+FILTER_LEAST, FILTER_MOST = 16, 28
+
+
+def bit_filter(values: DataFrame, column: str, per_value: int) -> np.ndarray:
+    """A bit for each value of a long column, as 64-bit words: ``per_value`` bits a row, up to a fixed size.
+
+    Sent to tasks to leave out rows that cannot match before anything is
+    exchanged. It passes some that do not; full, it only filters less.
+    """
+    count = max(1, values.count())
+    bits = min(FILTER_MOST, max(FILTER_LEAST, (count * per_value).bit_length()))
+    slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    placed = values.select(slot.alias("_slot")).select(F.shiftright("_slot", 6).alias("at"), F.expr("shiftleft(1L, cast(_slot & 63 as int))").alias("bit"))
+    table = np.zeros(1 << bits - 6, np.int64)
+    for row in placed.groupBy("at").agg(F.bit_or("bit").alias("bits")).toLocalIterator():  # no more rows than the filter has words
+        table[row["at"]] = row["bits"]
+    return table.view(np.uint64)
+
+
+def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the values (uint64) the filter lets pass."""
+    slots = values & np.uint64((len(bits) << 6) - 1)
+    return (bits[(slots >> np.uint64(6)).astype(np.int64)] >> (slots & np.uint64(63))) & np.uint64(1) > 0
+
+
 def level_buckets(rows: int) -> int:
     """Buckets for two-level numbering: both levels hold about the root of the rows."""
     return max(1, math.isqrt(max(rows, 0)) // 16)

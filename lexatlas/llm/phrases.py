@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexatlas.llm.common import save, scratch, small_batches
+from lexatlas.llm.common import bit_filter, passes, save, scratch, small_batches
 from lexatlas.llm.sorted_runs import decode, equal_groups, front_code
 
 LEAST, LONGEST, TOP = 100, 5, 2000
@@ -33,8 +33,8 @@ SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
 BATCH_WORDS, BURST, HELD = 1 << 19, 1 << 14, 1 << 20
 #: Words of the corpus per partition of prefixes.
 PARTITION_WORDS = 2_000_000
-#: Bits per frequent phrase and bounds of the filter's size as powers of two: at most 32 MB.
-FILTER_BITS, FILTER_LEAST, FILTER_MOST = 16, 16, 28
+#: Bits of the filter per frequent phrase.
+FILTER_BITS = 16
 #: Bytes of a text whose words are found at a time, up to the next separator.
 CHUNK = 1 << 22
 TO_BORDER = bytes.maketrans(SEPARATORS, BORDER * len(SEPARATORS))
@@ -218,10 +218,9 @@ def _counts(documents: DataFrame, sizes: tuple[int, ...], known: tuple[int, np.n
                     at &= real[i : count + i]
                 if filtered is not None:
                     inner, bits = filtered
-                    slots = trie.slots(ids, lang, inner) & np.uint64((len(bits) << 6) - 1)
-                    passes = (bits[(slots >> np.uint64(6)).astype(np.int64)] >> (slots & np.uint64(63))) & np.uint64(1) > 0
+                    known_ones = passes(bits, trie.slots(ids, lang, inner))
                     for i in range(size - inner + 1):
-                        at &= passes[i : count + i]
+                        at &= known_ones[i : count + i]
                 trie.count(ids, lang, size, np.flatnonzero(at))
 
         words, langs, waiting = [], [], 0
@@ -276,18 +275,6 @@ def _counts(documents: DataFrame, sizes: tuple[int, ...], known: tuple[int, np.n
     return merged.unionByName(totals) if 1 in sizes else merged
 
 
-def _filter(frequent: DataFrame, size: int) -> tuple[int, np.ndarray]:
-    """Bits of the frequent phrases' slots; at most 2**(FILTER_MOST - 6) numbers come to the driver."""
-    count = max(1, frequent.count())
-    bits = min(FILTER_MOST, max(FILTER_LEAST, (count * FILTER_BITS).bit_length()))
-    slot = F.col("slot").bitwiseAND(F.lit((1 << bits) - 1))
-    placed = frequent.select(F.shiftright(slot, 6).alias("at"), F.expr(f"shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
-    table = np.zeros(1 << bits - 6, np.int64)
-    for row in placed.groupBy("at").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        table[row["at"]] = row["bits"]
-    return size, table.view(np.uint64)
-
-
 def count_phrases(documents: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """All phrases of up to ``longest`` words that occur ``least`` times or more in their language.
 
@@ -305,7 +292,7 @@ def count_phrases(documents: DataFrame, least: int = LEAST, longest: int = LONGE
         sizes = [(2,), (3,), tuple(range(4, longest + 1))]
         for before, wanted in enumerate(sizes, 1):
             if wanted and wanted[0] <= longest:
-                known = _filter(found[-1].filter("phrase is not null"), before)
+                known = before, bit_filter(found[-1].filter("phrase is not null"), "slot", FILTER_BITS)
                 found.append(save(_counts(bodies, wanted, known, parts, least), "phrases"))
         whole = found[0]
         for more in found[1:]:

@@ -13,9 +13,11 @@ anchor occurs again can be equal. They are then sorted from coarse to fine:
 all windows of an anchor as one suffix; of those that found no equal, aligned
 blocks of windows; of those, single windows. At each step a suffix goes on
 only if it found no equal, met by one copy of those of its anchor that did,
-and blocks whose common bytes are nowhere else are dropped. A run holds equal
-suffixes once, so a string that a third of the corpus repeats is one item per
-run, not a crowded group.
+and blocks whose common bytes are nowhere else are dropped. What occurs again
+is known through bit filters of bounded size, so texts are read again rather
+than exchanged; a filter may let others pass, which then find no equal. A run
+holds equal suffixes once, so a string that a third of the corpus repeats is
+one item per run, not a crowded group.
 """
 
 from __future__ import annotations
@@ -24,22 +26,26 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexatlas.llm.common import save, scratch, small_batches
+from lexatlas.llm.common import bit_filter, passes, save, scratch, small_batches
 from lexatlas.llm.sorted_runs import borders_of, cut_at, decode, equal_groups, front_code
 
 LENGTH = 400
 #: Windows of a block, from step to step.
 STEPS = (16, 1)
 #: Bytes of texts hashed at a time, and of suffixes in one run.
-SEGMENT, RUN_BYTES = 1 << 20, 24 << 20
+SEGMENT, RUN_BYTES = 1 << 20, 16 << 20
+#: Bits of a filter per value that occurs again.
+FILTER_BITS = 64
 #: Suffixes that a range of the sort order is meant to hold, and suffixes that the borders are chosen from.
 RANGE_ITEMS, SAMPLE_ITEMS = 100_000, 4096
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+PLACES = ["key", "start", "windows", "anchor", "class"]
 ITEMS = "key binary, start int, windows int, anchor int, class long, bytes binary"
 
 
@@ -75,9 +81,9 @@ def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
     """Stretches of windows with a common anchor: first window, windows, place of the anchor, its hash.
 
     The anchor of a window is the first of the least hashes of the inner
-    strings of half its length, so it depends on the window's bytes alone.
+    strings of a quarter its length, so it depends on the window's bytes alone.
     """
-    inner = max(1, length // 2)
+    inner = max(1, length // 4)
     width = length - inner + 1
     found: list[tuple[np.ndarray, ...]] = []
     data = np.frombuffer(text, np.uint8)
@@ -108,42 +114,46 @@ def _key(body: Column) -> Column:
     return F.unhex(F.substring(F.sha2(body, 256), 1, 32))
 
 
-def _scan(bodies: DataFrame, length: int) -> DataFrame:
-    """Anchors of every text: key, start, windows, anchor, class (its hash)."""
+def _again(values: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """A filter that passes the values of a long column that several rows have, and the number of these rows."""
+    twice = save(values.groupBy(column).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "twice")
+    return bit_filter(twice, column, FILTER_BITS), twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, parts = [], []
-            for key, body in zip(batch.column("key").to_pylist(), batch.column("body"), strict=True):
-                rows = anchors(body.as_py(), length)
-                keys += [key] * len(rows[0])
-                parts.append(rows)
-            start, windows, anchor, hashes = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else ([], [], [], np.empty(0, np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array(start, pa.int32()), pa.array(windows, pa.int32()), pa.array(anchor, pa.int32()), pa.array(hashes.view(np.int64), pa.int64())],
-                ["key", "start", "windows", "anchor", "class"],
-            )
 
-    return bodies.select("key", "body").mapInArrow(scan, "key binary, start int, windows int, anchor int, class long")
+def _classes(bodies: DataFrame, length: int) -> DataFrame:
+    """The hash of every anchor of every text."""
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [anchors(body.as_py(), length)[3] for body in batch.column("body")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["class"])
 
-def _twice(keyed: DataFrame, column: str) -> DataFrame:
-    """Values of a column that more than one row has."""
-    return keyed.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(column)
+    return bodies.select("body").mapInArrow(scan, "class long")
 
 
-def _cut(held: DataFrame, length: int) -> DataFrame:
-    """One suffix per anchor of the held texts: all its windows."""
+def _cut(bodies: DataFrame, length: int, again: np.ndarray) -> DataFrame:
+    """One suffix per anchor that occurs again: all its windows."""
+    shared = bodies.sparkSession.sparkContext.broadcast(again)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in ITEMS.split(", ")]
         for batch in batches:
-            for key, body, found in zip(batch.column("key").to_pylist(), batch.column("body"), batch.column("found").to_pylist(), strict=True):
+            keys, parts, strings = [], [], []
+            for key, body in zip(batch.column("key").to_pylist(), batch.column("body"), strict=True):
                 text = body.as_py()
-                strings = [text[f["start"] : f["start"] + f["windows"] - 1 + length] for f in found]
-                columns = [pa.array([f[c] for f in found], t) for c, t in (("start", pa.int32()), ("windows", pa.int32()), ("anchor", pa.int32()), ("class", pa.int64()))]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.binary()), *columns, pa.array(strings, pa.binary())], ["key", "start", "windows", "anchor", "class", "bytes"])
+                found = anchors(text, length)
+                wanted = passes(shared.value, found[3])
+                if wanted.any():
+                    start, windows, anchor, hashes = (f[wanted] for f in found)
+                    keys += [key] * len(start)
+                    parts.append((start, windows, anchor, hashes.view(np.int64)))
+                    strings += [text[s : s + n - 1 + length] for s, n in zip(start.tolist(), windows.tolist(), strict=True)]
+            if parts:
+                columns = [np.concatenate(p) for p in zip(*parts, strict=True)]
+                arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *arrays, pa.array(strings, pa.binary())], names)
 
-    return held.select("key", "body", "found").mapInArrow(cut, ITEMS)
+    return bodies.select("key", "body").mapInArrow(cut, ITEMS)
 
 
 RUNS = f"{ITEMS}, run long, number long, again boolean, head boolean, range int, block binary"
@@ -219,69 +229,76 @@ def _merged(runs: DataFrame) -> DataFrame:
     return blocks.groupBy("range").applyInArrow(merge, "run long, number long, first boolean")
 
 
-def sort_suffixes(items: DataFrame) -> DataFrame:
-    """All items with ``repeated`` (equal bytes are elsewhere) and ``copy`` (the one of its equals that stands for them)."""
-    count = items.count()
-    step = max(1, count // SAMPLE_ITEMS)
-    sample = items.select("bytes").filter(F.pmod(F.xxhash64("bytes"), F.lit(step)) == 0).distinct().limit(2 * SAMPLE_ITEMS)
-    borders = borders_of((bytes(r["bytes"]) for r in sample.toLocalIterator()), min(SAMPLE_ITEMS, -(-count // RANGE_ITEMS))) if count > RANGE_ITEMS else []
+def sort_suffixes(items: DataFrame, count: int, sample: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All items with ``repeated`` (equal bytes are elsewhere) and ``copy`` (it stands for its equals), and the heads' bytes.
+
+    ``sample`` holds some of the about ``count`` items, to choose the borders of the ranges from.
+    """
+    borders = []
+    if count > RANGE_ITEMS:
+        found = sample.select("bytes").distinct().limit(2 * SAMPLE_ITEMS).toLocalIterator()
+        borders = borders_of((bytes(r["bytes"]) for r in found), min(SAMPLE_ITEMS, -(-count // RANGE_ITEMS)))
     runs = save(_runs(items, borders), "runs")
-    rows = runs.filter("block is null").drop("range", "block")
+    rows = runs.filter("block is null").drop("range", "block", "bytes")
     met = rows.join(_merged(runs), ["run", "number"], "left")
     stands = F.col("head") & F.coalesce("first", F.lit(True))
-    return met.select(*[c.split()[0] for c in ITEMS.split(", ")], (F.col("again") | F.col("first").isNotNull()).alias("repeated"), stands.alias("copy"))
+    level = met.select(*PLACES, "run", "number", (F.col("again") | F.col("first").isNotNull()).alias("repeated"), stands.alias("copy"))
+    return save(level, "level"), runs.filter("head").select("run", "number", "bytes")
 
 
-def _finer(level: DataFrame, block: int, length: int) -> DataFrame:
-    """The windows that are still open, in blocks of ``block``: those whose common bytes are elsewhere, too."""
-    open_ones = level.filter("not repeated").select("class").distinct()
-    met = level.filter("copy").join(open_ones, "class", "left_semi").withColumn("item", F.xxhash64("key", "start"))
-    met = save(met.select(*[c.split()[0] for c in ITEMS.split(", ")], "item"), "open")
+def _blocks(ahead: int, windows: int, block: int) -> Iterator[tuple[int, int, int]]:
+    """Aligned blocks of the windows of a suffix whose anchor is ``ahead`` bytes in: number, first window, windows."""
+    at = 0
+    while at < windows:
+        number = (ahead - at) // block
+        many = min(windows - at, ahead - at - number * block + 1)
+        yield number, at, many
+        at += many
 
-    def blocks_of(row: dict) -> Iterator[tuple[int, int, int]]:
-        """Blocks of a suffix: number, first window (counted in the suffix), windows."""
-        ahead, windows = row["anchor"] - row["start"], row["windows"]  # window i is ahead - i before its anchor
-        at = 0
-        while at < windows:
-            number = (ahead - at) // block
-            many = min(windows - at, (ahead - at) - number * block + 1)
-            yield number, at, many
-            at += many
 
-    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+def _digests(row: dict, block: int, length: int) -> list[int]:
+    """A hash per block of a suffix, of the bytes that all windows of the whole block have in common."""
+    import xxhash
 
+    ahead, seed = row["anchor"] - row["start"], row["class"]
+    starts = [(number, ahead - number * block) for number, _, _ in _blocks(ahead, row["windows"], block)]
+    return [xxhash.xxh3_64_intdigest(row["bytes"][s : s + length - block + 1], seed + n & (1 << 64) - 1) for n, s in starts]
+
+
+def _finer(level: DataFrame, heads: DataFrame, block: int, length: int) -> tuple[DataFrame, int, DataFrame]:
+    """The windows that are still open, in blocks of ``block``, as items: those whose common bytes are elsewhere, too."""
+    classes = level.filter("not repeated").select("class").distinct()
+    ids = level.filter("copy").join(classes, "class", "left_semi").drop("repeated", "copy")
+    held = save(ids.join(heads, ["run", "number"]).drop("run", "number"), "open")
+
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            item, number, digest = [], [], []
-            for row in batch.to_pylist():
-                ahead, seed = row["anchor"] - row["start"], row["class"] & (1 << 64) - 1
-                for block_no, _, _ in blocks_of(row):
-                    start = ahead - block_no * block
-                    item.append(row["item"])
-                    number.append(block_no)
-                    digest.append(xxhash.xxh3_64_intdigest(row["bytes"][start : start + length - block + 1], seed + block_no & (1 << 64) - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(number, pa.int32()), pa.array(np.array(digest, np.uint64).view(np.int64))], ["item", "number", "digest"])
+            found = [d for row in batch.to_pylist() for d in _digests(row, block, length)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64))], ["digest"])
+
+    again, count = _again(held.mapInArrow(common, "digest long"), "digest")
+    shared = held.sparkSession.sparkContext.broadcast(again)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        names, types = [c.split()[0] for c in ITEMS.split(", ")], [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[tuple] = []
             for row in batch.to_pylist():
-                wanted = set(row["numbers"])
-                for number, at, many in blocks_of(row):
-                    if number in wanted:
+                wanted = passes(shared.value, np.array(_digests(row, block, length), np.uint64)).tolist()
+                for (number, at, many), is_wanted in zip(_blocks(row["anchor"] - row["start"], row["windows"], block), wanted, strict=True):
+                    if is_wanted:
                         inner = xxhash.xxh3_64_intdigest(number.to_bytes(8, "little"), row["class"] & (1 << 64) - 1) - (1 << 63)
-                        for part, x in zip(out, (row["key"], row["start"] + at, many, row["anchor"], inner, row["bytes"][at : at + many - 1 + length]), strict=True):
-                            part.append(x)
-            types = [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-            whole = pa.RecordBatch.from_arrays([pa.array(p, t) for p, t in zip(out, types, strict=True)], [c.split()[0] for c in ITEMS.split(", ")])
-            yield from (whole.slice(i, 4096) for i in range(0, len(out[0]), 4096))
+                        out.append((row["key"], row["start"] + at, many, row["anchor"], inner, row["bytes"][at : at + many - 1 + length]))
+            if out:
+                whole = pa.RecordBatch.from_arrays([pa.array(p, t) for p, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                yield from (whole.slice(i, 4096) for i in range(0, len(out), 4096))
+
+    def some(frame: DataFrame) -> DataFrame:
+        return frame.filter(F.pmod(F.xxhash64("key", "start"), F.lit(max(1, count // SAMPLE_ITEMS))) == 0)
 
-    made = met.mapInArrow(common, "item long, number int, digest long")
-    shared = save(made, "blocks")
-    wanted = shared.join(_twice(shared, "digest"), "digest", "left_semi").groupBy("item").agg(F.collect_set("number").alias("numbers"))
-    return met.join(wanted, "item").mapInArrow(cut, ITEMS)
+    return held.mapInArrow(cut, ITEMS), count, some(held).mapInArrow(cut, ITEMS)
 
 
 def _outcomes(bodies: DataFrame, length: int) -> DataFrame:
@@ -305,21 +322,25 @@ def _outcomes(bodies: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), listed, pa.array([left], pa.binary()), pa.array([hashlib.sha256(left).hexdigest()])], ["key", "spans", "kept", "kept_sha256"])
 
     with scratch(bodies.sparkSession) as keep:
-        found = save(_scan(bodies, length), "anchors")
-        again = found.join(_twice(found, "class"), "class", "left_semi")
-        lists = again.groupBy("key").agg(F.collect_set(F.struct("start", "windows", "anchor", "class")).alias("found"))
-        held = keep(bodies.join(lists, "key"), "held")
-        level = save(sort_suffixes(_cut(held, length)), "level")
+        again, count = _again(_classes(bodies, length), "class")
+        some = bodies.filter(F.pmod(F.xxhash64("body", F.lit(1)), F.lit(max(1, count // SAMPLE_ITEMS))) == 0)
+        level, heads = sort_suffixes(_cut(bodies, length, again), count, _cut(some, length, again))
         spans = [level.filter("repeated").select("key", "start", "windows")]
         for block in STEPS:
-            level = save(sort_suffixes(_finer(level, block, length)), "level")
+            level, heads = sort_suffixes(*_finer(level, heads, block, length))
             spans.append(level.filter("repeated").select("key", "start", "windows"))
         merged = spans[0].unionByName(spans[1]).unionByName(spans[2])
         spans = keep(merged.groupBy("key").agg(F.collect_set(F.struct("start", "windows")).alias("found")), "spans")
-    losing = held.select("key", "body").join(spans, "key").mapInArrow(
-        take_out, "key binary, spans array<struct<start:long,stop:long>>, kept binary, kept_sha256 string"
-    )
-    return losing.dropDuplicates(["key"])
+    losing = bit_filter(spans.select(F.xxhash64("key").alias("key")), "key", FILTER_BITS)
+    shared = bodies.sparkSession.sparkContext.broadcast(losing)
+
+    @F.pandas_udf("boolean")
+    def may_lose(keys: pd.Series) -> pd.Series:
+        return pd.Series(passes(shared.value, keys.to_numpy(np.int64).view(np.uint64)))
+
+    held = bodies.filter(may_lose(F.xxhash64("key"))).select("key", "body")
+    outcomes = held.join(spans, "key").mapInArrow(take_out, "key binary, spans array<struct<start:long,stop:long>>, kept binary, kept_sha256 string")
+    return outcomes.dropDuplicates(["key"])
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -23,7 +23,7 @@ TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(QUERIES) <= set(names) and names["pipeline"] is corpus_pipeline.run
     assert set(ORACLES) <= set(__spark_entry__.oracle_sql())
 
