@@ -11,7 +11,8 @@ neighbours agree in the other half exactly, and only words of the half with
 the edit need leaving out. Variants are hashed keys, so equal ones meet in a
 grouping that keeps only the earliest line and, where one line is the rest of
 longer ones, that line; every match found this way is verified on the words.
-Texts are exchanged once, to meet the numbers of the lines that stay.
+Texts that lose a line are exchanged once, to meet the numbers of those that
+stay; the others are not, where the list of those that lose one is small.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexatlas.llm.common import numbered, save, small_batches
+from lexatlas.llm.common import numbered, save, scratch, small_batches
+from lexatlas.operators.joins import fits_broadcast
 
 MIN_WORDS = 8
 #: Odd bases of the two sequence hashes, and their inverses modulo 2**64.
@@ -33,8 +36,10 @@ INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
 FILTER_BITS = 25
 #: Lines or variants that a task hands on at a time.
 OUT_ROWS = 20_000
-PLACE = ["nameless", "doc_id", "line_no"]
-LINES = "doc_id long, line_no int, h1 long, h2 long, front long, rear long, front_longer long, rear_longer long"
+#: Where a line is: rows that share an id are told apart by their texts' hash. Ids sort before null ids.
+ROW = ["nameless", "doc_id", "twin"]
+PLACE = [*ROW, "line_no"]
+LINES = "doc_id long, twin long, line_no int, h1 long, h2 long, front long, rear long, front_longer long, rear_longer long"
 
 
 def words_of(line: str) -> list[bytes]:
@@ -60,30 +65,36 @@ def _half_keys(words: list[bytes]) -> tuple[int, ...]:
     return tuple(out)
 
 
+def row_key(text: Column = F.col("text")) -> list[Column]:
+    """Columns ``ROW`` of a document."""
+    return [F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("twin")]
+
+
 def scan_lines(documents: DataFrame, min_words: int) -> DataFrame:
     """Non-blank lines: place, two hash halves of the words and, for long lines, their half keys."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in LINES.split(", ")]
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in LINES.split(", ")]
 
-        def made(rows: list) -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in columns if c not in ("line_no", "h1", "h2")})
+        def made(rows: list) -> pa.RecordBatch:
+            columns = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "line_no" else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
 
         rows: list = []
-        for frame in batches:
-            for doc_id, text in zip(frame["doc_id"].tolist(), frame["text"], strict=True):
+        for batch in batches:
+            for doc_id, twin, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "twin", "text")), strict=True):
                 for number, line in enumerate(text.split("\n")):
                     words = words_of(line)
                     if words:
                         keys = _half_keys(words) if len(words) >= min_words else (None,) * 4
-                        rows.append((doc_id, number, *_line_hash(words), *keys))
+                        rows.append((doc_id, twin, number, *_line_hash(words), *keys))
                 if len(rows) >= OUT_ROWS:
                     yield made(rows)
                     rows = []
         if rows:
             yield made(rows)
 
-    return documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(scan, LINES)
+    return documents.select(*row_key(), F.coalesce("text", F.lit("")).alias("text")).drop("nameless").mapInArrow(scan, LINES)
 
 
 def first_places(documents: DataFrame, min_words: int) -> DataFrame:
@@ -91,7 +102,7 @@ def first_places(documents: DataFrame, min_words: int) -> DataFrame:
 
     Equal lines are combined before they are exchanged.
     """
-    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "line_no")
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "twin", "line_no")
     keys = ["front", "rear", "front_longer", "rear_longer"]
     grouped = scan_lines(documents, min_words).groupBy("h1", "h2").agg(F.min(place).alias("place"), *[F.max(k).alias(k) for k in keys])
     return grouped.select("h1", "h2", "place.*", *keys)
@@ -206,7 +217,7 @@ def near_places(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     # An edit lies in front where the rear is shared, and the other way round.
     flagged = keyed.join(shared, "key").groupBy("h1", "h2").agg(F.max("in_front").alias("in_front"), F.max(~F.col("in_front")).alias("in_rear"))
     placed = flagged.join(distinct.select("h1", "h2", *PLACE), ["h1", "h2"])
-    order = [F.col("nameless"), F.col("doc_id"), F.col("line_no")]
+    order = [F.col(c) for c in PLACE]
     candidates = save(numbered(placed, order, "no"), "candidates")
     lines = save(candidate_texts(documents, candidates), "lines")
 
@@ -226,30 +237,67 @@ def near_places(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     return told.filter(verified("line", "other")).select("no").distinct().join(candidates, "no").select("h1", "h2")
 
 
+def _first_of_equals(documents: DataFrame, keep) -> DataFrame:
+    """Rows as (row, nameless, doc_id, twin, repeat); ``repeat`` marks all but one of those with equal id and text.
+
+    Only rows that are not alone under their id and text are written down and
+    numbered; equal ones are counted before they are exchanged.
+    """
+    packed = documents.select(F.struct("*").alias("row"), *row_key())
+    crowded = packed.groupBy(*ROW).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    crowded = keep(crowded, "crowded")
+    if crowded.isEmpty():
+        return packed.withColumn("repeat", F.lit(False))
+    if fits_broadcast(crowded):
+        crowded = F.broadcast(crowded)
+    same = [F.col(f"packed.{c}").eqNullSafe(F.col(f"crowded.{c}")) for c in ROW]
+    alone = packed.alias("packed").join(crowded.alias("crowded"), same, "left_anti").withColumn("repeat", F.lit(False))
+    several = packed.alias("packed").join(crowded.alias("crowded"), same, "left_semi")
+    several = keep(several.withColumn("_at", F.monotonically_increasing_id()), "several")
+    first = several.groupBy(*ROW).agg(F.min("_at").alias("_at")).select("_at", F.lit(True).alias("_first"))
+    marked = several.join(first, "_at", "left").select("row", *ROW, F.col("_first").isNull().alias("repeat"))
+    return alone.unionByName(marked)
+
+
 def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns of ``documents`` with repeated lines taken out of ``text``; ``n_chars`` follows if present.
 
-    Kept are blank lines and, of equal or neighbouring lines, the earliest.
-    A null text stays null; an empty text stays empty; a null id comes after
-    all others; rows that share an id are one document and keep the same line
-    numbers; an empty table stays empty.
+    Kept are blank lines and, of equal or neighbouring lines, the earliest. A
+    null text stays null; an empty text stays empty; a null id comes after all
+    others; rows that share an id, or have none, are documents of their own in
+    the order of a hash of their texts, and of rows equal in id and text one
+    keeps what is kept; an empty table stays empty.
     """
-    small_batches(documents.sparkSession)
+    spark = documents.sparkSession
+    small_batches(spark)
     own = documents.select("doc_id", "text")
-    distinct = save(first_places(own, min_words), "first")
-    near = near_places(own, distinct)
-    kept = distinct.select("h1", "h2", *PLACE).join(near, ["h1", "h2"], "left_anti")
-    lists = kept.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("nameless").alias("_nameless")).agg(F.collect_list("line_no").alias("_kept"))
+    with scratch(spark) as keep:
+        distinct = save(first_places(own, min_words), "first")
+        near = near_places(own, distinct)
+        kept = distinct.select("h1", "h2", *PLACE).join(near, ["h1", "h2"], "left_anti")
+        lists = kept.groupBy(*ROW).agg(F.sort_array(F.collect_list("line_no")).alias("kept"))
+        # Only texts that lose a line need their list: those that have more lines than it.
+        lines = own.select(*row_key(), F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)).alias("lines"))
+        lines = lines.filter("lines > 0").groupBy(*ROW).agg(F.max("lines").alias("lines"))
+        same = [F.col(f"l.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ROW]
+        losing = lines.alias("l").join(lists.alias("k"), same, "left").filter("kept is null or size(kept) < lines")
+        losing = keep(losing.select(*[F.col(f"l.{c}").alias(c) for c in ROW], F.coalesce("kept", F.expr("cast(array() as array<int>)")).alias("kept")), "losing")
+        rows = _first_of_equals(documents, keep)
+    small = fits_broadcast(losing)
 
     @F.pandas_udf("string")
-    def without(text: pd.Series, kept_lines: pd.Series) -> pd.Series:
+    def without(text: pd.Series, kept_lines: pd.Series, repeat: pd.Series) -> pd.Series:
         out = []
-        for whole, numbers in zip(text, kept_lines, strict=True):
-            keep = set() if numbers is None else set(numbers.tolist())
-            out.append(None if whole is None else "\n".join(x for i, x in enumerate(whole.split("\n")) if i in keep or not x.strip(" \t\n\x0b\x0c\r")))
+        for whole, numbers, again in zip(text, kept_lines, repeat, strict=True):
+            keep_numbers = set() if again or numbers is None else set(numbers.tolist())
+            out.append(None if whole is None else "\n".join(x for i, x in enumerate(whole.split("\n")) if i in keep_numbers or not x.strip(" \t\n\x0b\x0c\r")))
         return pd.Series(out, dtype=object)
 
-    packed = documents.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("_id"), F.col("doc_id").isNull().alias("_nameless"), F.struct("*").alias("_row"))
-    joined = packed.join(lists, ["_id", "_nameless"], "left").select("_row", without("_row.text", "_kept").alias("_text"))
+    losing = losing.select(*[F.col(c).alias(f"_{c}") for c in ROW], "kept")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ROW]
+    met = rows.join(F.broadcast(losing) if small else losing, same, "left")
+    whole = F.col("kept").isNull() & ~F.col("repeat")
+    text = F.when(whole, F.col("row.text")).otherwise(without(F.when(~whole, F.col("row.text")), "kept", "repeat"))
+    joined = met.select("row", text.alias("_text"))
     changed = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return joined.select(*[changed[c].alias(c) if c in changed else F.col("_row")[c].alias(c) for c in documents.columns])
+    return joined.select(*[changed[c].alias(c) if c in changed else F.col("row")[c].alias(c) for c in documents.columns])

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,21 +31,21 @@ PLACES = np.dtype([("length", "i8"), ("rank", "i8"), ("sequence", "i8"), ("offse
 def cut_pieces(documents: DataFrame, tokenizer: str, length: int, end_id: int) -> DataFrame:
     """Pieces of at most ``length`` ids of each document, its end id included."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end, step = loaded(tokenizer), np.asarray([end_id], "<u4").tobytes(), 4 * length
-        for frame in batches:
+        names = [c.split()[0] for c in PIECES.split(", ")]
+        for batch in batches:
             rows = []
-            for doc_id, ids in zip(frame["doc_id"].tolist(), encoder.encode(frame["text"].tolist()), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
                 whole = ids + end
                 for at in range(0, len(whole), step):
                     part = whole[at : at + step]
                     rows.append((doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(whole) // 4))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
     small_batches(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, PIECES)
+    return documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, PIECES)
 
 
 def plan_packs(histogram: dict[int, int], length: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
