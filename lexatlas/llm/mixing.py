@@ -1,7 +1,8 @@
 """Mixing of sources to target weights, in whole blocks of tokens.
 
 The documents of a source, in a fixed pseudorandom order, are one stream of
-words cut into blocks of equal length. The mix is a row of slots in output
+words cut into blocks of equal length, shorter ones where a source or its
+target is small, so that a target is met to the word or a small part of it. The mix is a row of slots in output
 shards. Each shard draws its sources' counts from a multinomial over the
 targets; the sums of the draws are then settled on the whole-block targets, so
 that no source falls short or runs over. A source's slots run through its
@@ -18,12 +19,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from lexatlas.llm.common import BROADCAST_ROWS, WORD, level_buckets, numbered, running_start, save, word_count
+from lexatlas.llm.common import BROADCAST_ROWS, WORD, level_buckets, numbered, running_start, save, scratch, word_count
 
 #: Words per block where single words matter, and where documents should stay whole.
 FINE_BLOCK, TEXT_BLOCK = 32, 2048
+#: Blocks that a source's size and target hold at least, as far as single words allow.
+LEAST_BLOCKS = 64
 SHARD_SLOTS = 4096
 #: Slots that one task makes out of the counts.
 TASK_SLOTS = 100_000
@@ -101,18 +103,21 @@ def mix(
     seed: int = 17,
     keys: tuple[str, ...] = ("doc_id",),
 ) -> Mix:
-    """Plan a mix of all ``documents`` (doc_id, text, source and the columns in ``keys``).
+    """Plan a mix of all ``documents`` (source, the columns in ``keys``, and text or its number of words as ``size``).
 
     Weights go to the sources in code point order, null last, and repeat. The
     mix is as long as all documents together. A null text has no words; null
     sources are one source; repeated rows are documents of their own; an empty
     table gives empty results.
     """
-    sizes = save(documents.select(*keys, "source", word_count(F.col("text")).alias("size")), "sizes")
+    size = F.col("size") if "size" in documents.columns else word_count(F.col("text"))
+    sizes = save(documents.select(*keys, "source", size.cast("long").alias("size")), "sizes")
     rows, _ = sizes.agg(F.count(F.lit(1)), F.sum("size")).first()
     sources, count = source_targets(sizes, weights, max_repeats)
     small = count <= BROADCAST_ROWS
-    blocks = F.ceil(F.col("source_size") / block)
+    fitting = F.floor(F.least("source_size", F.col("target")) / LEAST_BLOCKS)
+    sources = sources.withColumn("length", F.greatest(F.lit(1), F.least(F.lit(block), fitting)).cast("long"))
+    blocks = F.ceil(F.col("source_size") / F.col("length"))
     wanted = F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size") * blocks)).otherwise(0).cast("long")
     sources = save(sources.withColumn("blocks", blocks).withColumn("slots", wanted), "targets")
     buckets = level_buckets(count)
@@ -121,8 +126,7 @@ def mix(
 
     # Draws, and where each shard's draws stand in the source's own row of slots.
     counts = save(draw_counts(sources, total, shard_slots, seed, small), "draws")
-    ahead = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = counts.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    drawn = running_start(counts, ["source_no"], ["shard"], F.col("n"), "ahead", level_buckets(total // shard_slots + 1))
     drawn = drawn.repartition(max(1, total // TASK_SLOTS), "source_no", "shard")  # few rows of counts, many slots
     slots = drawn.select("shard", "source_no", F.explode(F.sequence(F.col("ahead"), F.col("ahead") + F.col("n") - 1)).alias("j"))
 
@@ -146,13 +150,13 @@ def mix(
     )
 
     # Each document's stretch of its source's stream, cut at block borders.
-    own = sources.select("source", "source_no", "source_size", "target")
+    own = sources.select("source", "source_no", "source_size", "target", "length")
     own = F.broadcast(own) if small else own
     known = sizes.join(own.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     placed = running_start(known, ["source_no"], [*keys, "size"], F.col("size"), "start", level_buckets(rows))
     last = F.col("start") + F.col("size") - 1
-    pieces = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(last / block))))
-    low, high = F.greatest(F.col("start"), F.col("block") * block), F.least(last + 1, (F.col("block") + 1) * block)
+    pieces = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / F.col("length")), F.floor(last / F.col("length")))))
+    low, high = F.greatest(F.col("start"), F.col("block") * F.col("length")), F.least(last + 1, (F.col("block") + 1) * F.col("length"))
     pieces = pieces.withColumn("from_word", low - F.col("start")).withColumn("words", high - low)
     return Mix(sources, slots, pieces, known)
 
@@ -176,12 +180,15 @@ def mix_documents(documents: DataFrame, block: int = TEXT_BLOCK, **settings) ->
     if present. Documents without words are never taken. Rows equal in id,
     text and source are planned once and take the same words.
     """
-    own = documents.select("doc_id", "text", "source").withColumn("key", F.xxhash64("doc_id", "text", "source"))
-    plan = mix(own.select("key", "text", "source").dropDuplicates(["key"]), block=block, keys=("key",), **settings)
-    met = plan.pieces.join(plan.slots, ["source_no", "block"])
-    parts = met.groupBy("key", "size", "pass").agg(
-        F.sum("words").alias("words"), F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("parts")
-    )
+    with scratch(documents.sparkSession) as keep:
+        # Counted before rows are told apart, so that no text is exchanged for it.
+        own = documents.select(F.xxhash64("doc_id", "text", "source").alias("key"), "source", word_count(F.col("text")).alias("size"))
+        plan = mix(own.dropDuplicates(["key"]), block=block, keys=("key",), **settings)
+        met = plan.pieces.join(plan.slots, ["source_no", "block"])
+        parts = met.groupBy("key", "size", "pass").agg(
+            F.sum("words").alias("words"), F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("parts")
+        )
+        parts = keep(parts, "parts")
     packed = documents.select(F.xxhash64("doc_id", "text", "source").alias("key"), F.struct("*").alias("row"))
     joined = packed.join(parts, "key")
     text = F.col("row.text")
