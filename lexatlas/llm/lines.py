@@ -65,9 +65,9 @@ def _half_keys(words: list[bytes]) -> tuple[int, ...]:
     return tuple(out)
 
 
-def row_key(text: Column = F.col("text")) -> list[Column]:
+def row_key() -> list[Column]:
     """Columns ``ROW`` of a document."""
-    return [F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("twin")]
+    return [F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("twin")]
 
 
 def scan_lines(documents: DataFrame, min_words: int) -> DataFrame:

@@ -4,6 +4,7 @@ import os
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -209,10 +210,79 @@ def test_line_dedup_equals_brute_force(spark):
     assert found == brute_lines(rows, 8)
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got.collect())
     twice = lines.dedup_lines(documents(spark, [rows[0], rows[0]])).collect()
-    assert len(twice) == 2 and twice[0].text == twice[1].text
+    # Rows equal in id and text are two documents: one keeps its lines, the other has only repeats (and its blank lines).
+    full = brute_lines([rows[0]], 8)[0]
+    assert Counter(r.text for r in twice) == Counter([full, "\n".join(x for x in rows[0][1].split("\n") if not x.strip())])
     assert lines.dedup_lines(documents(spark, [])).count() == 0
 
 
+def test_lines_of_rows_without_an_own_id(spark):
+    """Null and repeated ids: a line stays once, whichever of the rows keeps it; numbers above 2**53 beside nulls stay apart."""
+    big = 2**60
+    rows = [(None, f"shared line\nown line {i}", "s") for i in range(3)] + [(None, "shared line\nown line 0", "s")]
+    rows += [(1, "a b\nc d", "s"), (1, "c d\ne f", "s"), (1, "c d\ne f", "s"), (big + 1, "big one\nx y z", "s"), (big + 2, "big two\nx y z", "s"), (None, None, "s"), (None, "", "s")]
+    got = lines.dedup_lines(documents(spark, rows).coalesce(1)).collect()
+    assert len(got) == len(rows)
+    kept = Counter(line for r in got for line in (r.text or "").split("\n") if line)
+    assert kept == Counter({line: 1 for _, t, _ in rows for line in (t or "").split("\n") if line})
+    by_id = {r.doc_id: r.text for r in got if r.doc_id and r.doc_id > 1}
+    assert by_id == {big + 1: "big one\nx y z", big + 2: "big two"}
+    assert sum(r.text is None for r in got) == 1
+
+
+def test_large_ids_beside_nulls_are_packed_apart(spark):
+    big = 2**60
+    rows = [(big + 1, "one two three", "s"), (big + 2, "four five six", "s"), (None, "seven", "s")]
+    got = packing.pack(documents(spark, rows).coalesce(1), BPE, 16).collect()
+    assert Counter(r.doc_id for r in got) == Counter([big + 1, big + 2, None])
+
+
+def test_small_sources_meet_their_targets(spark):
+    picks = random.Random(21)
+    sizes = [1, 2, 3, 7, 40, 63, 64, 65, 400, 900, 1500, 2000]
+    rows, number = [], 0
+    for i, size in enumerate(sizes):
+        left = size
+        while left:
+            words_here = min(left, picks.randint(1, 300))
+            rows.append((number, " ".join(["w"] * words_here), f"s{i:02d}"))
+            number, left = number + 1, left - words_here
+    for run in (mixing.taken_words, lambda d: mixing.taken_words(d, block=mixing.TEXT_BLOCK)):
+        taken, target, size = Counter(), {}, {}
+        for r in run(documents(spark, rows)).collect():
+            source = rows[r.doc_id][2]
+            taken[source] += r.taken
+            target[source], size[source] = r.target, r.source_size
+        for source in target:
+            assert abs(taken[source] - target[source]) <= max(1, 0.03 * target[source]), (source, size[source])
+            assert taken[source] > 0
+    mixed = mixing.mix_documents(documents(spark, rows)).collect()
+    assert {r.source for r in mixed} == {r[2] for r in rows}
+
+
+def test_session_settings_are_left_alone():
+    """A session without spark.checkpoint.dir gets a folder of its own; nothing is written into its settings."""
+    import subprocess
+    import sys
+
+    code = """
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+spark.conf.get("spark.checkpoint.dir", None)
+from lexatlas.llm.common import save, shared_folder
+class Bare:
+    def __init__(self, spark): self.sparkContext, self.conf = spark.sparkContext, self
+    def get(self, key, default=None): return None if key == "spark.checkpoint.dir" else default
+    def set(self, *a): raise AssertionError("set")
+first, again = shared_folder(Bare(spark)), shared_folder(Bare(spark))
+assert first == again or spark.sparkContext.getCheckpointDir()
+assert save(spark.range(3), "t").count() == 3
+"""
+    root = str(Path(__file__).resolve().parents[2])
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, env={**os.environ, "PYTHONPATH": root}, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-1500:]
+
+
 def brute_components(prints):
     label = {}
     for i, (d, f) in enumerate(prints):
