@@ -2,15 +2,18 @@
 
 Each task counts phrases in a shallow trie: language and first word lead to a
 hash container of the rest of the phrase, and a container that grows large
-bursts into one container per next word. When a task holds too many phrases,
+bursts into one container per next word; single words are counted at the root.
+When a task holds too many phrases,
 it hands on whole subtrees, largest first, as sorted, front-coded runs; runs
 are merged per partition of prefixes by a loser tree that adds equal phrases.
 Word ids are a task's own, so no dictionary of the corpus is sent around.
 
-A phrase can be frequent only if all shorter phrases in it are, so each pass
-counts longer phrases between frequent ones. The frequent phrases of the pass
-before are known through a bit filter of bounded size; it may let others pass,
-which are then counted, too, and dropped by the merge's exact sums.
+A phrase can be frequent only if all shorter phrases in it are, and if the
+phrases that share its hash are so together. So hashes are summed first, size
+by size between those that are frequent, and only phrases of frequent hashes
+enter the trie. They are known through bit filters of bounded size; these may
+let others pass, which are then counted, too, and dropped by the merge's exact
+sums.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,7 +42,7 @@ FILTER_BITS = 16
 #: Bytes of a text whose words are found at a time, up to the next separator.
 CHUNK = 1 << 22
 TO_BORDER = bytes.maketrans(SEPARATORS, BORDER * len(SEPARATORS))
-ROWS = "lang string, words int, phrase binary, f long, slot long, part int, block binary"
+ROWS = "lang string, words int, f long, part int, block binary"
 
 
 class Ids(dict):
@@ -103,12 +107,13 @@ class Container:
 
 
 class PhraseTrie:
-    """A task's counts: containers under (language, first word)."""
+    """A task's counts: single words by language, and containers under (words, language, first word)."""
 
     def __init__(self, parts: int):
         self.ids, self.langs, self.lang_names = Ids(), {}, []
         self.hashes = np.zeros(1, np.uint64)
-        self.nodes: dict[tuple[int, int, int], Container] = {}  # (words, language, first word)
+        self.singles: dict[int, np.ndarray] = {}
+        self.nodes: dict[tuple[int, int, int], Container] = {}
         self.held, self.parts = 0, parts
 
     def lang(self, name: str) -> int:
@@ -141,19 +146,28 @@ class PhraseTrie:
         """Add the phrases of ``size`` words at ``starts``."""
         if not len(starts):
             return
+        if size == 1:
+            for lang in np.unique(langs[starts]).tolist():
+                times = np.bincount(words[starts[langs[starts] == lang]])
+                counts = self.singles.get(lang, np.zeros(0, np.int64))
+                grown = np.zeros(max(len(times), len(counts)), np.int64)
+                grown[: len(counts)] = counts
+                grown[: len(times)] += times
+                self.held += int(np.count_nonzero(grown) - np.count_nonzero(counts))
+                self.singles[lang] = grown
+            return
         code = langs[starts].astype(np.int64)
         for i in range(size):
-            code = code << 32 | words[starts + i]
-            if i < size - 1:
-                code = np.unique(code, return_inverse=True)[1].astype(np.int64)
-        _, at, times = np.unique(code, return_index=True, return_counts=True)
-        at = starts[at]
+            code = pd.factorize(code << 32 | words[starts + i])[0].astype(np.int64)
+        times = np.bincount(code)
+        at = np.empty(len(times), np.int64)
+        at[code[::-1]] = starts[::-1]  # where each phrase is met first
         first = langs[at].astype(np.int64) << 32 | words[at]
         order = np.argsort(first, kind="stable")
         at, times, first = at[order], times[order].tolist(), first[order]
-        rest = np.ascontiguousarray(np.stack([words[at + i] for i in range(1, size)], axis=1).astype("<u4")).tobytes() if size > 1 else b""
+        rest = np.ascontiguousarray(np.stack([words[at + i] for i in range(1, size)], axis=1).astype("<u4")).tobytes()
         width = 4 * (size - 1)
-        keys = [rest[i : i + width] for i in range(0, width * len(at), width)] if width else [b""] * len(at)
+        keys = [rest[i : i + width] for i in range(0, width * len(at), width)]
         cuts = np.append(np.flatnonzero(np.append(True, first[1:] != first[:-1])), len(first)).tolist()
         for low, high in zip(cuts[:-1], cuts[1:], strict=True):
             node = (size, int(first[low]) >> 32, int(first[low]) & 0xFFFFFFFF)
@@ -164,97 +178,169 @@ class PhraseTrie:
             container.add(keys[low:high], times[low:high])
             self.held += container.size - before
 
-    def runs(self, down_to: int) -> Iterator[tuple[str, int, int, bytes]]:
-        """Hand on subtrees, largest first, until ``down_to`` entries are left: (language, words, partition, block)."""
-        import xxhash
-
-        names = self.ids.names
-        gathered: dict[tuple[int, int, int], list[tuple[bytes, int]]] = {}
+    def _subtrees(self, down_to: int) -> Iterator[tuple[int, int, np.ndarray, list[int]]]:
+        """Take out single words, then subtrees, largest first, until ``down_to`` entries are left: (language, words, ids, counts)."""
+        if self.held > down_to:
+            for lang, counts in self.singles.items():
+                words = np.flatnonzero(counts)
+                self.held -= len(words)
+                yield lang, 1, words[:, None], counts[words].tolist()
+            self.singles = {}
         for node in sorted(self.nodes, key=lambda n: -self.nodes[n].size):
             if self.held <= down_to:
                 break
             size, lang, word = node
             container = self.nodes.pop(node)
             self.held -= container.size
-            start, head = names[word], self.lang_names[lang].encode("utf-8", "surrogatepass")
-            parts: dict[bytes, int] = {}
-            for rest, n in container.entries():
-                ids = np.frombuffer(rest, "<u4").tolist()
-                # The prefix is two words, as a very common first word may begin a large share of all phrases.
-                if rest[:4] not in parts:
-                    prefix = start + b" " + names[ids[0]] if ids else start
-                    parts[rest[:4]] = xxhash.xxh3_64_intdigest(head + b"\0" + prefix) % self.parts
-                gathered.setdefault((lang, size, parts[rest[:4]]), []).append((b" ".join([start, *[names[i] for i in ids]]), n))
-        for (lang, size, part), entries in gathered.items():
-            entries.sort()
-            yield self.lang_names[lang], size, part, front_code([e[0] for e in entries], [e[1] for e in entries])
-
-
-def _counts(documents: DataFrame, sizes: tuple[int, ...], known: tuple[int, np.ndarray] | None, parts: int, least: int) -> DataFrame:
+            rest, counts = zip(*container.entries(), strict=True)
+            ids = np.frombuffer(b"".join(rest), "<u4").reshape(len(rest), size - 1)
+            yield lang, size, np.column_stack([np.full(len(rest), word), ids]), list(counts)
+
+    def runs(self, down_to: int) -> Iterator[tuple[str, int, int, bytes]]:
+        """Hand on what ``_subtrees`` takes out as sorted runs: (language, words, partition, block).
+
+        The prefix that chooses the partition is two words, as a very common
+        first word may begin a large share of all phrases.
+        """
+        names, hashes = self.ids.names, self.word_hashes()
+        gathered: dict[tuple[int, int], tuple[list[np.ndarray], list[int]]] = {}
+        for lang, size, ids, counts in self._subtrees(down_to):
+            parts, all_counts = gathered.setdefault((lang, size), ([], []))
+            parts.append(ids)
+            all_counts += counts
+        for (lang, size), (parts, counts) in gathered.items():
+            ids = np.concatenate(parts)
+            prefix = hashes[ids[:, 0]] if size == 1 else (hashes[ids[:, 0]] * np.uint64(0x9E3779B97F4A7C15)) ^ hashes[ids[:, 1]]
+            part = ((prefix ^ (prefix >> np.uint64(32))) % np.uint64(self.parts)).astype(np.int64)
+            columns = [list(map(names.__getitem__, ids[:, i].tolist())) for i in range(size)]
+            phrases = columns[0] if size == 1 else list(map(b" ".join, zip(*columns, strict=True)))
+            entries = sorted(zip(part.tolist(), phrases, counts, strict=True))
+            cuts = np.append(np.flatnonzero(np.append(True, np.diff([e[0] for e in entries]) != 0)), len(entries)).tolist()
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                _, strings, values = zip(*entries[low:high], strict=True)
+                yield self.lang_names[lang], size, entries[low][0], front_code(strings, values)
+
+
+def _tokens(batches: Iterator[pa.RecordBatch], trie: PhraseTrie) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word ids, with borders between pieces and texts, and language numbers, some hundred thousand at a time."""
+    words, langs, waiting = [], [], 0
+
+    def flat() -> tuple[np.ndarray, np.ndarray]:
+        lengths = [len(w) for w in words]
+        return np.concatenate([np.array(w, np.int64) for w in words]), np.repeat(np.array(langs), lengths)
+
+    for batch in batches:
+        for name, body in zip(batch.column("lang").to_pylist(), batch.column("body"), strict=True):
+            number = trie.lang(name)
+            for part in chunks(body.as_py()):
+                found = list(map(trie.ids.__getitem__, part.lower().translate(TO_BORDER).replace(BORDER, b" \xff ").split()))
+                found.append(0)
+                words.append(found)
+                langs.append(number)
+                waiting += len(found)
+                if waiting >= BATCH_WORDS:
+                    yield flat()
+                    words, langs, waiting = [], [], 0
+    if words:
+        yield flat()
+
+
+def _starts(trie: PhraseTrie, ids: np.ndarray, langs: np.ndarray, size: int, filters: dict[int, np.ndarray]) -> np.ndarray:
+    """Where a phrase of ``size`` words begins that the filters of all sizes up to its own let pass."""
+    count = len(ids) - size + 1
+    if count < 1:
+        return np.empty(0, np.int64)
+    real = ids > 0
+    at = real[:count].copy()
+    for i in range(1, size):
+        at &= real[i : count + i]
+    for inner in range(size, 0, -1):
+        if inner in filters:
+            known = passes(filters[inner], trie.slots(ids, langs, inner))
+            for i in range(size - inner + 1):
+                at &= known[i : count + i]
+            break  # what passes at this size has passed at the smaller ones
+    return np.flatnonzero(at)
+
+
+def _likely(bodies: DataFrame, sizes: tuple[int, ...], filters: dict[int, np.ndarray], parts: int, least: int) -> DataFrame:
+    """Rows (words, slot) of the hashes whose phrases occur ``least`` times together."""
+    shared = bodies.sparkSession.sparkContext.broadcast(filters)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = PhraseTrie(parts)
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {size: [] for size in sizes}
+
+        def combined(some: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            slots, where = np.unique(np.concatenate([s for s, _ in some]), return_inverse=True)
+            return slots, np.bincount(where, np.concatenate([n for _, n in some]), len(slots)).astype(np.int64)
+
+        def out(size: int) -> pa.RecordBatch:
+            slots, counts = combined(held[size])
+            held[size] = []
+            cuts = np.searchsorted(slots, [(p << 63) // parts for p in range(parts + 1)])
+            cuts[-1] = len(slots)
+            full = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
+            blobs = [[x[cuts[p] : cuts[p + 1]].tobytes() for p in full] for x in (slots.astype("<u8"), counts.astype("<u4"))]
+            return pa.RecordBatch.from_arrays([pa.array([size] * len(full), pa.int32()), pa.array(full, pa.int32()), *[pa.array(b, pa.binary()) for b in blobs]], ["words", "part", "slots", "counts"])
+
+        for ids, langs in _tokens(batches, trie):
+            for size in sizes:
+                starts = _starts(trie, ids, langs, size, shared.value)
+                if len(starts):
+                    slots, counts = np.unique(trie.slots(ids, langs, size)[starts], return_counts=True)
+                    held[size].append((slots, counts))
+                    if sum(len(s) for s, _ in held[size]) > 4 * HELD:
+                        held[size] = [combined(held[size])]
+                        if len(held[size][0][0]) > 2 * HELD:
+                            yield out(size)
+        for size in sizes:
+            if held[size]:
+                yield out(size)
+
+    def add(table: pa.Table) -> pa.Table:
+        slots = np.concatenate([np.frombuffer(b, "<u8") for b in table.column("slots").to_pylist()])
+        counts = np.concatenate([np.frombuffer(b, "<u4") for b in table.column("counts").to_pylist()])
+        found, where = np.unique(slots, return_inverse=True)
+        found = found[np.bincount(where, counts, len(found)) >= least]
+        return pa.table({"words": pa.array([table.column("words")[0].as_py()] * len(found), pa.int32()), "slot": pa.array(found.view(np.int64))})
+
+    runs = bodies.mapInArrow(scan, "words int, part int, slots binary, counts binary")
+    return runs.groupBy("words", "part").applyInArrow(add, "words int, slot long")
+
+
+def _counts(bodies: DataFrame, sizes: tuple[int, ...], filters: dict[int, np.ndarray], parts: int, least: int) -> DataFrame:
     """Frequent phrases of the given sizes: lang, words, phrase, f, slot; for single words also all occurrences (phrase null)."""
-    shared = documents.sparkSession.sparkContext.broadcast(known) if known else None
+    shared = bodies.sparkSession.sparkContext.broadcast(filters)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, filtered = PhraseTrie(parts), shared.value if shared else None
-        totals: dict[str, int] = {}
+        trie = PhraseTrie(parts)
+        totals: dict[int, int] = {}
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             lang, size, part, block = (pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True))
-            none = pa.nulls(len(rows), pa.int64())
-            return pa.RecordBatch.from_arrays([lang, size, pa.nulls(len(rows), pa.binary()), none, none, part, block], ["lang", "words", "phrase", "f", "slot", "part", "block"])
-
-        def flush(words: list[list[int]], langs: list[int]) -> None:
-            lengths = [len(w) for w in words]
-            ids = np.concatenate([np.array(w, np.uint32) for w in words]).astype(np.int64)
-            lang = np.repeat(np.array(langs), lengths)
-            real = ids > 0
+            return pa.RecordBatch.from_arrays([lang, size, pa.nulls(len(rows), pa.int64()), part, block], ["lang", "words", "f", "part", "block"])
+
+        for ids, langs in _tokens(batches, trie):
             for size in sizes:
-                if len(ids) < size:
-                    continue
-                count = len(ids) - size + 1
-                at = real[:count].copy()
-                for i in range(1, size):
-                    at &= real[i : count + i]
-                if filtered is not None:
-                    inner, bits = filtered
-                    known_ones = passes(bits, trie.slots(ids, lang, inner))
-                    for i in range(size - inner + 1):
-                        at &= known_ones[i : count + i]
-                trie.count(ids, lang, size, np.flatnonzero(at))
-
-        words, langs, waiting = [], [], 0
-        for batch in batches:
-            for name, body in zip(batch.column("lang").to_pylist(), batch.column("body"), strict=True):
-                number = trie.lang(name)
-                for part in chunks(body.as_py()):
-                    found = list(map(trie.ids.__getitem__, part.lower().translate(TO_BORDER).replace(BORDER, b" \xff ").split()))
-                    found.append(0)
-                    words.append(found)
-                    langs.append(number)
-                    waiting += len(found)
-                    if sizes[0] == 1:
-                        totals[name] = totals.get(name, 0) + len(found) - found.count(0)
-                    if waiting >= BATCH_WORDS:
-                        flush(words, langs)
-                        words, langs, waiting = [], [], 0
-                        if trie.held > HELD:
-                            yield out(list(trie.runs(HELD // 2)))
-        if words:
-            flush(words, langs)
+                trie.count(ids, langs, size, _starts(trie, ids, langs, size, shared.value))
+            if 1 in sizes:
+                for lang, n in enumerate(np.bincount(langs[ids > 0]).tolist()):
+                    totals[lang] = totals.get(lang, 0) + n
+            if trie.held > HELD:
+                yield out(list(trie.runs(HELD // 2)))
         yield out(list(trie.runs(0)))
         if totals:
             n = len(totals)
+            names = [trie.lang_names[i] for i in totals]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(totals)), pa.array([1] * n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(list(totals.values()), pa.int64()), pa.nulls(n, pa.int64()), pa.array([-1] * n, pa.int32()), pa.nulls(n, pa.binary())],
-                ["lang", "words", "phrase", "f", "slot", "part", "block"],
+                [pa.array(names), pa.array([1] * n, pa.int32()), pa.array(list(totals.values()), pa.int64()), pa.array([-1] * n, pa.int32()), pa.nulls(n, pa.binary())],
+                ["lang", "words", "f", "part", "block"],
             )
 
     def merge(table: pa.Table) -> pa.Table:
         lang, size = table.column("lang")[0].as_py(), table.column("words")[0].as_py()
-        if table.column("part")[0].as_py() < 0:
-            n = sum(table.column("f").to_pylist())
-            return pa.table([pa.array([lang]), pa.array([size], pa.int32()), pa.nulls(1, pa.binary()), pa.array([n], pa.int64()), pa.nulls(1, pa.int64())], ["lang", "words", "phrase", "f", "slot"])
         trie = PhraseTrie(1)
         trie.lang(lang)
         phrases, counts = [], []
@@ -268,9 +354,9 @@ def _counts(documents: DataFrame, sizes: tuple[int, ...], known: tuple[int, np.n
         many = len(phrases)
         return pa.table([pa.array([lang] * many, pa.string()), pa.array([size] * many, pa.int32()), pa.array(phrases, pa.binary()), pa.array(counts, pa.int64()), pa.array(slots)], ["lang", "words", "phrase", "f", "slot"])
 
-    runs = save(documents.select("lang", "body").mapInArrow(scan, ROWS), "runs")
+    runs = save(bodies.mapInArrow(scan, ROWS), "runs")
     # All occurrences are a row per task and language: summed without gathering them.
-    totals = runs.filter("part < 0").groupBy("lang", "words").agg(F.sum("f").alias("f")).select("lang", "words", F.lit(None).cast("binary").alias("phrase"), "f", F.lit(None).cast("long").alias("slot"))
+    totals = runs.filter("part < 0").groupBy("lang", "words").agg(F.sum("f").alias("f")).filter("f > 0").select("lang", "words", F.lit(None).cast("binary").alias("phrase"), "f", F.lit(None).cast("long").alias("slot"))
     merged = runs.filter("part >= 0").groupBy("lang", "words", "part").applyInArrow(merge, "lang string, words int, phrase binary, f long, slot long")
     return merged.unionByName(totals) if 1 in sizes else merged
 
@@ -288,15 +374,14 @@ def count_phrases(documents: DataFrame, least: int = LEAST, longest: int = LONGE
     with scratch(spark) as keep:
         words = bodies.agg(F.sum(F.octet_length("body"))).first()[0] or 0
         parts = max(1, words // 6 // PARTITION_WORDS)
-        found = [save(_counts(bodies, (1,), None, parts, least), "phrases")]
-        sizes = [(2,), (3,), tuple(range(4, longest + 1))]
-        for before, wanted in enumerate(sizes, 1):
-            if wanted and wanted[0] <= longest:
-                known = before, bit_filter(found[-1].filter("phrase is not null"), "slot", FILTER_BITS)
-                found.append(save(_counts(bodies, wanted, known, parts, least), "phrases"))
-        whole = found[0]
-        for more in found[1:]:
-            whole = whole.unionByName(more)
+        whole = save(_counts(bodies, (1,), {}, parts, least), "words")
+        filters = {1: bit_filter(whole.filter("phrase is not null"), "slot", FILTER_BITS)}
+        # Sizes 4 and up start from the hashes of three words, so that one pass sums them all.
+        for sizes in [(size,) for size in range(2, min(longest, 3) + 1)] + [tuple(range(4, longest + 1))] * (longest > 3):
+            likely = save(_likely(bodies, sizes, filters, parts, least), "likely")
+            filters |= {size: bit_filter(likely.filter(F.col("words") == size), "slot", FILTER_BITS) for size in sizes}
+        if longest > 1:
+            whole = whole.unionByName(save(_counts(bodies, tuple(range(2, longest + 1)), filters, parts, least), "phrases"))
         return keep(whole.select("lang", "words", F.col("phrase").cast("string").alias("phrase"), "f"), "counted")
 
 
