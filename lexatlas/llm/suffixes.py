@@ -38,11 +38,11 @@ LENGTH = 400
 #: Windows of a block, from step to step.
 STEPS = (16, 1)
 #: Bytes of texts hashed at a time, and of suffixes in one run.
-SEGMENT, RUN_BYTES = 1 << 20, 16 << 20
+SEGMENT, RUN_BYTES = 1 << 20, 8 << 20
 #: Bits of a filter per value that occurs again.
 FILTER_BITS = 64
 #: Suffixes that a range of the sort order is meant to hold, and suffixes that the borders are chosen from.
-RANGE_ITEMS, SAMPLE_ITEMS = 100_000, 4096
+RANGE_ITEMS, SAMPLE_ITEMS = 50_000, 4096
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 PLACES = ["key", "start", "windows", "anchor", "class"]
@@ -77,11 +77,13 @@ def _least(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[: len(least) - (width - done)], least[width - done :]) if done < width else least
 
 
-def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(text: bytes, length: int = LENGTH, apart: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of windows with a common anchor: first window, windows, place of the anchor, its hash.
 
     The anchor of a window is the first of the least hashes of the inner
     strings of a quarter its length, so it depends on the window's bytes alone.
+    In periodic text the least hash comes again and again; such windows are one
+    stretch without a place (-1), unless they are to be told ``apart``.
     """
     inner = max(1, length // 4)
     width = length - inner + 1
@@ -94,14 +96,16 @@ def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
         last = np.append(first[1:], len(least)) - 1
         step = np.arange(width)
         while len(first):
-            # Where the least hash comes again, the windows behind its first place have the next one as anchor.
             at = np.empty(len(first), np.int64)
             for low in range(0, len(first), 4096):
                 part = first[low : low + 4096]
                 at[low : low + 4096] = part + (hashes[part[:, None] + step] == least[part][:, None]).argmax(axis=1)
+            more = at < last
+            if not apart:
+                found.append((first + base, last - first + 1, np.where(more, -1, at + base), least[first]))
+                break
             stop = np.minimum(last, at)
             found.append((first + base, stop - first + 1, at + base, least[first]))
-            more = at < last
             first, last = at[more] + 1, last[more]
     if not found:
         none = np.empty(0, np.int64)
@@ -121,11 +125,14 @@ def _again(values: DataFrame, column: str) -> tuple[np.ndarray, int]:
 
 
 def _classes(bodies: DataFrame, length: int) -> DataFrame:
-    """The hash of every anchor of every text."""
+    """The hash of every anchor of every text; twice for a periodic stretch, whose windows may equal each other."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [anchors(body.as_py(), length)[3] for body in batch.column("body")]
+            found = []
+            for body in batch.column("body"):
+                _, _, anchor, hashes = anchors(body.as_py(), length)
+                found += [hashes, hashes[anchor < 0]]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["class"])
 
     return bodies.select("body").mapInArrow(scan, "class long")
@@ -246,23 +253,31 @@ def sort_suffixes(items: DataFrame, count: int, sample: DataFrame) -> tuple[Data
     return save(level, "level"), runs.filter("head").select("run", "number", "bytes")
 
 
-def _blocks(ahead: int, windows: int, block: int) -> Iterator[tuple[int, int, int]]:
-    """Aligned blocks of the windows of a suffix whose anchor is ``ahead`` bytes in: number, first window, windows."""
-    at = 0
-    while at < windows:
-        number = (ahead - at) // block
-        many = min(windows - at, ahead - at - number * block + 1)
-        yield number, at, many
-        at += many
-
+def _blocks(row: dict, block: int, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """Aligned blocks of a suffix's windows: number, first window, windows, and where the bytes begin that a whole block has in common.
 
-def _digests(row: dict, block: int, length: int) -> list[int]:
+    Blocks are aligned to the anchor, so that equal windows lie in equal blocks.
+    """
+    parts = [(0, row["windows"], row["anchor"] - row["start"])]
+    if row["anchor"] < 0:
+        first, many, anchor, _ = anchors(row["bytes"], length, apart=True)
+        parts = zip(first.tolist(), many.tolist(), anchor.tolist(), strict=True)
+    for first, windows, anchor in parts:
+        at = first
+        while at < first + windows:
+            number = (anchor - at) // block
+            many = min(first + windows - at, anchor - at - number * block + 1)
+            yield number, at, many, anchor - number * block
+            at += many
+
+
+def _digests(row: dict, block: int, length: int) -> np.ndarray:
     """A hash per block of a suffix, of the bytes that all windows of the whole block have in common."""
     import xxhash
 
-    ahead, seed = row["anchor"] - row["start"], row["class"]
-    starts = [(number, ahead - number * block) for number, _, _ in _blocks(ahead, row["windows"], block)]
-    return [xxhash.xxh3_64_intdigest(row["bytes"][s : s + length - block + 1], seed + n & (1 << 64) - 1) for n, s in starts]
+    seed, whole = row["class"], row["bytes"]
+    found = [xxhash.xxh3_64_intdigest(whole[s : s + length - block + 1], seed + n & (1 << 64) - 1) for n, _, _, s in _blocks(row, block, length)]
+    return np.array(found, np.uint64)
 
 
 def _finer(level: DataFrame, heads: DataFrame, block: int, length: int) -> tuple[DataFrame, int, DataFrame]:
@@ -273,8 +288,8 @@ def _finer(level: DataFrame, heads: DataFrame, block: int, length: int) -> tuple
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [d for row in batch.to_pylist() for d in _digests(row, block, length)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64))], ["digest"])
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_digests(row, block, length).view(np.int64))], ["digest"])
 
     again, count = _again(held.mapInArrow(common, "digest long"), "digest")
     shared = held.sparkSession.sparkContext.broadcast(again)
@@ -283,17 +298,23 @@ def _finer(level: DataFrame, heads: DataFrame, block: int, length: int) -> tuple
         import xxhash
 
         names, types = [c.split()[0] for c in ITEMS.split(", ")], [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(p, t) for p, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+        out: list[tuple] = []
         for batch in batches:
-            out: list[tuple] = []
             for row in batch.to_pylist():
-                wanted = passes(shared.value, np.array(_digests(row, block, length), np.uint64)).tolist()
-                for (number, at, many), is_wanted in zip(_blocks(row["anchor"] - row["start"], row["windows"], block), wanted, strict=True):
+                wanted = passes(shared.value, _digests(row, block, length)).tolist()
+                for (number, at, many, common_at), is_wanted in zip(_blocks(row, block, length), wanted, strict=True):
                     if is_wanted:
                         inner = xxhash.xxh3_64_intdigest(number.to_bytes(8, "little"), row["class"] & (1 << 64) - 1) - (1 << 63)
-                        out.append((row["key"], row["start"] + at, many, row["anchor"], inner, row["bytes"][at : at + many - 1 + length]))
-            if out:
-                whole = pa.RecordBatch.from_arrays([pa.array(p, t) for p, t in zip(zip(*out, strict=True), types, strict=True)], names)
-                yield from (whole.slice(i, 4096) for i in range(0, len(out), 4096))
+                        anchor = row["start"] + common_at + number * block
+                        out.append((row["key"], row["start"] + at, many, anchor, inner, row["bytes"][at : at + many - 1 + length]))
+                        if len(out) >= 4096:
+                            yield made(out)
+                            out = []
+        if out:
+            yield made(out)
 
     def some(frame: DataFrame) -> DataFrame:
         return frame.filter(F.pmod(F.xxhash64("key", "start"), F.lit(max(1, count // SAMPLE_ITEMS))) == 0)

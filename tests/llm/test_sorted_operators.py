@@ -85,7 +85,7 @@ def suffix_rows(seed):
             at = picks.randrange(len(text))
             text = text[:at] + "#" + text[at + 1 :]
         rows.append((i, text, "en"))
-    return rows + [(None, None, "en"), (None, rows[3][1], None), (7, rows[7][1], "en"), (90, "", "en"), (91, "ab" * 150, "en"), (92, "x" * 200, "en"), (93, "x" * 31, "en"), (94, "q" * 19, "en"), (95, "q" * 19, "en"), (2**60 + 1, passages[0] * 3, "en")]
+    return rows + [(None, None, "en"), (None, rows[3][1], None), (7, rows[7][1], "en"), (90, "", "en"), (91, "ab" * 150, "en"), (96, "abcd" * 40 + "x" + "abcd" * 70, "en"), (92, "x" * 200, "en"), (93, "x" * 31, "en"), (94, "q" * 19, "en"), (95, "q" * 19, "en"), (2**60 + 1, passages[0] * 3, "en")]
 
 
 @pytest.mark.parametrize("seed", range(2))
@@ -114,10 +114,11 @@ def test_repeats_of_the_production_length(spark):
 def test_anchors_deal_out_every_window():
     picks = random.Random(3)
     for text in [bytes(picks.choice(b"ab") for _ in range(500)), b"a" * 300, b"abc" * 90, b"", b"x" * 19, b"x" * 20]:
-        start, windows, anchor, _ = suffixes.anchors(text, 20)
-        dealt = sorted(s + i for s, n in zip(start.tolist(), windows.tolist()) for i in range(n))
-        assert dealt == list(range(max(0, len(text) - 19)))
-        assert all(s + n - 1 <= a <= s + 15 for s, n, a in zip(start.tolist(), windows.tolist(), anchor.tolist()))
+        for apart in (False, True):
+            start, windows, anchor, _ = suffixes.anchors(text, 20, apart)
+            dealt = sorted(s + i for s, n in zip(start.tolist(), windows.tolist()) for i in range(n))
+            assert dealt == list(range(max(0, len(text) - 19)))
+            assert all(s + n - 1 <= a <= s + 15 for s, n, a in zip(start.tolist(), windows.tolist(), anchor.tolist()) if apart or a >= 0)
 
 
 def brute_phrases(rows, least, longest):
