@@ -130,35 +130,46 @@ class PhraseTrie:
             self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))])
         return self.hashes
 
-    def slots(self, words: np.ndarray, langs: np.ndarray, size: int) -> np.ndarray:
-        """Number of the phrase of ``size`` words that begins at each place, as the filter knows it."""
-        hashes = self.word_hashes()[words]
+    def slots(self, words: np.ndarray, langs: np.ndarray, longest: int) -> list[np.ndarray]:
+        """Numbers of the phrases of 1, 2, ... ``longest`` words that begin at each place, as the filters know them."""
         import xxhash
 
-        named = np.array([xxhash.xxh3_64_intdigest(n.encode("utf-8", "surrogatepass"), size) for n in self.lang_names], np.uint64)
-        total = named[langs[: len(words) - size + 1]].copy()
-        for i in range(size):
-            total = (total ^ hashes[i : len(words) - size + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        hashes = self.word_hashes()[words]
+        total = np.array([xxhash.xxh3_64_intdigest(n.encode("utf-8", "surrogatepass")) for n in self.lang_names], np.uint64)[langs]
+        out = []
+        for size in range(1, longest + 1):
+            total = (total[: max(0, len(words) - size + 1)] ^ hashes[size - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
             total ^= total >> np.uint64(29)
-        return total >> np.uint64(1)
-
-    def count(self, words: np.ndarray, langs: np.ndarray, size: int, starts: np.ndarray) -> None:
-        """Add the phrases of ``size`` words at ``starts``."""
-        if not len(starts):
-            return
-        if size == 1:
-            for lang in np.unique(langs[starts]).tolist():
-                times = np.bincount(words[starts[langs[starts] == lang]])
-                counts = self.singles.get(lang, np.zeros(0, np.int64))
-                grown = np.zeros(max(len(times), len(counts)), np.int64)
-                grown[: len(counts)] = counts
-                grown[: len(times)] += times
-                self.held += int(np.count_nonzero(grown) - np.count_nonzero(counts))
-                self.singles[lang] = grown
-            return
-        code = langs[starts].astype(np.int64)
-        for i in range(size):
-            code = pd.factorize(code << 32 | words[starts + i])[0].astype(np.int64)
+            out.append(total >> np.uint64(1))
+        return out
+
+    def count_words(self, words: np.ndarray, langs: np.ndarray) -> None:
+        """Add single words."""
+        real = words > 0
+        for lang in np.unique(langs[real]).tolist():
+            times = np.bincount(words[real & (langs == lang)])
+            counts = self.singles.get(lang, np.zeros(0, np.int64))
+            grown = np.zeros(max(len(times), len(counts)), np.int64)
+            grown[: len(counts)] = counts
+            grown[: len(times)] += times
+            self.held += int(np.count_nonzero(grown) - np.count_nonzero(counts))
+            self.singles[lang] = grown
+
+    def count_phrases(self, words: np.ndarray, langs: np.ndarray, starts: dict[int, np.ndarray]) -> None:
+        """Add the phrases of each size at its ``starts``; those of a size lie among those of the size below, down to 2."""
+        code = np.empty(0, np.int64)
+        for size in sorted(starts):
+            at = starts[size]
+            if not len(at):
+                return
+            if size == 2:
+                code = pd.factorize(langs[at].astype(np.int64) << 32 | words[at])[0].astype(np.int64)
+            else:
+                code = code[np.searchsorted(starts[size - 1], at)]
+            code = pd.factorize(code << 32 | words[at + size - 1])[0].astype(np.int64)
+            self._add(words, langs, size, at, code)
+
+    def _add(self, words: np.ndarray, langs: np.ndarray, size: int, starts: np.ndarray, code: np.ndarray) -> None:
         times = np.bincount(code)
         at = np.empty(len(times), np.int64)
         at[code[::-1]] = starts[::-1]  # where each phrase is met first
@@ -245,22 +256,22 @@ def _tokens(batches: Iterator[pa.RecordBatch], trie: PhraseTrie) -> Iterator[tup
         yield flat()
 
 
-def _starts(trie: PhraseTrie, ids: np.ndarray, langs: np.ndarray, size: int, filters: dict[int, np.ndarray]) -> np.ndarray:
-    """Where a phrase of ``size`` words begins that the filters of all sizes up to its own let pass."""
-    count = len(ids) - size + 1
-    if count < 1:
-        return np.empty(0, np.int64)
-    real = ids > 0
-    at = real[:count].copy()
-    for i in range(1, size):
-        at &= real[i : count + i]
-    for inner in range(size, 0, -1):
-        if inner in filters:
-            known = passes(filters[inner], trie.slots(ids, langs, inner))
-            for i in range(size - inner + 1):
-                at &= known[i : count + i]
-            break  # what passes at this size has passed at the smaller ones
-    return np.flatnonzero(at)
+def _starts(trie: PhraseTrie, ids: np.ndarray, langs: np.ndarray, sizes: tuple[int, ...], filters: dict[int, np.ndarray]) -> tuple[dict[int, np.ndarray], list[np.ndarray]]:
+    """Where the phrases of each size from 2 on begin that the filters let pass, and the numbers of all phrases.
+
+    A phrase passes if all shorter ones in it do, and its own size's filter if there is one.
+    """
+    slots = trie.slots(ids, langs, max(sizes))
+    at = (ids > 0) & passes(filters[1], slots[0])
+    found = {}
+    for size in range(2, max(sizes) + 1):
+        count = max(0, len(ids) - size + 1)
+        at = at[:count] & at[1 : count + 1]
+        if size in filters:
+            at &= passes(filters[size], slots[size - 1])
+        if size in sizes:
+            found[size] = np.flatnonzero(at)
+    return found, slots
 
 
 def _likely(bodies: DataFrame, sizes: tuple[int, ...], filters: dict[int, np.ndarray], parts: int, least: int) -> DataFrame:
@@ -285,11 +296,10 @@ def _likely(bodies: DataFrame, sizes: tuple[int, ...], filters: dict[int, np.nda
             return pa.RecordBatch.from_arrays([pa.array([size] * len(full), pa.int32()), pa.array(full, pa.int32()), *[pa.array(b, pa.binary()) for b in blobs]], ["words", "part", "slots", "counts"])
 
         for ids, langs in _tokens(batches, trie):
-            for size in sizes:
-                starts = _starts(trie, ids, langs, size, shared.value)
+            found, numbers = _starts(trie, ids, langs, sizes, shared.value)
+            for size, starts in found.items():
                 if len(starts):
-                    slots, counts = np.unique(trie.slots(ids, langs, size)[starts], return_counts=True)
-                    held[size].append((slots, counts))
+                    held[size].append(np.unique(numbers[size - 1][starts], return_counts=True))
                     if sum(len(s) for s, _ in held[size]) > 4 * HELD:
                         held[size] = [combined(held[size])]
                         if len(held[size][0][0]) > 2 * HELD:
@@ -310,7 +320,7 @@ def _likely(bodies: DataFrame, sizes: tuple[int, ...], filters: dict[int, np.nda
 
 
 def _counts(bodies: DataFrame, sizes: tuple[int, ...], filters: dict[int, np.ndarray], parts: int, least: int) -> DataFrame:
-    """Frequent phrases of the given sizes: lang, words, phrase, f, slot; for single words also all occurrences (phrase null)."""
+    """Frequent phrases of the given sizes, (1,) or from 2 on: lang, words, phrase, f, slot; for single words also all occurrences (phrase null)."""
     shared = bodies.sparkSession.sparkContext.broadcast(filters)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,9 +333,10 @@ def _counts(bodies: DataFrame, sizes: tuple[int, ...], filters: dict[int, np.nda
             return pa.RecordBatch.from_arrays([lang, size, pa.nulls(len(rows), pa.int64()), part, block], ["lang", "words", "f", "part", "block"])
 
         for ids, langs in _tokens(batches, trie):
-            for size in sizes:
-                trie.count(ids, langs, size, _starts(trie, ids, langs, size, shared.value))
-            if 1 in sizes:
+            if 1 not in sizes:
+                trie.count_phrases(ids, langs, _starts(trie, ids, langs, sizes, shared.value)[0])
+            else:
+                trie.count_words(ids, langs)
                 for lang, n in enumerate(np.bincount(langs[ids > 0]).tolist()):
                     totals[lang] = totals.get(lang, 0) + n
             if trie.held > HELD:
@@ -350,7 +361,7 @@ def _counts(bodies: DataFrame, sizes: tuple[int, ...], filters: dict[int, np.nda
                 phrases.append(phrase)
                 counts.append(total)
         ids = np.array([trie.ids[w] for p in phrases for w in p.split(b" ")], np.int64)
-        slots = trie.slots(ids, np.zeros(len(ids), np.int64), size)[::size].view(np.int64) if len(ids) else np.empty(0, np.int64)
+        slots = trie.slots(ids, np.zeros(len(ids), np.int64), size)[-1][::size].view(np.int64) if len(ids) else np.empty(0, np.int64)
         many = len(phrases)
         return pa.table([pa.array([lang] * many, pa.string()), pa.array([size] * many, pa.int32()), pa.array(phrases, pa.binary()), pa.array(counts, pa.int64()), pa.array(slots)], ["lang", "words", "phrase", "f", "slot"])
 
