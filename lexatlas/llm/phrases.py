@@ -34,7 +34,9 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 BORDER = b"\xff"
 SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
 #: Words counted at a time, entries a container has before it bursts, and entries a task holds before it hands on subtrees.
-BATCH_WORDS, BURST, HELD = 1 << 19, 1 << 14, 1 << 20
+BATCH_WORDS, BURST, HELD = 1 << 18, 1 << 14, 1 << 18
+#: Different hashes that a task sums before it hands them on.
+SUMMED = 1 << 21
 #: Words of the corpus per partition of prefixes.
 PARTITION_WORDS = 2_000_000
 #: Bits of the filter per frequent phrase.
@@ -300,9 +302,9 @@ def _likely(bodies: DataFrame, sizes: tuple[int, ...], filters: dict[int, np.nda
             for size, starts in found.items():
                 if len(starts):
                     held[size].append(np.unique(numbers[size - 1][starts], return_counts=True))
-                    if sum(len(s) for s, _ in held[size]) > 4 * HELD:
+                    if sum(len(s) for s, _ in held[size]) > SUMMED:
                         held[size] = [combined(held[size])]
-                        if len(held[size][0][0]) > 2 * HELD:
+                        if len(held[size][0][0]) > SUMMED // 2:
                             yield out(size)
         for size in sizes:
             if held[size]:

@@ -145,7 +145,7 @@ def phrase_rows():
 
 
 def test_phrase_counts_equal_brute_force(spark, monkeypatch):
-    for name, value in (("BURST", 8), ("HELD", 200), ("BATCH_WORDS", 100), ("PARTITION_WORDS", 200), ("CHUNK", 40), ("FILTER_BITS", 2)):
+    for name, value in (("BURST", 8), ("HELD", 200), ("BATCH_WORDS", 100), ("PARTITION_WORDS", 200), ("CHUNK", 40), ("FILTER_BITS", 2), ("SUMMED", 300)):
         monkeypatch.setattr(phrases, name, value)
     rows = phrase_rows()
     got = phrases.count_phrases(frame(spark, rows).repartition(3), least=7).collect()
