@@ -74,16 +74,17 @@ def narrow(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return bounded_join(rows, wanted.select(key).distinct(), [key], F.col(key), "left_semi")
 
 
-#: Estimated bytes per core below which a scan has too few tasks to fill them.
+#: Bytes per core below which a scan has too few tasks to fill them.
 SMALL_SCAN = 8 << 20
 
 
 def spread(frame: DataFrame) -> DataFrame:
-    """Spread a small scan over all cores before costly per-row work.
+    """Spread the rows of a small scan over all cores before costly per-row work.
 
-    Large inputs already come in many splits and are returned as they are.
+    Frames that come in as many partitions as there are cores, and large
+    inputs, are returned as they are.
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    plan = frame._jdf.queryExecution().optimizedPlan()
-    small = int(str(plan.stats().sizeInBytes())) < SMALL_SCAN * cores
-    return frame.repartition(cores) if small and "Repartition" not in plan.toString() else frame
+    plan = frame._jdf.queryExecution()
+    small = int(str(plan.optimizedPlan().stats().sizeInBytes())) < SMALL_SCAN * cores
+    return frame.repartition(cores) if small and plan.sparkPlan().outputPartitioning().numPartitions() < cores else frame

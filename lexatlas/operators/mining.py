@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexatlas.functions import text as tx
 from lexatlas.functions.unicode import casefold
 from lexatlas.operators.ranking import with_rank
+from lexatlas.operators.setjoin import similar_sets
 
 
 @dataclass(frozen=True)
@@ -37,7 +38,9 @@ def near_duplicates(candidates: DataFrame, positives: DataFrame, threshold: floa
     """Candidates too similar to a positive of the same question (F-08).
 
     Both sides carry ``tokens``.  Sets whose sizes alone rule out the threshold
-    are dropped by the join condition before any set is compared.
+    are dropped by the join condition before any set is compared.  Meant for a
+    few positives a question; :func:`near_duplicates_indexed` gives the same
+    for many.
     """
     c, p = candidates.alias("c"), positives.select("qid", F.col("tokens").alias("ptokens")).alias("p")
     small = F.least(F.size("c.tokens"), F.size("p.ptokens"))
@@ -50,6 +53,21 @@ def near_duplicates(candidates: DataFrame, positives: DataFrame, threshold: floa
     )
 
 
+def near_duplicates_indexed(candidates: DataFrame, positives: DataFrame, threshold: float = 0.90) -> DataFrame:
+    """As :func:`near_duplicates`, through an index over rare tokens (``setjoin``): no candidate meets each positive.
+
+    The same document comes up for many questions, so every different set is
+    compared once.
+    """
+    digest = F.struct(F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(1), "tokens").alias("b"))
+    some = candidates.select("qid", "doc_id", "source", digest.alias("one"), "tokens")
+    wanted = positives.select("qid", digest.alias("two"), "tokens")
+    sets = some.select("one", "tokens").dropDuplicates(["one"])
+    pairs = similar_sets(sets, wanted.select("two", "tokens").dropDuplicates(["two"]), threshold, (), "one", "two").select("one", "two")
+    asked = wanted.select("qid", "two").distinct().join(pairs, "two").select("qid", "one").distinct()
+    return some.select("qid", "doc_id", "source", "one").join(asked, ["qid", "one"], "left_semi").select("qid", "doc_id", "source").distinct()
+
+
 def negative_type(limits: MiningLimits) -> Column:
     """Class of one negative (UDT-12); null when no band applies.
 
@@ -82,19 +100,22 @@ def select_negatives(questions: DataFrame, gold: DataFrame, candidates: DataFram
 
     ``candidates``: qid, doc_id, source, rank, score, text, law_name, ambiguous;
     ``source_order`` is optional and decides whose text a positive takes;
-    ``tokens`` may hold the :func:`long_tokens` of the text already.
+    ``tokens`` may hold the :func:`long_tokens` of the text already. Tokens are
+    reduced to two facts a candidate first (near a positive, tokens shared with
+    the question); everything else is decided on numbers, and only the chosen
+    rows meet their texts again.
     """
     if "tokens" not in candidates.columns:
         candidates = candidates.withColumn("tokens", long_tokens(F.coalesce("text", F.lit(""))))
     if "source_order" not in candidates.columns:
         candidates = candidates.withColumn("source_order", F.col("source"))
     # one entry per (source, question, document): the first one listed
-    unique = candidates.groupBy("qid", "source", "source_order", "doc_id").agg(
-        F.min_by(F.struct("rank", "score", "text", "law_name", "ambiguous", "tokens"), "rank").alias("e")
-    ).select("qid", "source", "source_order", "doc_id", "e.*")
+    key = ["qid", "source", "source_order", "doc_id"]
+    entry = F.struct("rank", "score", "law_name", "ambiguous", "tokens")
+    unique = candidates.groupBy(*key).agg(F.min_by(entry, "rank").alias("e")).select(*key, "e.*")
     is_gold = gold.select("qid", "doc_id", F.lit(True).alias("is_gold")).distinct()
-    # read four times below; no larger than the candidate pool
-    judged = unique.join(is_gold, ["qid", "doc_id"], "left").persist(StorageLevel.DISK_ONLY)
+    # read four times below; no larger than the candidate pool, and without its texts
+    judged = unique.join(is_gold, ["qid", "doc_id"], "left").persist(StorageLevel.MEMORY_AND_DISK)
     positives = (
         judged.where("is_gold")
         .groupBy("qid", "doc_id")
@@ -102,18 +123,18 @@ def select_negatives(questions: DataFrame, gold: DataFrame, candidates: DataFram
         .select("qid", "p.tokens", casefold(F.col("p.law_name")).alias("law"))
     )
     laws = positives.where("law <> ''").select("qid", "law").distinct().withColumn("same_law", F.lit(True))
-    asked = questions.select("qid", long_tokens(F.col("question")).alias("qtokens"))
     open_ = judged.where(F.col("is_gold").isNull() & ~F.coalesce("ambiguous", F.lit(False))).drop("is_gold")
-    clean = open_.join(near_duplicates(open_, positives, limits.near_duplicate), ["qid", "doc_id", "source"], "left_anti")
+    asked = questions.select("qid", long_tokens(F.col("question")).alias("qtokens"))
+    near = near_duplicates(open_, positives, limits.near_duplicate)
+    in_band = F.col("rank").between(limits.semi_min, limits.semi_max)
     typed = (
-        clean.withColumn("law", casefold(F.coalesce("law_name", F.lit(""))))
+        open_.join(asked, "qid")
+        .withColumn("shared_tokens", F.when(in_band, F.size(F.array_intersect("tokens", "qtokens"))))
+        .drop("tokens", "qtokens")
+        .join(near, ["qid", "doc_id", "source"], "left_anti")
+        .withColumn("law", casefold(F.coalesce("law_name", F.lit(""))))
         .join(laws, ["qid", "law"], "left")
         .withColumn("same_law", F.coalesce("same_law", F.lit(False)))
-        .join(asked, "qid")
-        .withColumn(
-            "shared_tokens",
-            F.when(F.col("rank").between(limits.semi_min, limits.semi_max), F.size(F.array_intersect("tokens", "qtokens"))),
-        )
         .withColumn("negative_type", negative_type(limits))
         .where("negative_type is not null")
         .withColumn("strength", strength(limits))
@@ -125,7 +146,9 @@ def select_negatives(questions: DataFrame, gold: DataFrame, candidates: DataFram
         .when(F.col("strength") == "semi_hard", limits.max_semi)
         .otherwise(limits.max_easy)
     )
-    return placed.where(F.col("_n") <= allowed).select(
+    chosen = placed.where(F.col("_n") <= allowed).select(*key, "rank", "score", "law_name", "negative_type", "strength")
+    texts = candidates.select(*key, "rank", "text").join(chosen, [*key, "rank"], "left_semi").groupBy(*key, "rank").agg(F.min("text").alias("text"))
+    return chosen.join(texts, [*key, "rank"]).select(
         "qid", "doc_id", "source", "rank", "score", "text", "law_name", "negative_type", "strength"
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexatlas.functions import text as tx
-from lexatlas.operators import folds, metrics, mining, ranking
+from lexatlas.operators import folds, metrics, mining, ranking, setjoin
 from lexatlas.plans import inputs
 from lexatlas.plans.registry import query
 from lexatlas.plans.retrieval_queries import _FUSED, AGGREGATED, HITS, RERANKED, final_ranking
@@ -234,12 +234,13 @@ def fold_statistics(spark, folder):
 
 
 @query("fold_violations", f"""
-WITH {FOLDED_TURNS}, bad AS (SELECT qid, group_key, (fold + (qid % 997 = 0)::INT) % 5 AS fold FROM folded WHERE qid % 11 <> 3)
+WITH {FOLDED_TURNS}, mixed AS (SELECT *, ('0x' || md5(qid)[1:8])::BIGINT AS h FROM folded), bad AS (SELECT qid, group_key, (fold + (h % 97 = 0)::INT) % 5 AS fold FROM mixed WHERE h % 11 <> 3)
 SELECT 'missing_id' AS violation, qid::VARCHAR AS subject FROM turns WHERE qid NOT IN (SELECT qid FROM bad) UNION ALL
 SELECT 'group_crosses_folds', group_key FROM bad GROUP BY group_key HAVING min(fold) <> max(fold)""")
 def fold_violations(spark, folder):
     """A damaged assignment: ids missing, single members moved."""
-    bad = hashed(spark, folder).where("qid % 11 <> 3").withColumn("fold", (F.col("fold") + (F.col("qid") % 997 == 0).cast("int")) % 5)
+    h = F.conv(F.substring(F.md5("qid"), 1, 8), 16, 10).cast("long")
+    bad = hashed(spark, folder).where(h % 11 != 3).withColumn("fold", (F.col("fold") + (h % 97 == 0).cast("int")) % 5)
     return folds.fold_violations(bad, inputs.turns(spark, folder))
 
 
@@ -322,6 +323,34 @@ def near_duplicate_exclusion(spark, folder):
     return mining.near_duplicates(flagged.where("g is null"), positives, 0.2).select("qid", "doc_id").distinct()
 
 
+_PLANTED = f"""
+d AS (SELECT doc_id, {_TOKENS.format('text')} AS tokens FROM documents), p AS (SELECT doc_id AS planted_id, list_append(tokens, 'zzplanted') AS tokens FROM d WHERE doc_id % 10 = 0),
+pairs AS (SELECT doc_id, planted_id, len(list_intersect(d.tokens, p.tokens)) AS common, len(d.tokens) + len(p.tokens) AS both_sizes FROM d, p WHERE len(d.tokens) > 0 AND len(d.tokens) >= 0.8 * len(p.tokens) AND len(p.tokens) >= 0.8 * len(d.tokens))"""
+
+
+@query("set_similarity_pairs", f"""
+WITH {_PLANTED} SELECT doc_id, planted_id, common::INT AS common, round(common / (both_sizes - common), 9) AS similarity FROM pairs WHERE common >= 0.8 * (both_sizes - common)""")
+def set_similarity_pairs(spark, folder):
+    """Documents whose word sets are similar to those of every tenth document with a word more."""
+    sets = inputs.documents(spark, folder).select("doc_id", mining.long_tokens(F.col("text")).alias("tokens"))
+    planted = sets.where("doc_id % 10 = 0").select(F.col("doc_id").alias("planted_id"), F.array_append("tokens", F.lit("zzplanted")).alias("tokens"))
+    return setjoin.similar_sets(sets, planted, 0.8, (), "doc_id", "planted_id").withColumn("similarity", F.round("similarity", 9))
+
+
+@query("planted_near_duplicates", f"""
+WITH {_MINE}, planted AS (SELECT g.qid, -1 - g.doc_id AS doc_id, list_append(d.tokens, 'zzplanted') AS tokens FROM gold g JOIN dset d USING (doc_id)),
+both_kinds AS (SELECT qid, doc_id, tokens FROM open_c UNION SELECT qid, doc_id, tokens FROM planted), wanted AS (SELECT g.qid, d.tokens FROM gold g JOIN dset d USING (doc_id))
+SELECT DISTINCT o.qid, o.doc_id FROM both_kinds o JOIN wanted p USING (qid) WHERE len(list_intersect(o.tokens, p.tokens)) >= 0.9 * (len(o.tokens) + len(p.tokens) - len(list_intersect(o.tokens, p.tokens))) AND len(o.tokens) > 0""")
+def planted_near_duplicates(spark, folder):
+    """The exclusion of near duplicates with a copy of every gold document, one word longer, among the candidates."""
+    gold = inputs.gold(spark, folder)
+    texts = inputs.documents(spark, folder).select("doc_id", mining.long_tokens(F.col("text")).alias("tokens"))
+    positives = gold.join(texts, "doc_id")
+    planted = positives.select("qid", (-1 - F.col("doc_id")).alias("doc_id"), F.lit("planted").alias("source"), F.array_append("tokens", F.lit("zzplanted")).alias("tokens"))
+    open_ = inputs.candidates(spark, folder).join(gold, ["qid", "doc_id"], "left_anti").select("qid", "doc_id", "source", "tokens")
+    return mining.near_duplicates_indexed(open_.unionByName(planted), positives).select("qid", "doc_id").distinct()
+
+
 @query("mine_negatives", f"WITH {_MINE} SELECT qid, doc_id, source, rank, score, negative_type, strength FROM negatives")
 def mine_negatives(spark, folder):
     return negatives(spark, folder).select("qid", "doc_id", "source", "rank", "score", "negative_type", "strength")

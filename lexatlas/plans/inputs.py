@@ -76,7 +76,7 @@ def scored_pool(spark: SparkSession, folder: str) -> DataFrame:
     """
     words = lambda column: F.array_distinct(tx.word_tokens(F.col(column)))
     found = bm25_ranking(spark, folder)
-    texts = narrow(table(spark, folder, "documents").select("doc_id", "text"), found, "doc_id").select("doc_id", words("text").alias("dw"))
+    texts = spread(narrow(table(spark, folder, "documents").select("doc_id", "text"), found, "doc_id")).select("doc_id", words("text").alias("dw"))
     asked = questions(spark, folder).select("qid", words("question").alias("qw"))
     pairs = found.join(texts, "doc_id").join(asked, "qid")
     common = F.size(F.array_intersect("qw", "dw"))
@@ -105,7 +105,7 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
         for i, (name, frame) in enumerate((("bm25", bm25_ranking(spark, folder)), ("dense", jaccard_ranking(spark, folder))))
     ]
     both = channels[0].unionByName(channels[1])
-    texts = narrow(table(spark, folder, "documents").select("doc_id", "text", "source"), both, "doc_id").select(
+    texts = spread(narrow(table(spark, folder, "documents").select("doc_id", "text", "source"), both, "doc_id")).select(
         "doc_id", "text", F.col("source").alias("law_name"), mining.long_tokens(F.col("text")).alias("tokens")
     )
     return both.join(texts, "doc_id").withColumn("ambiguous", F.lit(False))
