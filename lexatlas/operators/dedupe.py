@@ -60,23 +60,6 @@ def corpus_xor(rows: DataFrame, record: Column) -> DataFrame:
     )
 
 
-def ordered_hash(rows: DataFrame, key: str, record: Column, shards: int = 4096) -> DataFrame:
-    """Order-sensitive corpus hash (A-21) as a two-level tree.
-
-    Rows are put in shards by key hash, each shard is hashed in key order, then
-    the shard digests are hashed; no task holds more than one shard of digests.
-    """
-    leaf = rows.select(
-        F.pmod(F.xxhash64(key), F.lit(shards)).alias("shard"), F.struct(F.col(key).alias("k"), F.sha2(record, 256).alias("h")).alias("e")
-    )
-    shard = leaf.groupBy("shard").agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: F.concat(e["k"].cast("string"), F.lit(":"), e["h"])), "\n"), 256).alias("h")
-    )
-    return shard.agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("shard", "h"))), lambda e: e["h"]), "\n"), 256).alias("corpus_sha256")
-    )
-
-
 def multiset_difference(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows of ``left`` not matched one by one in ``right`` (SET-05), with counts."""
     tagged = left.select(*columns, F.lit(1).alias("_d")).unionByName(right.select(*columns, F.lit(-1).alias("_d")))

@@ -288,9 +288,29 @@ def paired_group_deltas(spark, folder):
     return deltas(spark, folder)
 
 
-@query("paired_bootstrap")
+_WORD = "18446744073709551616::UHUGEINT"
+
+
+def _times(number: str, factor: int) -> str:
+    """64-bit product in SQL."""
+    return f"(({number})::UHUGEINT * {factor}::UHUGEINT % {_WORD})::UBIGINT"
+
+
+_A, _B, _C, _D = folds.PICK_FACTORS
+_PICKS = f"""
+g AS (SELECT (qid % 171)::VARCHAR AS group_key, sum(d)::DOUBLE AS delta, count(*)::BIGINT AS n FROM s GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY group_key) - 1 AS i, count(*) OVER () AS units FROM g), u AS (SELECT max(units) AS units FROM o),
+z0 AS (SELECT t.draw, (({folds.SEED}::UHUGEINT * {_A}::UHUGEINT % {_WORD} + t.draw::UHUGEINT * {_B}::UHUGEINT % {_WORD} + p.pick::UHUGEINT * {_D}::UHUGEINT % {_WORD}) % {_WORD})::UBIGINT AS z, units FROM u, range(0, {folds.DRAWS}) t(draw), range(0, (SELECT units FROM u)) p(pick)),
+z1 AS (SELECT draw, units, {_times('xor(z, z >> 30)', folds.MIX_FACTORS[0])} AS z FROM z0), z2 AS (SELECT draw, units, {_times('xor(z, z >> 27)', folds.MIX_FACTORS[1])} AS z FROM z1),
+drawn AS (SELECT draw, round(sum(delta) / sum(n), 12) AS m FROM (SELECT draw, (xor(z, z >> 31) % units)::BIGINT AS i FROM z2) JOIN o USING (i) GROUP BY draw)"""
+
+
+@query("paired_bootstrap", f"""
+WITH {_DELTAS}, {_PICKS}, r AS (SELECT avg((m > 0)::INT) AS probability_positive, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM drawn), b AS (SELECT sum(delta) / sum(n) AS observed_delta, count(*)::BIGINT AS group_count FROM g)
+SELECT round(observed_delta, 9) AS observed_delta, group_count, round(probability_positive, 9) AS probability_positive, round(low, 9) AS low, round(high, 9) AS high, group_count >= 100 AND observed_delta > 0 AND probability_positive >= 0.7 AS passes_gate FROM r, b""")
 def paired_bootstrap(spark, folder):
-    return folds.bootstrap_report(deltas(spark, folder))
+    report = folds.bootstrap_report(deltas(spark, folder))
+    return report.select(F.round("observed_delta", 9).alias("observed_delta"), "group_count", *[F.round(c, 9).alias(c) for c in ("probability_positive", "low", "high")], "passes_gate")
 
 
 # -------------------------------------------------------------------- mining

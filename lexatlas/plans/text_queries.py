@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexatlas.functions import text as tx
 from lexatlas.functions import unicode as uc
-from lexatlas.operators import answers, audit, chunking, dedupe, folds
+from lexatlas.operators import answers, audit, chunking, dedupe, folds, hashtree
 from lexatlas.plans import inputs
 from lexatlas.plans.registry import query
 
@@ -175,9 +175,35 @@ def corpus_xor_hash(spark, folder):
     return dedupe.corpus_xor(inputs.documents(spark, folder), F.concat(F.col("doc_id").cast("string"), F.lit(":"), "text"))
 
 
-@query("corpus_ordered_hash")
+_HASH_TREE = """
+e AS (SELECT doc_id::VARCHAR AS key, sha256(text) AS h, count(*) AS copies FROM documents GROUP BY ALL), n AS (SELECT count(*) AS n FROM e),
+d AS (SELECT CASE WHEN n <= 256 THEN 0 WHEN n <= 4096 THEN 1 WHEN n <= 65536 THEN 2 ELSE 3 END AS depth FROM n),
+l AS (SELECT sha256(key || ':' || h)[1:depth] AS prefix, sum(copies)::BIGINT AS rows, sha256(string_agg(key || ':' || h || ':' || copies, chr(10) ORDER BY key || ':' || h || ':' || copies)) AS sha256 FROM e, d GROUP BY 1),
+p1 AS (SELECT prefix[1:len(prefix) - 1] AS prefix, sum(rows)::BIGINT AS rows, sha256(string_agg(prefix || ':' || sha256, chr(10) ORDER BY prefix)) AS sha256 FROM l WHERE prefix <> '' GROUP BY 1),
+p2 AS (SELECT prefix[1:len(prefix) - 1] AS prefix, sum(rows)::BIGINT AS rows, sha256(string_agg(prefix || ':' || sha256, chr(10) ORDER BY prefix)) AS sha256 FROM p1 WHERE prefix <> '' GROUP BY 1),
+p3 AS (SELECT prefix[1:len(prefix) - 1] AS prefix, sum(rows)::BIGINT AS rows, sha256(string_agg(prefix || ':' || sha256, chr(10) ORDER BY prefix)) AS sha256 FROM p2 WHERE prefix <> '' GROUP BY 1),
+nodes AS (SELECT * FROM l UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)"""
+
+
+@query("corpus_ordered_hash", f"WITH {_HASH_TREE} SELECT sha256 AS corpus_sha256, rows AS record_count FROM nodes WHERE prefix = ''")
 def corpus_ordered_hash(spark, folder):
-    return dedupe.ordered_hash(inputs.documents(spark, folder), "doc_id", F.col("text"))
+    return hashtree.root(hashtree.hash_tree(inputs.documents(spark, folder), "doc_id", F.col("text")))
+
+
+@query("corpus_hash_tree", f"WITH {_HASH_TREE} SELECT prefix, rows, sha256 FROM nodes")
+def corpus_hash_tree(spark, folder):
+    return hashtree.hash_tree(inputs.documents(spark, folder), "doc_id", F.col("text")).nodes
+
+
+@query("corpus_changes", """
+SELECT CASE WHEN doc_id % 50 = 0 THEN 'removed' ELSE side END AS change, doc_id::VARCHAR AS key, 1::BIGINT AS copies
+FROM documents, (VALUES ('removed'), ('added')) v(side) WHERE (doc_id % 50 = 0 AND side = 'removed') OR doc_id % 50 = 7""")
+def corpus_changes(spark, folder):
+    """Every fiftieth document lost and another changed, found by descending from the root."""
+    before = inputs.documents(spark, folder).select("doc_id", "text")
+    after = before.where("doc_id % 50 <> 0").withColumn("text", F.when(F.col("doc_id") % 50 == 7, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    old = hashtree.hash_tree(before, "doc_id", F.col("text"))
+    return hashtree.changed_entries(old, hashtree.hash_tree(after, "doc_id", F.col("text"), depth=old.depth)).select("change", "key", "copies")
 
 
 @query("line_multiset_difference", """

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from lexatlas.functions import text as tx
 from lexatlas.operators.audit import valid_identifier
 from lexatlas.operators.metrics import coverage
+from lexatlas.sources.entries import RANGE_BYTES, read_entries, unique_keys
 
 HIT = T.StructType(
     [
@@ -67,7 +68,21 @@ def read_question_map(spark: SparkSession, path: str, answers: str = "array<stri
     for question answering.
     """
     parsed = _whole(spark, path).select(F.from_json("value", f"map<string,struct<question:string,answer:{answers}>>").alias("m"))
-    rows = parsed.select(F.explode("m").alias("qid", "r")).select("qid", "r.question", "r.answer")
+    return _checked_questions(parsed.select(F.explode("m").alias("qid", "r")).select("qid", "r.question", "r.answer"), answers)
+
+
+def read_question_map_by_ranges(spark: SparkSession, path: str, answers: str = "array<string>", range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """As :func:`read_question_map`, for large files: each is cut at its entries and read by many tasks.
+
+    Repeated ids are refused by a grouping, repeated fields inside an entry by
+    the parser of its value.
+    """
+    rows = unique_keys(read_entries(spark, path, range_bytes)).where(F.parse_json("value").isNotNull())
+    parsed = rows.select(F.col("key").alias("qid"), F.from_json("value", f"struct<question:string,answer:{answers}>").alias("r"))
+    return _checked_questions(parsed.select("qid", "r.question", "r.answer"), answers)
+
+
+def _checked_questions(rows: DataFrame, answers: str) -> DataFrame:
     checked = _strict(rows, valid_identifier(F.col("qid")) & (tx.strip(F.col("question")) != ""), "invalid question record")
     if answers.startswith("array"):
         return _strict(
