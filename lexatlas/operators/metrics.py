@@ -266,3 +266,36 @@ def depth_recommendation(depth_rows: DataFrame, buckets: DataFrame) -> DataFrame
     return deepest.crossJoin(misses).withColumn(
         "decision", F.when(probe, "recommended_for_gpu_probe").otherwise("not_priority_from_current_evidence")
     )
+
+
+def evaluate_samples(samples: DataFrame, hits: DataFrame, scores: Sequence[str] = (), latency: str = "latency_ms", depths: Sequence[int] = (1, 3, 5, 10)) -> DataFrame:
+    """Combined evaluation in one aggregate (M-04, M-09): recall at depths and reciprocal rank, and optional parts.
+
+    ``samples``: qid, gold (array of ids that count as found), the columns in
+    ``scores`` (answer scores in 0..1) and ``latency``; ``hits``: qid, doc_id,
+    rank. An optional column counts only if *all* samples have it: if none
+    has, its mean is null, and if some have, the evaluation is refused, as a
+    mean over the rest would look better than the run was.
+    """
+    found = (
+        hits.join(samples.select("qid", "gold"), "qid")
+        .where(F.array_contains("gold", F.col("doc_id")))
+        .groupBy("qid")
+        .agg(F.min("rank").alias("first"), *[F.count_distinct(F.when(F.col("rank") <= k, F.col("doc_id"))).alias(f"at_{k}") for k in depths])
+    )
+    rows = samples.join(found, "qid", "left")
+    gold = F.greatest(F.size(F.array_distinct("gold")), F.lit(1))
+    parts = [*scores, *([latency] if latency in samples.columns else [])]
+    told = rows.agg(
+        F.count(F.lit(1)).alias("sample_count"),
+        F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 9).alias("mrr"),
+        *[F.round(F.avg(F.coalesce(F.col(f"at_{k}") / gold, F.lit(0.0))), 9).alias(f"recall_at_{k}") for k in depths],
+        *[F.round(F.avg(p), 9).alias(f"mean_{p}") for p in parts],
+        *[F.count(p).alias(f"_{p}") for p in parts],
+    )
+    whole = F.lit(True)
+    for p in parts:
+        whole = whole & F.col(f"_{p}").isin(0, F.col("sample_count"))
+    mixed = F.concat_ws(", ", *[F.when(~F.col(f"_{p}").isin(0, F.col("sample_count")), F.lit(p)) for p in parts])
+    checked = told.where(F.assert_true(whole, F.concat(F.lit("only some samples have "), mixed)).isNull())
+    return checked.drop(*[f"_{p}" for p in parts])

@@ -14,8 +14,10 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexatlas.functions import text as tx
 from lexatlas.operators import vectors
@@ -111,3 +113,67 @@ def generate_answers(prompts: DataFrame, prompt: str, factory: Callable[[], Gene
 
         raw = generate(prompt)
     return prompts.withColumn("raw_answer", raw).withColumn("answer", finish_answer(F.col("raw_answer")))
+
+
+def batched_calls(
+    rows: DataFrame, inputs: Sequence[str], factory: Callable[[], Callable[..., Sequence]], result: str, output: str, batch_size: int = 64, retries: int = 2
+) -> DataFrame:
+    """Model outputs in batches of bounded size, with an error per row instead of a failed job (ML-02, ML-03).
+
+    ``factory`` loads the model once per Python worker; the model takes one
+    sequence per input column and returns as many values. A batch that raises,
+    returns another number of values or non-finite ones is called again up to
+    ``retries`` times, then row by row, so that one bad row costs no other.
+    Adds ``output`` (null for a failed row), ``error`` (null for a good one)
+    and ``calls`` (how often the model was called with the row).
+    """
+    textual = result == "string"
+    columns = list(inputs)
+
+    def load():
+        model = factory()
+
+        def called(*parts: Sequence) -> list:
+            values = list(model(*parts))
+            if len(values) != len(parts[0]):
+                raise ValueError(f"{len(values)} values for {len(parts[0])} rows")
+            if not textual and not np.isfinite(np.asarray(values, dtype=np.float64)).all():
+                raise ValueError("a value is not finite")
+            return values
+
+        def attempt(*parts: Sequence) -> tuple[list, list, list]:
+            calls = 0
+            for _ in range(1 + retries):
+                calls += 1
+                try:
+                    return called(*parts), [None] * len(parts[0]), [calls] * len(parts[0])
+                except Exception as failure:  # noqa: BLE001 - any fault of a model is a row's error
+                    last = f"{type(failure).__name__}: {failure}"
+            if len(parts[0]) == 1:
+                return [None], [last], [calls]
+            outs, errors, counts = [], [], []
+            for one in zip(*parts, strict=True):
+                o, e, c = attempt(*[[x] for x in one])
+                outs += o
+                errors += e
+                counts += [calls + n for n in c]
+            return outs, errors, counts
+
+        def predict(*arrays: np.ndarray) -> dict[str, np.ndarray]:
+            values, errors, calls = attempt(*[a.tolist() for a in arrays])
+            missing = "" if textual else float("nan")
+            return {
+                "value": np.array([missing if v is None else v for v in values], dtype=object if textual else np.float64),
+                "error": np.array(["" if e is None else e for e in errors], dtype=object),
+                "calls": np.array(calls, dtype=np.int32),
+            }
+
+        return predict
+
+    kinds = T.StructType([T.StructField("value", T.StringType() if textual else T.DoubleType()), T.StructField("error", T.StringType()), T.StructField("calls", T.IntegerType())])
+    udf = predict_batch_udf(load, return_type=kinds, batch_size=batch_size)
+    told = rows.withColumn("_told", udf(*[F.coalesce(F.col(c), F.lit("")) for c in columns]))
+    failed = F.col("_told.error") != ""
+    return told.select(
+        *[F.col(c) for c in rows.columns], F.when(~failed, F.col("_told.value")).alias(output), F.when(failed, F.col("_told.error")).alias("error"), F.col("_told.calls").alias("calls")
+    )

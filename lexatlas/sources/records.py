@@ -195,3 +195,54 @@ def require_coverage(expected: DataFrame, actual: DataFrame, report: str | None
 def pending(selected: DataFrame, completed: DataFrame) -> DataFrame:
     """Questions still to do when a run is resumed (J-11, M-25)."""
     return selected.join(completed.select("qid").distinct(), "qid", "left_anti")
+
+
+def read_ranking_inputs(spark: SparkSession, path: str) -> DataFrame:
+    """(qid, position, doc_id) of rankings or references in any of their shapes (M-08).
+
+    One file may hold ``{id: {answer: [...]}}``, ``{id: [...]}`` or an array of
+    ``{id | question_id, documents | gold_documents | answer | gold_document}``;
+    JSON lines of such objects work, too. Entries are Variants, exploded where
+    they are lists; unknown shapes, empty and repeated ids are refused.
+    """
+    text = _whole(spark, path) if not path.endswith(".jsonl") else spark.read.text(path).where(tx.strip(F.col("value")) != "")
+    raw = text.select(F.parse_json("value").alias("v"))
+    kind = F.schema_of_variant("v")
+    lists = raw.where(kind.startswith("ARRAY")).lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(F.lit(None).cast("string").alias("key"), "value")
+    objects = raw.where(kind.startswith("OBJECT"))
+    single = F.try_variant_get("v", "$.id", "string").isNotNull() | F.try_variant_get("v", "$.question_id", "string").isNotNull()
+    lines = objects.where(single).select(F.lit(None).cast("string").alias("key"), F.col("v").alias("value"))
+    mapping = objects.where(~single).lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("key", "value")
+    entries = lists.unionByName(lines).unionByName(mapping)
+
+    def got(place: str, to: str):
+        return F.try_variant_get("value", place, to)
+
+    named = F.coalesce("key", got("$.id", "string"), got("$.question_id", "string"))
+    several = F.coalesce(*[got(place, "array<string>") for place in ("$", "$.documents", "$.gold_documents", "$.answer")])
+    documents = F.coalesce(several, F.transform(F.array(got("$.gold_document", "string")), lambda d: d))
+    rows = entries.select(named.alias("qid"), F.filter(documents, lambda d: d.isNotNull()).alias("documents"))
+    unique = F.size(F.array_distinct("documents")) == F.size("documents")
+    checked = _strict(rows, valid_identifier(F.col("qid")) & F.col("documents").isNotNull() & unique, "invalid ranking entry")
+    once = checked.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.first("documents").alias("documents"))
+    sound = _strict(once, F.col("n") == 1, "question listed twice")
+    return sound.select("qid", F.posexplode("documents").alias("at", "doc_id")).select("qid", (F.col("at") + 1).alias("position"), "doc_id")
+
+
+def select_candidates(rankings: DataFrame, questions: DataFrame, folds: DataFrame | None = None, fold: int | None = None, head: int | None = None) -> DataFrame:
+    """Rankings of the questions that an analysis is about (M-10): of a fold, the first ``head`` by id, and covered.
+
+    The selected questions must all be ranked; what is missing is found by an
+    anti-join and refused with examples. Rankings of other questions are left out.
+    """
+    chosen = questions.select("qid").distinct()
+    if fold is not None:
+        if folds is None:
+            raise ValueError("a fold needs the fold table")
+        chosen = chosen.join(folds.where(F.col("fold") == fold).select("qid"), "qid", "left_semi")
+    if head is not None:
+        chosen = chosen.orderBy("qid").limit(head)
+    missing = [r["qid"] for r in chosen.join(rankings.select("qid").distinct(), "qid", "left_anti").orderBy("qid").take(5)]
+    if missing:
+        raise ValueError(f"questions without a ranking, among them {missing}")
+    return rankings.join(chosen, "qid", "left_semi")
