@@ -194,7 +194,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_suffix_dedup")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes and spans removed of each document, and the digest of what is left."""
-    found = remove_repeats(table(spark, folder, "documents"))
+    found = remove_repeats(table(spark, folder, "documents"), kept_bytes=False)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ from lexatlas.llm.sorted_runs import borders_of, cut_at, decode, equal_groups, f
 
 LENGTH = 400
 #: Windows of a block, from step to step.
-STEPS = (16, 1)
+STEPS = (64, 8, 1)
 #: Bytes of texts hashed at a time, and of suffixes in one run.
 SEGMENT, RUN_BYTES = 1 << 20, 8 << 20
 #: Bits of a filter per value that occurs again.
@@ -284,14 +285,15 @@ def _finer(level: DataFrame, heads: DataFrame, block: int, length: int) -> tuple
     """The windows that are still open, in blocks of ``block``, as items: those whose common bytes are elsewhere, too."""
     classes = level.filter("not repeated").select("class").distinct()
     ids = level.filter("copy").join(classes, "class", "left_semi").drop("repeated", "copy")
-    held = save(ids.join(heads, ["run", "number"]).drop("run", "number"), "open")
+    found = ids.join(heads, ["run", "number"]).select(*[c.split()[0] for c in ITEMS.split(", ")])
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(_digests(row, block, length).view(np.int64))], ["digest"])
+            digests = [_digests(row, block, length).view(np.int64) for row in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.list_(pa.int64()))], [*batch.schema.names, "digests"])
 
-    again, count = _again(held.mapInArrow(common, "digest long"), "digest")
+    held = save(found.mapInArrow(common, f"{ITEMS}, digests array<long>"), "open")
+    again, count = _again(held.select(F.explode("digests").alias("digest")), "digest")
     shared = held.sparkSession.sparkContext.broadcast(again)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +306,7 @@ def _finer(level: DataFrame, heads: DataFrame, block: int, length: int) -> tuple
         out: list[tuple] = []
         for batch in batches:
             for row in batch.to_pylist():
-                wanted = passes(shared.value, _digests(row, block, length)).tolist()
+                wanted = passes(shared.value, np.array(row["digests"], np.int64).view(np.uint64)).tolist()
                 for (number, at, many, common_at), is_wanted in zip(_blocks(row, block, length), wanted, strict=True):
                     if is_wanted:
                         inner = xxhash.xxh3_64_intdigest(number.to_bytes(8, "little"), row["class"] & (1 << 64) - 1) - (1 << 63)
@@ -322,8 +324,8 @@ def _finer(level: DataFrame, heads: DataFrame, block: int, length: int) -> tuple
     return held.mapInArrow(cut, ITEMS), count, some(held).mapInArrow(cut, ITEMS)
 
 
-def _outcomes(bodies: DataFrame, length: int) -> DataFrame:
-    """Spans and what is left of every different text that loses bytes: key, spans, kept, kept_sha256."""
+def _outcomes(bodies: DataFrame, length: int, kept_bytes: bool) -> DataFrame:
+    """Spans and what is left of every different text that loses bytes: key, spans, kept (null if not asked for), kept_sha256."""
 
     def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,17 +342,17 @@ def _outcomes(bodies: DataFrame, length: int) -> DataFrame:
                     at = stop
                 left = b"".join((*kept, text[at:]))
                 listed = pa.array([[{"start": a, "stop": b} for a, b in spans]], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), listed, pa.array([left], pa.binary()), pa.array([hashlib.sha256(left).hexdigest()])], ["key", "spans", "kept", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), listed, pa.array([left if kept_bytes else None], pa.binary()), pa.array([hashlib.sha256(left).hexdigest()])], ["key", "spans", "kept", "kept_sha256"])
 
     with scratch(bodies.sparkSession) as keep:
         again, count = _again(_classes(bodies, length), "class")
         some = bodies.filter(F.pmod(F.xxhash64("body", F.lit(1)), F.lit(max(1, count // SAMPLE_ITEMS))) == 0)
         level, heads = sort_suffixes(_cut(bodies, length, again), count, _cut(some, length, again))
         spans = [level.filter("repeated").select("key", "start", "windows")]
-        for block in STEPS:
+        for block in [b for b in STEPS if b <= length]:
             level, heads = sort_suffixes(*_finer(level, heads, block, length))
             spans.append(level.filter("repeated").select("key", "start", "windows"))
-        merged = spans[0].unionByName(spans[1]).unionByName(spans[2])
+        merged = reduce(DataFrame.unionByName, spans)
         spans = keep(merged.groupBy("key").agg(F.collect_set(F.struct("start", "windows")).alias("found")), "spans")
     losing = bit_filter(spans.select(F.xxhash64("key").alias("key")), "key", FILTER_BITS)
     shared = bodies.sparkSession.sparkContext.broadcast(losing)
@@ -361,12 +363,14 @@ def _outcomes(bodies: DataFrame, length: int) -> DataFrame:
 
     held = bodies.filter(may_lose(F.xxhash64("key"))).select("key", "body")
     outcomes = held.join(spans, "key").mapInArrow(take_out, "key binary, spans array<struct<start:long,stop:long>>, kept binary, kept_sha256 string")
-    return outcomes.dropDuplicates(["key"])
+    return (outcomes if kept_bytes else outcomes.drop("kept").withColumn("kept", F.lit(None).cast("binary"))).dropDuplicates(["key"])
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = LENGTH, kept_bytes: bool = True) -> DataFrame:
     """Every row's doc_id, n_bytes, ``spans`` removed (from, to; maximal, in order), ``kept`` bytes and their SHA-256.
 
+    Without ``kept_bytes`` there is no column ``kept``, and no bytes are handed on for it.
+
     Texts are UTF-8 bytes, null is empty, and a text shorter than ``length``
     keeps all; rows with equal texts are texts of their own, so each loses all
     that is long enough; ids may be null or repeat and are handed on as they
@@ -375,11 +379,11 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     small_batches(documents.sparkSession)
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     bodies = documents.select(body.alias("body")).filter(F.octet_length("body") >= length).select("body", _key(F.col("body")).alias("key"))
-    outcomes = _outcomes(bodies, length)
+    outcomes = _outcomes(bodies, length, kept_bytes)
     rows = documents.select("doc_id", body.alias("_body")).select(
         "doc_id", "_body", _key(F.col("_body")).alias("key"), F.octet_length("_body").cast("long").alias("n_bytes"), F.sha2("_body", 256).alias("_whole")
     )
     none = F.expr("cast(array() as array<struct<start:long,stop:long>>)")
-    return rows.join(outcomes, "key", "left").select(
-        "doc_id", "n_bytes", F.coalesce("spans", none).alias("spans"), F.coalesce("kept", "_body").alias("kept"), F.coalesce("kept_sha256", "_whole").alias("kept_sha256")
-    )
+    kept = [F.coalesce("kept", "_body").alias("kept")] if kept_bytes else []
+    spans, digest = F.coalesce("spans", none).alias("spans"), F.coalesce("kept_sha256", "_whole").alias("kept_sha256")
+    return rows.join(outcomes, "key", "left").select("doc_id", "n_bytes", spans, *kept, digest)
