@@ -127,6 +127,8 @@ def batched_calls(
     Adds ``output`` (null for a failed row), ``error`` (null for a good one)
     and ``calls`` (how often the model was called with the row).
     """
+    if not 1 <= len(inputs) <= 3:
+        raise ValueError("one to three input columns")
     textual = result == "string"
     columns = list(inputs)
 
@@ -168,7 +170,8 @@ def batched_calls(
                 "calls": np.array(calls, dtype=np.int32),
             }
 
-        return predict
+        shapes = {1: lambda a: predict(a), 2: lambda a, b: predict(a, b), 3: lambda a, b, c: predict(a, b, c)}  # the caller counts arguments
+        return shapes[len(columns)]
 
     kinds = T.StructType([T.StructField("value", T.StringType() if textual else T.DoubleType()), T.StructField("error", T.StringType()), T.StructField("calls", T.IntegerType())])
     udf = predict_batch_udf(load, return_type=kinds, batch_size=batch_size)

@@ -264,7 +264,7 @@ def selector_fold(spark, folder):
     rows = bank.select(
         "qid", "profile", "position", "answer", answers.selector_document(F.col("question"), F.col("generated"), F.col("extractive")).alias("document"),
         answers.answer_features(F.col("question"), F.col("answer"), F.col("generated"), F.col("extractive"), F.col("profile")).alias("features"),
-        scoring.meteor(F.col("question"), F.col("answer")).alias("target"),
+        scoring.meteor(F.col("generated"), F.col("answer")).alias("target"),
     )
     assigned = folds.hashed_folds(folds.with_group(pairs.select("qid", "question")), 3).select("qid", "fold")
     return selector.select_nested(rows, assigned, 3).select("method", "qid", "profile")

@@ -220,7 +220,8 @@ def read_ranking_inputs(spark: SparkSession, path: str) -> DataFrame:
 
     named = F.coalesce("key", got("$.id", "string"), got("$.question_id", "string"))
     several = F.coalesce(*[got(place, "array<string>") for place in ("$", "$.documents", "$.gold_documents", "$.answer")])
-    documents = F.coalesce(several, F.transform(F.array(got("$.gold_document", "string")), lambda d: d))
+    one = got("$.gold_document", "string")
+    documents = F.coalesce(several, F.when(one.isNotNull(), F.array(one)))
     rows = entries.select(named.alias("qid"), F.filter(documents, lambda d: d.isNotNull()).alias("documents"))
     unique = F.size(F.array_distinct("documents")) == F.size("documents")
     checked = _strict(rows, valid_identifier(F.col("qid")) & F.col("documents").isNotNull() & unique, "invalid ranking entry")
