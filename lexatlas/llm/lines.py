@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexatlas.llm.common import numbered, save, scratch, small_batches
+from lexatlas.llm.common import let_go, numbered, save, scratch, small_batches
 from lexatlas.operators.joins import fits_broadcast
 
 MIN_WORDS = 8
@@ -36,6 +36,8 @@ INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
 FILTER_BITS = 25
 #: Lines or variants that a task hands on at a time.
 OUT_ROWS = 20_000
+#: From the first character of a line that is not white space to its end: one match per line that is not blank.
+LINE = r"[^ \t\n\x0B\f\r][^\n]*"
 #: Where a line is: rows that share an id are told apart by their texts' hash. Ids sort before null ids.
 ROW = ["nameless", "doc_id", "twin"]
 PLACE = [*ROW, "line_no"]
@@ -75,6 +77,7 @@ def scan_lines(documents: DataFrame, min_words: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in LINES.split(", ")]
+        let_go()
 
         def made(rows: list) -> pa.RecordBatch:
             columns = zip(*rows, strict=True)
@@ -237,15 +240,13 @@ def near_places(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     return told.filter(verified("line", "other")).select("no").distinct().join(candidates, "no").select("h1", "h2")
 
 
-def _first_of_equals(documents: DataFrame, keep) -> DataFrame:
+def _first_of_equals(documents: DataFrame, crowded: DataFrame, keep) -> DataFrame:
     """Rows as (row, nameless, doc_id, twin, repeat); ``repeat`` marks all but one of those with equal id and text.
 
-    Only rows that are not alone under their id and text are written down and
-    numbered; equal ones are counted before they are exchanged.
+    Only rows that are not alone under their id and text (``crowded``) are
+    written down and numbered.
     """
     packed = documents.select(F.struct("*").alias("row"), *row_key())
-    crowded = packed.groupBy(*ROW).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    crowded = keep(crowded, "crowded")
     if crowded.isEmpty():
         return packed.withColumn("repeat", F.lit(False))
     if fits_broadcast(crowded):
@@ -277,12 +278,13 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         kept = distinct.select("h1", "h2", *PLACE).join(near, ["h1", "h2"], "left_anti")
         lists = kept.groupBy(*ROW).agg(F.sort_array(F.collect_list("line_no")).alias("kept"))
         # Only texts that lose a line need their list: those that have more lines than it.
-        lines = own.select(*row_key(), F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)).alias("lines"))
-        lines = lines.filter("lines > 0").groupBy(*ROW).agg(F.max("lines").alias("lines"))
+        count = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(LINE)).alias("lines")
+        rows = keep(own.select(*row_key(), count).groupBy(*ROW).agg(F.max("lines").alias("lines"), F.count(F.lit(1)).alias("n")), "rows")
+        lines = rows.filter("lines > 0")
         same = [F.col(f"l.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ROW]
         losing = lines.alias("l").join(lists.alias("k"), same, "left").filter("kept is null or size(kept) < lines")
         losing = keep(losing.select(*[F.col(f"l.{c}").alias(c) for c in ROW], F.coalesce("kept", F.expr("cast(array() as array<int>)")).alias("kept")), "losing")
-        rows = _first_of_equals(documents, keep)
+        rows = _first_of_equals(documents, rows.filter("n > 1").select(*ROW), keep)
     small = fits_broadcast(losing)
 
     @F.pandas_udf("string")
