@@ -96,6 +96,11 @@ def worker_state() -> dict:
     return vars(sys.modules.setdefault("_lexatlas_worker", types.ModuleType("_lexatlas_worker")))
 
 
+def let_go() -> None:
+    """Free what tasks of other operators keep in this worker, before work that needs memory of its own."""
+    worker_state().clear()
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

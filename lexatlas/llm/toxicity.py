@@ -21,7 +21,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexatlas.llm.common import save, small_batches
+from lexatlas.llm.common import let_go, save, small_batches
 
 #: Bits of the term hash, and labelled rows the model learns from at most.
 HASH_BITS, SAMPLE_ROWS = 24, 20_000
@@ -101,6 +101,7 @@ def choose_terms(rows: DataFrame) -> dict[int, int]:
     """All terms whose presence tells more about the label than chance, as (hash, place in the model)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         terms, held = Terms(), {0: Counter(), 1: Counter()}
 
         def told() -> pd.DataFrame:
@@ -148,6 +149,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
 
     @F.pandas_udf("array<int>")
     def places(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        let_go()
         finder = Terms(terms)
         for texts in batches:
             yield pd.Series([sorted(finder.of(text)) for text in texts])
@@ -168,6 +170,7 @@ def score(documents: DataFrame, model: Model, text_column: str = "text") -> Colu
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        let_go()
         machine = Model(*shared.value)
         finder = Terms(machine.terms)
         for texts in batches:
