@@ -33,7 +33,8 @@ def order_statistics(values: DataFrame, column: str, positions: Sequence[int], c
         proposed = values.agg(*sketches).first()
         for p in open_:
             low, high = proposed[f"s{p}"]
-            counts += [F.count(F.when(v < low, 1)).alias(f"b{p}"), F.count(F.when((v >= low) & (v <= high), 1)).alias(f"i{p}")]
+            ends = [F.count(F.when(v == end, 1)).alias(f"{name}{p}") for name, end in (("l", low), ("h", high))]
+            counts += [F.count(F.when(v < low, 1)).alias(f"b{p}"), F.count(F.when((v >= low) & (v <= high), 1)).alias(f"i{p}"), *ends]
         told = values.agg(*counts).first()
         for p, (old_low, old_high, old_below, old_inside, slack) in list(open_.items()):
             (low, high), below, inside = proposed[f"s{p}"], told[f"b{p}"], told[f"i{p}"]
@@ -41,14 +42,20 @@ def order_statistics(values: DataFrame, column: str, positions: Sequence[int], c
                 if slack > 4 * ACCURACY:
                     raise RuntimeError(f"no range found for position {p}")
                 open_[p] = (old_low, old_high, old_below, old_inside, 4 * slack)
-            elif low == high:
+            elif p < below + told[f"l{p}"]:  # among the values equal to an end, of which there may be any number
                 found[p] = low
                 del open_[p]
-            elif inside <= FEW:
-                ended[p] = (low, high, below)
+            elif p >= below + inside - told[f"h{p}"]:
+                found[p] = high
                 del open_[p]
             else:
-                open_[p] = (low, high, below, inside, slack if inside < old_inside else 4 * slack)
+                low, high, below = math.nextafter(low, math.inf), math.nextafter(high, -math.inf), below + told[f"l{p}"]
+                inside -= told[f"l{p}"] + told[f"h{p}"]
+                if inside <= FEW:
+                    ended[p] = (low, high, below)
+                    del open_[p]
+                else:
+                    open_[p] = (low, high, below, inside, slack)
         if ended:
             wanted = F.lit(False)
             for low, high, _ in ended.values():
