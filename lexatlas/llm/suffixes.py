@@ -23,7 +23,7 @@ one item per run, not a crowded group.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -46,6 +46,8 @@ FILTER_BITS = 64
 RANGE_ITEMS, SAMPLE_ITEMS = 50_000, 4096
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+#: What makes items of a source's rows.
+Cut = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 PLACES = ["key", "start", "windows", "anchor", "class"]
 ITEMS = "key binary, start int, windows int, anchor int, class long, bytes binary"
 
@@ -139,8 +141,8 @@ def _classes(bodies: DataFrame, length: int) -> DataFrame:
     return bodies.select("body").mapInArrow(scan, "class long")
 
 
-def _cut(bodies: DataFrame, length: int, again: np.ndarray) -> DataFrame:
-    """One suffix per anchor that occurs again: all its windows."""
+def _cut(bodies: DataFrame, length: int, again: np.ndarray) -> tuple[DataFrame, Cut]:
+    """One suffix per anchor that occurs again: all its windows; as rows and what makes items of them."""
     shared = bodies.sparkSession.sparkContext.broadcast(again)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,19 +163,19 @@ def _cut(bodies: DataFrame, length: int, again: np.ndarray) -> DataFrame:
                 arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *arrays, pa.array(strings, pa.binary())], names)
 
-    return bodies.select("key", "body").mapInArrow(cut, ITEMS)
+    return bodies.select("key", "body"), cut
 
 
 RUNS = f"{ITEMS}, run long, number long, again boolean, head boolean, range int, block binary"
 
 
-def _runs(items: DataFrame, borders: list[bytes]) -> DataFrame:
+def _runs(source: DataFrame, cut: Cut, borders: list[bytes]) -> DataFrame:
     """Sorted runs: a row per suffix with its number in the run, and rows (range, run, block) that hold the runs front-coded.
 
     Equal suffixes of a run share a number; only the first keeps its bytes and
-    is the ``head``.
+    is the ``head``. Items are cut and sorted by one Python worker.
     """
-    shared = items.sparkSession.sparkContext.broadcast(borders)  # at most SAMPLE_ITEMS strings
+    shared = source.sparkSession.sparkContext.broadcast(borders)  # at most SAMPLE_ITEMS strings
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -217,7 +219,7 @@ def _runs(items: DataFrame, borders: list[bytes]) -> DataFrame:
         if parts:
             yield from finish(parts)
 
-    return items.mapInArrow(build, RUNS)
+    return source.mapInArrow(lambda batches: build(cut(batches)), RUNS)
 
 
 def _merged(runs: DataFrame) -> DataFrame:
@@ -237,8 +239,8 @@ def _merged(runs: DataFrame) -> DataFrame:
     return blocks.groupBy("range").applyInArrow(merge, "run long, number long, first boolean")
 
 
-def sort_suffixes(items: DataFrame, count: int, sample: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All items with ``repeated`` (equal bytes are elsewhere) and ``copy`` (it stands for its equals), and the heads' bytes.
+def sort_suffixes(source: DataFrame, cut: Cut, count: int, sample: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All items that ``cut`` makes of the source's rows, with ``repeated`` (equal bytes are elsewhere) and ``copy`` (it stands for its equals), and the heads' bytes.
 
     ``sample`` holds some of the about ``count`` items, to choose the borders of the ranges from.
     """
@@ -246,7 +248,7 @@ def sort_suffixes(items: DataFrame, count: int, sample: DataFrame) -> tuple[Data
     if count > RANGE_ITEMS:
         found = sample.select("bytes").distinct().limit(2 * SAMPLE_ITEMS).toLocalIterator()
         borders = borders_of((bytes(r["bytes"]) for r in found), min(SAMPLE_ITEMS, -(-count // RANGE_ITEMS)))
-    runs = save(_runs(items, borders), "runs")
+    runs = save(_runs(source, cut, borders), "runs")
     rows = runs.filter("block is null").drop("range", "block", "bytes")
     met = rows.join(_merged(runs), ["run", "number"], "left")
     stands = F.col("head") & F.coalesce("first", F.lit(True))
@@ -281,7 +283,7 @@ def _digests(row: dict, block: int, length: int) -> np.ndarray:
     return np.array(found, np.uint64)
 
 
-def _finer(level: DataFrame, heads: DataFrame, block: int, length: int) -> tuple[DataFrame, int, DataFrame]:
+def _finer(level: DataFrame, heads: DataFrame, block: int, length: int) -> tuple[DataFrame, Cut, int, DataFrame]:
     """The windows that are still open, in blocks of ``block``, as items: those whose common bytes are elsewhere, too."""
     classes = level.filter("not repeated").select("class").distinct()
     ids = level.filter("copy").join(classes, "class", "left_semi").drop("repeated", "copy")
@@ -321,7 +323,7 @@ def _finer(level: DataFrame, heads: DataFrame, block: int, length: int) -> tuple
     def some(frame: DataFrame) -> DataFrame:
         return frame.filter(F.pmod(F.xxhash64("key", "start"), F.lit(max(1, count // SAMPLE_ITEMS))) == 0)
 
-    return held.mapInArrow(cut, ITEMS), count, some(held).mapInArrow(cut, ITEMS)
+    return held, cut, count, some(held).mapInArrow(cut, ITEMS)
 
 
 def _outcomes(bodies: DataFrame, length: int, kept_bytes: bool) -> DataFrame:
@@ -347,7 +349,8 @@ def _outcomes(bodies: DataFrame, length: int, kept_bytes: bool) -> DataFrame:
     with scratch(bodies.sparkSession) as keep:
         again, count = _again(_classes(bodies, length), "class")
         some = bodies.filter(F.pmod(F.xxhash64("body", F.lit(1)), F.lit(max(1, count // SAMPLE_ITEMS))) == 0)
-        level, heads = sort_suffixes(_cut(bodies, length, again), count, _cut(some, length, again))
+        few, cut_few = _cut(some, length, again)
+        level, heads = sort_suffixes(*_cut(bodies, length, again), count, few.mapInArrow(cut_few, ITEMS))
         spans = [level.filter("repeated").select("key", "start", "windows")]
         for block in [b for b in STEPS if b <= length]:
             level, heads = sort_suffixes(*_finer(level, heads, block, length))
