@@ -57,10 +57,12 @@ def hash_tree(rows: DataFrame, key: str, record: Column, leaf_rows: int = LEAF_R
     """Tree over all rows (A-21); the same for any order and partitions of the rows.
 
     ``record`` is what counts of a row, as text. An empty table has no nodes.
+    The leaves, one row for about ``leaf_rows`` entries, are kept: every level
+    above is made from them and not from the table again.
     """
     entries = entries_of(rows, key, record)
     depth = depth_for(entries.count(), leaf_rows) if depth is None else depth
-    level = _leaves(entries, depth)
+    level = _leaves(entries, depth).persist()
     nodes = level
     for digits in range(depth - 1, -1, -1):
         level = _parents(level, digits)
@@ -77,20 +79,26 @@ def changed_entries(before: HashTree, after: HashTree) -> DataFrame:
     """(change, key, record_sha256, copies) of entries that only one table has, or in other number.
 
     From the root down, only children of differing nodes are looked at; so
-    equal parts of the tables are settled by their digests.
+    equal parts of the tables are settled by their digests. The nodes of both
+    trees are kept, and a level reads the one above once, so that the plan
+    grows with the depth only.
     """
     if before.depth != after.depth:
         raise ValueError("trees of one depth are needed; pass depth to hash_tree")
+    absent = F.lit(None).cast("string")
+    nodes = before.nodes.select("prefix", F.col("sha256").alias("old"), absent.alias("new"))
+    nodes = nodes.unionByName(after.nodes.select("prefix", absent.alias("old"), F.col("sha256").alias("new"))).persist()
     differing: DataFrame | None = None
     for digits in range(before.depth + 1):
-        old, new = (t.nodes.where(F.length("prefix") == digits).select("prefix", F.col("sha256").alias(n)) for t, n in ((before, "old"), (after, "new")))
+        level = nodes.where(F.length("prefix") == digits)
         if differing is not None:
-            parent = F.substring("prefix", 1, digits - 1).alias("parent")
-            old, new = (side.withColumn("parent", parent).join(differing.withColumnRenamed("prefix", "parent"), "parent", "left_semi").drop("parent") for side in (old, new))
-        differing = old.join(new, "prefix", "full_outer").where(~F.col("old").eqNullSafe(F.col("new"))).select("prefix")
-    leaf = F.substring("place", 1, before.depth)
-    sides = [t.entries.withColumn("prefix", leaf).join(differing, "prefix", "left_semi").select("key", "record_sha256", "copies", F.lit(s).alias("side")) for t, s in ((before, -1), (after, 1))]
-    both = sides[0].unionByName(sides[1]).groupBy("key", "record_sha256").agg(F.sum(F.col("side") * F.col("copies")).alias("net"))
+            parent = differing.withColumnRenamed("prefix", "parent")
+            level = level.withColumn("parent", F.substring("prefix", 1, digits - 1)).join(parent, "parent", "left_semi")
+        told = level.groupBy("prefix").agg(F.max("old").alias("old"), F.max("new").alias("new"))
+        differing = told.where(~F.col("old").eqNullSafe(F.col("new"))).select("prefix")
+    sides = [t.entries.withColumn("side", F.lit(s)) for t, s in ((before, -1), (after, 1))]
+    below = sides[0].unionByName(sides[1]).withColumn("prefix", F.substring("place", 1, before.depth)).join(differing, "prefix", "left_semi")
+    both = below.groupBy("key", "record_sha256").agg(F.sum(F.col("side") * F.col("copies")).alias("net"))
     return both.where("net <> 0").select(F.when(F.col("net") > 0, "added").otherwise("removed").alias("change"), "key", "record_sha256", F.abs("net").alias("copies"))
 
 

@@ -140,6 +140,15 @@ def test_hash_tree_finds_changed_rows(spark):
     assert hashtree.hash_tree(spark.createDataFrame([], "id long, t string"), "id", F.col("t")).nodes.count() == 0
 
 
+def test_hash_tree_plans_grow_with_the_depth_only(spark):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(300)], "id long, t string")
+    make = lambda depth, frame: hashtree.hash_tree(frame, "id", F.col("t"), depth=depth)
+    compare = lambda depth: hashtree.changed_entries(make(depth, rows), make(depth, rows.where("id <> 77")))
+    lines = [compare(depth)._jdf.queryExecution().analyzed().toString().count("\n") for depth in (2, 4)]
+    assert lines[1] < 4 * lines[0]
+    assert [(r.change, r.key) for r in compare(3).collect()] == [("removed", "77")]
+
+
 def test_fingerprint_follows_files_and_settings(spark, tmp_path):
     (tmp_path / "m" / "sub").mkdir(parents=True)
     (tmp_path / "m" / "a.bin").write_bytes(b"abc")
