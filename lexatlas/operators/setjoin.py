@@ -2,20 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Slack of the bounds computed in doubles; a pair that passes by it is verified anyway.
 SLACK = 1e-9
 SALTS = 16
+#: Ranges of token hashes whose sizes order the tokens.
+BUCKETS = 1 << 18
 
 
-def _ordered(sets: DataFrame, frequency: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The sets with tokens from the rarest on: keys, n, and ``w`` (frequency, token) of the prefix and its place."""
-    told = sets.select(*keys, F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(frequency, "token")
-    return told.groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("ordered"))
+def _weights(hashes: DataFrame) -> np.ndarray:
+    """How many tokens fall into each of ``BUCKETS`` ranges of their hash; the driver sees this one bounded list."""
+    counted = hashes.select(F.explode("h").alias("h")).groupBy(F.pmod("h", F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("f"))
+    rows = counted.toPandas()
+    weights = np.zeros(BUCKETS, np.int64)
+    weights[rows["b"].to_numpy(np.int64)] = rows["f"].to_numpy(np.int64)
+    return weights
+
+
+def _prefix(weights: Broadcast, threshold: float) -> Callable[[Column], Column]:
+    """The first n - ceil(threshold n) + 1 hashes of a set, from the least weight on, ties by hash."""
+
+    @F.pandas_udf("array<long>")
+    def first(sets: pd.Series) -> pd.Series:
+        def one(hashes: np.ndarray) -> np.ndarray:
+            kept = len(hashes) - math.ceil(threshold * len(hashes) - SLACK) + 1
+            return hashes[np.lexsort((hashes, weights.value[hashes % BUCKETS]))[:kept]]
+
+        return pd.Series([one(np.asarray(h, np.int64)) for h in sets], dtype=object)
+
+    return first
 
 
 def similar_sets(
@@ -25,31 +48,38 @@ def similar_sets(
 
     Both sides hold the columns of ``scope`` (pairs agree in them), an id that
     is unique within it and ``tokens`` (array of different strings). Tokens
-    are ordered by how often the sets hold them. Two similar sets share a
+    are ordered by how often the sets hold tokens of their hash's bucket, which
+    takes no exchange of the sets. Two similar sets share a
     token among the first n - ceil(threshold n) + 1 of each, so only these
-    few, rare tokens are joined; a pair met there goes on if sizes and the
+    few, rare tokens are joined, by hash; a pair met there goes on if sizes and the
     tokens left behind the place of meeting still allow the threshold, and is
     then verified on the whole sets. Empty sets are similar to none.
     """
     one = left.select(*scope, F.col(left_id).alias("_id"), "tokens").where(F.size("tokens") > 0)
     two = right.select(*scope, F.col(right_id).alias("_id"), "tokens").where(F.size("tokens") > 0)
-    frequency = one.select(F.explode("tokens").alias("token")).unionByName(two.select(F.explode("tokens").alias("token")))
-    frequency = frequency.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
+    # Kept as eight bytes a token, so that the tokens are made once for the buckets and the prefixes.
+    hashed = [sets.select(*scope, "_id", F.transform("tokens", lambda t: F.xxhash64(t)).alias("h")).persist() for sets in (one, two)]
+    weights = _weights(hashed[0].select("h").unionByName(hashed[1].select("h")))
+    first = _prefix(one.sparkSession.sparkContext.broadcast(weights), threshold)
 
     def prefix(sets: DataFrame, name: str) -> DataFrame:
-        kept = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - SLACK) + 1
-        ordered = _ordered(sets, frequency, [*scope, "_id"])
-        placed = ordered.select(*scope, F.col("_id").alias(name), F.col("n").alias(f"{name}_n"), F.posexplode(F.slice("ordered", F.lit(1), kept.cast("int"))).alias("at", "w"))
-        return placed.select(*scope, name, f"{name}_n", F.col("at").alias(f"{name}_at"), F.col("w.token").alias("token"))
+        told = sets.select(*scope, F.col("_id").alias(name), F.size("h").alias(f"{name}_n"), first(F.col("h")).alias("h"))
+        return told.select(*scope, name, f"{name}_n", F.posexplode("h").alias(f"{name}_at", "token"))
 
-    a, b = prefix(one, left_id), prefix(two, right_id)
+    a, b = prefix(hashed[0], left_id), prefix(hashed[1], right_id)
     na, nb = F.col(f"{left_id}_n"), F.col(f"{right_id}_n")
     sizes = (na >= nb * threshold - SLACK) & (nb >= na * threshold - SLACK)
     ahead = F.least(na - F.col(f"{left_id}_at"), nb - F.col(f"{right_id}_at"))  # tokens from the place of meeting on
     # The first common token of a pair is met with all of the overlap still ahead of both places.
     needed = F.ceil((na + nb) * (threshold / (1 + threshold)) - SLACK)
-    met = a.join(b, [*scope, "token"]).where(sizes & (ahead >= needed)).select(*scope, left_id, right_id).distinct()
-    told = met.join(one.withColumnsRenamed({"_id": left_id, "tokens": "_a"}), [*scope, left_id]).join(two.withColumnsRenamed({"_id": right_id, "tokens": "_b"}), [*scope, right_id])
+    met = a.join(b, [*scope, "token"]).where(sizes & (ahead >= needed)).select(*scope, left_id, right_id).distinct().persist()
+
+    def wanted(sets: DataFrame, name: str, tokens: str) -> DataFrame:
+        """The sets that were met; only these are exchanged."""
+        named = sets.withColumnsRenamed({"_id": name, "tokens": tokens})
+        return named.join(met.select(*scope, name).distinct(), [*scope, name], "left_semi")
+
+    told = met.join(wanted(one, left_id, "_a"), [*scope, left_id]).join(wanted(two, right_id, "_b"), [*scope, right_id])
     common: Column = F.size(F.array_intersect("_a", "_b"))
     found = told.select(*scope, left_id, right_id, common.alias("common"), (common / (F.size("_a") + F.size("_b") - common)).alias("similarity"))
     return found.where(F.col("similarity") >= threshold)

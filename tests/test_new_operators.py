@@ -59,6 +59,20 @@ def test_similar_sets_equal_all_pairs(spark, threshold):
     assert {(r.scope, r.a, r.b): r.common for r in got} == want and len(got) == len(want) > 10
 
 
+@pytest.mark.parametrize("buckets", [1, 3, 1 << 10])
+def test_similar_sets_order_tokens_without_exchanging_them(spark, monkeypatch, buckets):
+    monkeypatch.setattr(setjoin, "BUCKETS", buckets)
+    picks = random.Random(5)
+    rows = [("x", i, picks.sample([f"w{j}" for j in range(14)], picks.randint(1, 9))) for i in range(50)]
+    left = spark.createDataFrame(rows, "scope string, a long, tokens array<string>")
+    right = left.where("a % 3 = 0").withColumnRenamed("a", "b")
+    found = setjoin.similar_sets(left, right, 0.6, ["scope"], "a", "b")
+    assert "collect_list" not in found._jdf.queryExecution().analyzed().toString()
+    got = found.collect()
+    want = plain_pairs(rows, [r for r in rows if r[1] % 3 == 0], 0.6)
+    assert {(r.scope, r.a, r.b): r.common for r in got} == want and len(got) == len(want) > 17
+
+
 def test_both_ways_to_near_duplicates_agree(spark):
     picks = random.Random(8)
     words = [f"w{i}" for i in range(30)]
