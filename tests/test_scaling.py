@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lexatlas.operators import chunking, cleaning, joins
+from lexatlas.operators import audit, chunking, cleaning, joins
 
 
 def written(spark, path, rows: int):
@@ -29,3 +29,15 @@ def test_a_source_of_unknown_size_is_placed_as_spark_chooses(spark):
     unknown = spark.createDataFrame(rows.rdd, rows.schema)
     assert joins.pieces(unknown) is None or joins.pieces(unknown) >= 1
     assert joins.place(unknown, "doc_id", joins.pieces(unknown)).count() == 3
+
+
+def test_coverage_exchanges_texts_and_never_their_tokens(spark):
+    source = spark.createDataFrame([(1, "a b a\nc d"), (2, "x y"), (3, None), (None, "n n")], "doc_id long, cleaned_text string")
+    kept = [("chunk", 1, "a b"), ("chunk", 1, "a c d"), ("parent", 1, "a b a\nc d"), ("chunk", 2, "x"), ("parent", 2, "x y"), ("parent", None, "n"), ("chunk", None, "n n"), ("other", 2, "y")]
+    records = spark.createDataFrame(kept, "record string, doc_id long, text string")
+    totals = audit.coverage_totals(source, records)
+    assert totals.collect() == [(2, 3)]  # y of 2 and one n; "b a" of 1, "x y" of 2 and "n n"
+    for frame in (totals, audit.coverage_mismatch(source, records), audit.coverage_mismatch(source, records, bigrams=True)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(doc_id" in plan and ", item" not in "".join(part.split(")")[0] for part in plan.split("hashpartitioning(")[1:])
+    assert {(r.doc_id, r.item, r.missing) for r in audit.coverage_mismatch(source, records).collect()} == {(2, "y", 1), (None, "n", 1)}
