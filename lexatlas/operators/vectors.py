@@ -25,6 +25,8 @@ from lexatlas.operators.joins import spread
 QUERY_BYTES = 32 << 20
 #: Rows of one fragment on either side of a grid cell.
 FRAGMENT_ROWS = 16_384
+#: Fragments of a side that smaller fragments may add up to; every row is copied once per fragment of the other side.
+GRID_SIDE = 8
 
 
 def norm(vector: Column) -> Column:
@@ -178,6 +180,10 @@ def nearest(
     ``questions(qid, v)`` and ``vectors(vec_id, v)`` hold integer ids and float
     arrays of one dimension.  Filters belong on ``vectors`` before the call, so
     they reach the scan.  Ties are resolved by the smaller ``vec_id``.
+
+    ``fragment`` is the size of a cell's sides on small tables. Cells grow with
+    the tables up to ``FRAGMENT_ROWS``, as each row travels to every cell of
+    its row or column; all pairs are compared at any size.
     """
     asked = questions.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
     count, dimension = asked["n"], asked["d"] or 0
@@ -192,13 +198,14 @@ def nearest(
             k,
         )
     else:
+        rows = vectors.count()
         partial = _grid_search(
             vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "v"),
             questions.select(F.col("qid").cast("long").alias("qid"), "v"),
             k,
-            vectors.count(),
+            rows,
             count,
-            fragment,
+            max(fragment, min(FRAGMENT_ROWS, math.ceil(max(rows, count) / GRID_SIDE))),
         )
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("vec_id"))
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

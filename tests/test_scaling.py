@@ -1,8 +1,9 @@
 """Work and memory of a task that must not grow with the tables."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from lexatlas.operators import audit, chunking, cleaning, joins
+from lexatlas.operators import audit, chunking, cleaning, joins, vectors
 
 
 def written(spark, path, rows: int):
@@ -41,3 +42,22 @@ def test_coverage_exchanges_texts_and_never_their_tokens(spark):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(doc_id" in plan and ", item" not in "".join(part.split(")")[0] for part in plan.split("hashpartitioning(")[1:])
     assert {(r.doc_id, r.item, r.missing) for r in audit.coverage_mismatch(source, records).collect()} == {(2, "y", 1), (None, "n", 1)}
+
+
+def test_grid_cells_grow_with_the_tables_and_lose_no_pair(spark, monkeypatch):
+    rows = [(i, [float(x) for x in np.random.default_rng(i).normal(size=4)]) for i in range(90)]
+    stored = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    asked = stored.withColumnRenamed("vec_id", "qid")
+    fragments, search = [], vectors._grid_search
+    monkeypatch.setattr(vectors, "_grid_search", lambda v, q, k, n, m, fragment: fragments.append(fragment) or search(v, q, k, n, m, fragment))
+    monkeypatch.setattr(vectors, "GRID_SIDE", 3)
+    found = vectors.nearest(asked, stored, 4, query_bytes=0, fragment=5).collect()
+    assert fragments == [30]  # not 18 fragments a side, each row copied 18 times
+    matrix = np.array([v for _, v in rows])
+    for i, scores in enumerate(np.round(matrix @ matrix.T, 6)):
+        best = sorted((-s, j) for j, s in enumerate(scores))[:4]
+        assert [j for _, j in best] == [r.vec_id for r in sorted((r for r in found if r.qid == i), key=lambda r: r["rank"])]
+    monkeypatch.setattr(vectors, "FRAGMENT_ROWS", 12)
+    vectors.nearest(asked, stored, 4, query_bytes=0, fragment=5)
+    vectors.nearest(asked, stored, 4, query_bytes=0, fragment=50)
+    assert fragments[1:] == [12, 50]
