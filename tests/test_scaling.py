@@ -1,9 +1,12 @@
 """Work and memory of a task that must not grow with the tables."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lexatlas.operators import audit, chunking, cleaning, joins, vectors
+from lexatlas.operators import answers, audit, chunking, cleaning, joins, vectors
 
 
 def written(spark, path, rows: int):
@@ -61,3 +64,20 @@ def test_grid_cells_grow_with_the_tables_and_lose_no_pair(spark, monkeypatch):
     vectors.nearest(asked, stored, 4, query_bytes=0, fragment=5)
     vectors.nearest(asked, stored, 4, query_bytes=0, fragment=50)
     assert fragments[1:] == [12, 50]
+
+
+def test_sentences_of_a_batch_are_python_objects_one_question_at_a_time(monkeypatch):
+    made = []
+    monkeypatch.setattr(answers.F, "arrow_udf", lambda kind: lambda function: lambda column: made.append(function))
+    answers.select_sentences(None, (4, 8))
+    question = [{"idx": i, "unit": f"unit {i} of it", "tokens": ["unit", str(i), "of", "it"], "score": i / 7} for i in range(40)]
+    kind = pa.list_(pa.struct({"idx": pa.int32(), "unit": pa.string(), "tokens": pa.list_(pa.string()), "score": pa.float64()}))
+    batch = pa.array([question, []] * 200, kind)
+    peaks = []
+    for work in (batch.to_pylist, lambda: made[0](batch)):
+        tracemalloc.start()
+        result = work()
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert result.to_pylist() == [[answers.pick_sentences(q, n) for n in (4, 8)] for q in (question, [])] * 200
+    assert 10 * peaks[1] < peaks[0]  # no batch as objects
