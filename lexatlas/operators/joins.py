@@ -81,7 +81,7 @@ PIECE_BYTES = 4 << 20
 MOST_PIECES = 1 << 20
 
 
-def pieces(frame: DataFrame) -> int | None:
+def pieces(frame: DataFrame, piece_bytes: int | None = None) -> int | None:
     """Pieces that rows derived from ``frame`` are placed in: as many more as its sources are larger.
 
     Partitions that Spark chooses itself grow with the input up to its advisory
@@ -90,7 +90,7 @@ def pieces(frame: DataFrame) -> int | None:
     """
     leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    count = max(frame.sparkSession.sparkContext.defaultParallelism, math.ceil(size / PIECE_BYTES))
+    count = max(frame.sparkSession.sparkContext.defaultParallelism, math.ceil(size / (piece_bytes or PIECE_BYTES)))
     return count if count <= MOST_PIECES else None
 
 

@@ -31,7 +31,7 @@ class MiningLimits:
 
 def long_tokens(text: Column) -> Column:
     """Distinct folded word tokens of more than one character."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(casefold(text), F.lit(tx.WORD), F.lit(0)), lambda t: F.length(t) > 1))
+    return F.array_distinct(F.filter(tx.words(casefold(text)), lambda t: F.length(t) > 1))
 
 
 def near_duplicates(candidates: DataFrame, positives: DataFrame, threshold: float = 0.90) -> DataFrame:

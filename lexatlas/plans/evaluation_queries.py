@@ -202,8 +202,9 @@ SELECT sample_count, a.recall AS before_recall, b.recall AS after_recall, round(
  a.multi_gold_recall AS before_multi_gold_recall, b.multi_gold_recall AS after_multi_gold_recall, round(b.multi_gold_recall - a.multi_gold_recall, 9) AS delta_multi_gold_recall FROM a, b""")
 def report_comparison(spark, folder):
     gold = inputs.gold(spark, folder)
-    before = metrics.summary(metrics.per_query(gold, inputs.bm25_ranking(spark, folder).where("rank <= 5")))
-    return metrics.compare_summaries(before, metrics.summary(metrics.per_query(gold, final_ranking(spark, folder))))
+    found = inputs.bm25_ranking(spark, folder)
+    before = metrics.summary(metrics.per_query(gold, found.where("rank <= 5")))
+    return metrics.compare_summaries(before, metrics.summary(metrics.per_query(gold, final_ranking(spark, folder, base=found))))
 
 
 # --------------------------------------------------------------------- folds

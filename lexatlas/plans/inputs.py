@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexatlas.functions import text as tx
+from lexatlas.functions.ngrams import known_ngrams
 from lexatlas.operators import bm25, mining, models, ranking, vectors
 from lexatlas.operators.joins import fits_broadcast, narrow, salted_join, spread
 
@@ -49,10 +51,14 @@ def gold(spark: SparkSession, folder: str) -> DataFrame:
     size = F.least(F.lit(3), F.size(tokens))
     keys = asked.select("qid", "question", anchor.alias("term"), size.alias("n"))
     texts = documents(spark, folder).select("doc_id", "text")
-    terms = F.explode_outer(F.array_distinct(tx.ngrams_1_to_3(tx.word_tokens(F.col("text")))))
     if fits_broadcast(keys):
-        pairs = texts.select("doc_id", "text", terms.alias("term")).join(F.broadcast(keys), "term")
-        return pairs.where(F.contains("text", F.col("question"))).select("qid", "doc_id").distinct()
+        listed = keys.select("term").where("term <> ''").distinct().toArrow().combine_chunks()
+        numbers = spark.createDataFrame(listed.append_column("number", pa.array(range(len(listed)), pa.int32())))
+        anchors = spark.sparkContext.broadcast(pa.array(listed["term"].to_pylist(), pa.string()))
+        hits = texts.select("doc_id", "text", F.explode(known_ngrams(tx.word_tokens(F.col("text")), anchors)).alias("h"))
+        pairs = hits.select("doc_id", "text", F.col("h.term").alias("number")).join(F.broadcast(keys.join(numbers, "term")), "number")
+        return pairs.where(F.contains("text", F.col("question"))).select("qid", "doc_id").distinct().persist()
+    terms = F.explode_outer(F.array_distinct(tx.ngrams_1_to_3(tx.word_tokens(F.col("text")))))
     pairs = salted_join(texts.select("doc_id", terms.alias("term")), keys.select("qid", "term"), ["term"], F.col("doc_id"))
     found = pairs.select("qid", "doc_id").join(texts, "doc_id").join(asked, "qid")
     return found.where(F.contains("text", F.col("question"))).select("qid", "doc_id").distinct()
@@ -62,20 +68,20 @@ def bm25_ranking(spark: SparkSession, folder: str) -> DataFrame:
     """First-stage candidates, at most 100 per question.
 
     Several later steps read them, so they are kept instead of being ranked
-    once per reader.
+    once per reader, and handed on: each call makes a ranking of its own.
     """
     return bm25.rank_documents(questions(spark, folder), documents(spark, folder)).persist()
 
 
-def scored_pool(spark: SparkSession, folder: str) -> DataFrame:
+def scored_pool(spark: SparkSession, folder: str, found: DataFrame | None = None) -> DataFrame:
     """The candidates with both second-stage scores.
 
     A document is tokenised once, before it meets the questions it is a
     candidate for.  The few numbers are kept, as the rankings below and mining
-    all start from them.
+    all start from them. ``found`` is the :func:`bm25_ranking`, if there is one.
     """
     words = lambda column: F.array_distinct(tx.word_tokens(F.col(column)))
-    found = bm25_ranking(spark, folder)
+    found = bm25_ranking(spark, folder) if found is None else found
     texts = spread(narrow(table(spark, folder, "documents").select("doc_id", "text"), found, "doc_id")).select("doc_id", words("text").alias("dw"))
     asked = questions(spark, folder).select("qid", words("question").alias("qw"))
     pairs = found.join(texts, "doc_id").join(asked, "qid")
@@ -87,22 +93,25 @@ def scored_pool(spark: SparkSession, folder: str) -> DataFrame:
     ).persist()
 
 
-def reranked(spark: SparkSession, folder: str, depth: int = 50) -> DataFrame:
-    """BM25 candidates reordered by the default pair scorer."""
-    return ranking.rerank(scored_pool(spark, folder).drop("similarity"), depth)
+def reranked(spark: SparkSession, folder: str, depth: int = 50, pool: DataFrame | None = None) -> DataFrame:
+    """BM25 candidates, or a given :func:`scored_pool`, reordered by the default pair scorer."""
+    pool = scored_pool(spark, folder) if pool is None else pool
+    return ranking.rerank(pool.drop("similarity"), depth)
 
 
-def jaccard_ranking(spark: SparkSession, folder: str) -> DataFrame:
+def jaccard_ranking(spark: SparkSession, folder: str, pool: DataFrame | None = None) -> DataFrame:
     """A second candidate order over the same pool: word-set similarity."""
-    scored = scored_pool(spark, folder).select("qid", "doc_id", F.col("similarity").alias("score"))
+    pool = scored_pool(spark, folder) if pool is None else pool
+    scored = pool.select("qid", "doc_id", F.col("similarity").alias("score"))
     return ranking.with_rank(scored, ["qid"], [F.col("score").desc(), F.col("doc_id")])
 
 
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Candidates of two sources with texts, for mining; ``source`` plays the law."""
+    found = bm25_ranking(spark, folder)
     channels = [
         frame.select("qid", "doc_id", "rank", "score", F.lit(name).alias("source"), F.lit(i).alias("source_order"))
-        for i, (name, frame) in enumerate((("bm25", bm25_ranking(spark, folder)), ("dense", jaccard_ranking(spark, folder))))
+        for i, (name, frame) in enumerate((("bm25", found), ("dense", jaccard_ranking(spark, folder, scored_pool(spark, folder, found)))))
     ]
     both = channels[0].unionByName(channels[1])
     texts = spread(narrow(table(spark, folder, "documents").select("doc_id", "text", "source"), both, "doc_id")).select(

@@ -183,10 +183,11 @@ def rrf_three_source_weighted(spark, folder):
     return final_ranking(spark, folder).select("qid", "doc_id", "score", "rank")
 
 
-def final_ranking(spark, folder, weights=(0.5, 1.0, 0.3), limit=5):
+def final_ranking(spark, folder, weights=(0.5, 1.0, 0.3), limit=5, base=None):
     """Production fusion: similarity, reranker and BM25 documents."""
-    base = inputs.bm25_ranking(spark, folder)
-    sources = [inputs.jaccard_ranking(spark, folder), inputs.reranked(spark, folder), base]
+    base = inputs.bm25_ranking(spark, folder) if base is None else base
+    pool = inputs.scored_pool(spark, folder, base)
+    sources = [inputs.jaccard_ranking(spark, folder, pool), inputs.reranked(spark, folder, pool=pool), base]
     return ranking.weighted_rrf(sources, weights, limit=limit)
 
 
@@ -201,16 +202,17 @@ WITH {RERANKED}, f AS (SELECT qid, doc_id AS chunk_id, j.rank AS dense_rank, r.r
 SELECT qid, chunk_id, dense_rank, rerank_rank, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, dense_rank, rerank_rank, chunk_id) AS rank FROM f""")
 def chunk_rank_fusion(spark, folder):
     as_chunks = lambda frame: frame.withColumnRenamed("doc_id", "chunk_id")
-    return ranking.fuse_chunks(as_chunks(inputs.jaccard_ranking(spark, folder)), as_chunks(inputs.reranked(spark, folder)))
+    pool = inputs.scored_pool(spark, folder)
+    return ranking.fuse_chunks(as_chunks(inputs.jaccard_ranking(spark, folder, pool)), as_chunks(inputs.reranked(spark, folder, pool=pool)))
 
 
 @query("pool_mismatch", f"""
 WITH {RERANKED}, a AS (SELECT qid, doc_id AS chunk_id FROM bm25), b AS (SELECT qid, doc_id AS chunk_id FROM reranked WHERE rerank_score >= 0.5)
 SELECT qid, chunk_id, 'left' AS only_in FROM a ANTI JOIN b USING (qid, chunk_id)""")
 def pool_mismatch(spark, folder):
-    pool = inputs.bm25_ranking(spark, folder).withColumnRenamed("doc_id", "chunk_id")
-    kept = inputs.reranked(spark, folder).where("rerank_score >= 0.5").withColumnRenamed("doc_id", "chunk_id")
-    return ranking.pool_mismatch(pool, kept)
+    found = inputs.bm25_ranking(spark, folder)
+    kept = inputs.reranked(spark, folder, pool=inputs.scored_pool(spark, folder, found)).where("rerank_score >= 0.5")
+    return ranking.pool_mismatch(found.withColumnRenamed("doc_id", "chunk_id"), kept.withColumnRenamed("doc_id", "chunk_id"))
 
 
 @query("parent_rank_fusion", f"""

@@ -4,9 +4,12 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from lexatlas.operators import answers, audit, chunking, cleaning, joins, vectors
+from lexatlas.functions import ngrams
+from lexatlas.functions import text as tx
+from lexatlas.operators import answers, audit, bm25, chunking, cleaning, joins, vectors
 
 
 def written(spark, path, rows: int):
@@ -81,3 +84,37 @@ def test_sentences_of_a_batch_are_python_objects_one_question_at_a_time(monkeypa
         tracemalloc.stop()
     assert result.to_pylist() == [[answers.pick_sentences(q, n) for n in (4, 8)] for q in (question, [])] * 200
     assert 10 * peaks[1] < peaks[0]  # no batch as objects
+
+
+def test_known_ngrams_are_counted_in_parts_of_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "TOKENS", 3)
+    texts = ["the red cat red", None, "", "dog", "b a b c red a b c", "cat the red", "x"]
+    terms = ["red", "red cat", "cat", "the red cat", "dog", "a b c", "b c", "zebra"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1)
+    shipped = spark.sparkContext.broadcast(pa.array(terms))
+    for row in rows.select("text", ngrams.known_ngrams(tx.word_tokens(F.col("text")), shipped).alias("h")).collect():
+        padded = [" ".join(w[i : i + n]) for w in [(row.text or "").split()] for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+        assert {terms[h.term]: h.tf for h in row.h} == {t: padded.count(t) for t in terms if t in padded}
+    nothing = spark.sparkContext.broadcast(pa.array([], pa.string()))
+    assert all(r.h == [] for r in rows.select(ngrams.known_ngrams(tx.word_tokens(F.col("text")), nothing).alias("h")).collect())
+
+
+def test_bm25_weights_are_added_up_without_a_row_per_question_and_term(spark, monkeypatch):
+    words = ["red", "cat", "dog", "the", "sat", "on", "mat"]
+    draw = np.random.default_rng(5)
+    docs = [(None if i % 17 == 0 else i // 2, " ".join(draw.choice(words, draw.integers(0, 12)))) for i in range(120)]
+    documents = spark.createDataFrame(docs + docs[:5], "doc_id long, text string")
+    asked = [(1, "red cat"), (2, "the dog sat on the mat"), (2, "cat"), (None, "on"), (4, None), (5, "mat the")]
+    questions = spark.createDataFrame(asked, "qid long, question string")
+    monkeypatch.setattr(bm25, "fits_broadcast", lambda *a, **k: False)
+    wanted = {(r.qid, r.doc_id): r.score for r in bm25.scores(questions, documents).collect()}
+    best = {(r.qid, r["rank"]): r.score for r in bm25.top_documents(bm25.scores(questions, documents), 4).collect()}
+    monkeypatch.setattr(bm25, "fits_broadcast", lambda *a, **k: True)
+    for cells in (1, 7, 1 << 20):
+        monkeypatch.setattr(bm25, "CELLS", cells)
+        found = bm25.scores(questions, documents)
+        got = {(r.qid, r.doc_id): r.score for r in found.collect()}
+        assert got == pytest.approx(wanted, abs=2e-6) and found.count() == len(wanted)
+        assert {(r.qid, r["rank"]): r.score for r in bm25.rank_documents(questions, documents, 4).collect()} == pytest.approx(best, abs=2e-6)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate [qid" not in plan
