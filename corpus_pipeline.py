@@ -30,7 +30,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, linked at a five-word similarity of 0.8 or more."""
+    """One document of each group of near-duplicates: SimHash groups and MinHash bands, linked at a five-word similarity of 0.8 or more."""
     return similar.keep_one(docs)
 
 

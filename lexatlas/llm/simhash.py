@@ -72,7 +72,7 @@ def block_masks(bits: list[int], blocks: int, kept: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(parts, kept)]
 
 
-def _signed(mask: int) -> int:
+def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
@@ -146,13 +146,13 @@ def _grouped(keyed: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) that join exactly the fingerprints reachable from each other; ``distinct`` has one row per ``fp``."""
     masks = block_masks(list(range(BITS)), BLOCKS, BLOCKS - MAX_DISTANCE)
-    keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])).alias("k")).select("fp", "k.i", "k.key")
+    keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(masks)])).alias("k")).select("fp", "k.i", "k.key")
     groups, large = _grouped(keyed, ["i", "key"])
     # A large group is divided again by half of the bits it does not share; that bounds it for good.
     finer = []
     for i, mask in enumerate(masks):
         rest = [b for b in range(BITS) if not mask >> b & 1]
-        finer.append(F.array(*[F.lit(_signed(mask | m)) for m in block_masks(rest, BLOCKS, BLOCKS - MAX_DISTANCE)]))
+        finer.append(F.array(*[F.lit(signed(mask | m)) for m in block_masks(rest, BLOCKS, BLOCKS - MAX_DISTANCE)]))
     second = large.select("fp", "i", F.posexplode(F.array(*finer)[F.col("i")]).alias("j", "mask")).select("fp", "i", "j", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     sizes = second.groupBy("i", "j", "key").agg(F.collect_list("fp").alias("members")).filter(F.size("members") > 1)
     return _group_links(groups).unionByName(_group_links(sizes)).distinct()

@@ -1,11 +1,12 @@
-"""Near-duplicates by five-word similarity: SimHash pivot tables over MinHash groups, verified by the exact Jaccard index.
+"""Near-duplicates by five-word similarity: SimHash pivot tables over SimHash and MinHash groups, verified by the exact Jaccard index.
 
 Two texts are linked if their sets of word shingles have a Jaccard index of
 at least ``SIMILARITY``. At 0.8 two SimHash fingerprints differ by about ten
-of 64 bits and by up to ``RADIUS``, too many for groups by equal bits, so the
-groups that pivot tables compare come from MinHash bands: 24 bands of five
-minima bring a pair at 0.8 together with a probability of 0.9999 (more above
-it). Within a group a pair is discarded where its distances to a reference
+of 64 bits and by up to ``RADIUS``. The groups that pivot tables compare are those of ``simhash``, by
+three of six bit blocks, where all pairs of at most three differing bits meet;
+for pairs further apart, which no groups by equal bits can hold, 24 MinHash
+bands of five minima are added, which bring a pair at 0.8 together with a
+probability of 0.9999 (more above it). Within a group a pair is discarded where its distances to a reference
 fingerprint differ by more than the radius, then where the fingerprints do, or
 the sizes; every survivor is verified on its sets of shingles, which are made
 again from the texts of candidates only.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lexatlas.llm.common import let_go, save, scratch, small_batches
 from lexatlas.llm.components import components
-from lexatlas.llm.simhash import BITS, PIVOTS
+from lexatlas.llm.simhash import BITS, BLOCKS, MAX_DISTANCE, PIVOTS, block_masks, signed
 from lexatlas.operators.joins import fits_broadcast
 
 #: Words of a shingle, and the similarity of linked texts as a fraction.
@@ -163,7 +164,8 @@ def _apart(buckets: DataFrame) -> DataFrame:
 
 def set_links(prints: DataFrame, documents: DataFrame) -> DataFrame:
     """Links (a, b) that join exactly the similar sets of common buckets; ``prints`` has one row per ``fp`` with its text's hashes."""
-    keyed = prints.select("fp", "simhash", "size", F.posexplode("bands").alias("i", "key"))
+    blocks = [F.col("simhash").bitwiseAND(F.lit(signed(m))) for m in block_masks(list(range(BITS)), BLOCKS, BLOCKS - MAX_DISTANCE)]
+    keyed = prints.select("fp", "simhash", "size", F.posexplode(F.concat(F.array(*blocks), "bands")).alias("i", "key"))
     least = F.min(F.struct("fp", "simhash", "size")).alias("least")
     shared = keyed.groupBy("i", "key").agg(F.count(F.lit(1)).alias("_n"), least).filter("_n > 1").drop("_n")
     buckets = save(keyed.join(shared, ["i", "key"]), "buckets")

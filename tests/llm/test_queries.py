@@ -171,3 +171,17 @@ def test_stage_links_at_five_word_similarity(spark):
     got = stage(spark, frame, "")
     assert got.columns == frame.columns and Counter(r.doc_id for r in got.collect()) == want
     assert stage(spark, frame.limit(0), "").count() == 0
+
+
+def test_stage_compares_simhash_groups(spark):
+    """Similar texts whose fingerprints differ by a few bits meet through their bits alone, without a common band."""
+    from lexatlas.llm import similar
+
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(["new", *words[1:]]), " ".join(f"other{i}" for i in range(400))]
+    assert (similar.simhash(similar.shingles(texts[0])) ^ similar.simhash(similar.shingles(texts[1]))).bit_count() <= 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = docs.select("doc_id", *similar.text_hashes(), similar._prints(F.col("text")).alias("s")).select("doc_id", "t1", "t2", "s.*").persist()
+    apart = prints.drop("doc_id").withColumn("bands", F.array(F.col("fp")))
+    of = {r.fp: r.doc_id for r in prints.collect()}
+    assert [{of[r.a], of[r.b]} for r in similar.set_links(apart, docs).collect()] == [{0, 1}]
