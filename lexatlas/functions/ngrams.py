@@ -1,4 +1,4 @@
-"""Occurrences of known n-grams in token arrays, counted in Arrow batches."""
+"""N-grams of token arrays in Arrow batches: occurrences of known ones, and keys of all."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Tokens whose codes a task holds at a time.
@@ -82,3 +82,47 @@ def known_ngrams(tokens: Column, terms: Broadcast) -> Column:
             yield pa.concat_arrays(made) if made else pa.array([], kind)
 
     return counted(tokens)
+
+
+#: Starts of n-grams that a task counts at a time, so that three word codes fit 63 bits; and odd factors of an n-gram's words, by half of its key.
+STARTS, CODE_BITS = 1 << 20, 21
+FACTORS = np.random.default_rng(20240521).integers(0, 1 << 63, size=(2, 3), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _word_keys(words: pa.Array) -> np.ndarray:
+    """128-bit XXH3 of each word, as two columns."""
+    import xxhash
+
+    digests = b"".join(xxhash.xxh3_128_digest(word) for word in words.cast(pa.binary()).to_pylist())
+    return np.frombuffer(digests, np.uint64).reshape(-1, 2)
+
+
+def ngram_keys(rows: DataFrame, tokens: str, most: int = 3) -> DataFrame:
+    """All 1- to ``most``-grams (3 at most) of a token array column: ``n``, their key ``k1``, ``k2`` and occurrences ``c``.
+
+    A key may come in several rows, to be summed up. Keys have 128 bits, made
+    from the words' XXH3: among two billion different n-grams any two share one
+    with a probability of about 1e-20. A null array has none.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            flat = column.flatten()
+            row = np.repeat(np.arange(len(column)), pc.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False))
+            for low in range(0, len(flat), STARTS):
+                part = flat.slice(low, STARTS + most - 1).dictionary_encode()
+                codes, of = part.indices.to_numpy(zero_copy_only=False).astype(np.int64), row[low : low + STARTS + most - 1]
+                words = _word_keys(part.dictionary)
+                begin = np.zeros(min(STARTS, len(codes)), np.int64)
+                for n in range(1, most + 1):
+                    begin = begin[: len(codes) - n + 1]
+                    begin = begin << CODE_BITS | codes[n - 1 : n - 1 + len(begin)]
+                    found, counts = np.unique(begin[of[: len(begin)] == of[n - 1 : n - 1 + len(begin)]], return_counts=True)
+                    halves = np.zeros((2, len(found)), np.uint64)
+                    for at in range(n):
+                        word = words[found >> CODE_BITS * (n - 1 - at) & (1 << CODE_BITS) - 1]
+                        halves += word.T * FACTORS[:, at : at + 1]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), n, np.int32)), *(pa.array(h.view(np.int64)) for h in halves), pa.array(counts.astype(np.int64))], ["n", "k1", "k2", "c"])
+
+    return rows.select(tokens).mapInArrow(keys, "n int, k1 long, k2 long, c long")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexatlas.functions import ngrams
 from lexatlas.functions import text as tx
 from lexatlas.functions import unicode as uc
 from lexatlas.operators import answers, audit, chunking, dedupe, folds, hashtree
@@ -37,9 +38,8 @@ g AS (SELECT n, array_to_string(w[i:i+n-1], ' ') AS term
 SELECT n::BIGINT AS n, count(*)::BIGINT AS total, count(DISTINCT term)::BIGINT AS distinct_terms FROM g GROUP BY n""")
 def ngram_counts(spark, folder):
     words = inputs.documents(spark, folder).select(tx.word_tokens(F.col("text")).alias("w"))
-    terms = words.select(F.explode(tx.ngrams_1_to_3(F.col("w"))).alias("term"))
-    counted = terms.groupBy("term").agg(F.count(F.lit(1)).alias("c")).withColumn("n", F.size(F.split("term", " ")).cast("long"))
-    return counted.groupBy("n").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("distinct_terms"))
+    counted = ngrams.ngram_keys(words, "w").groupBy("n", "k1", "k2").agg(F.sum("c").alias("c"))
+    return counted.groupBy(F.col("n").cast("long").alias("n")).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("distinct_terms"))
 
 
 @query("folded_words", rf"""

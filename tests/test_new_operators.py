@@ -276,3 +276,19 @@ def test_rankings_of_every_shape(spark, tmp_path):
     assert {r.qid for r in records.select_candidates(rankings, asked, head=2).collect()} == {"q1", "q2"}
     with pytest.raises(ValueError, match="q3"):
         records.select_candidates(rankings, asked, placed, 1)
+
+
+def test_ngram_keys_equal_brute_force(spark, monkeypatch):
+    """Totals and different n-grams of repeated, short, empty and null rows, also where a batch is counted in parts."""
+    from lexatlas.functions import ngrams
+
+    picks = random.Random(5)
+    rows = [[picks.choice("abcdeé") for _ in range(size)] for size in (0, 1, 2, 3, 50, 200)] * 2 + [["a", "b"], ["b", "a"], ["ab"], None]
+    frame = spark.createDataFrame([(r,) for r in rows], "w array<string>").coalesce(1)
+    for starts in (7, 1 << 20):
+        monkeypatch.setattr(ngrams, "STARTS", starts)
+        counted = ngrams.ngram_keys(frame, "w").groupBy("n", "k1", "k2").agg(F.sum("c").alias("c"))
+        got = {r.n: (r.total, r.different) for r in counted.groupBy("n").agg(F.sum("c").alias("total"), F.count("*").alias("different")).collect()}
+        for n in (1, 2, 3):
+            grams = [tuple(r[i : i + n]) for r in rows if r for i in range(len(r) - n + 1)]
+            assert got[n] == (len(grams), len(set(grams)))
