@@ -81,3 +81,26 @@ def test_selector_chooses_for_every_question(spark, monkeypatch):
     asked = [r.qid for r in answer_queries.turn_pairs(spark, FOLDER).select("qid").collect()]
     assert sorted(got) == sorted(set(asked)) and len(got) > 0
     assert sorted(fits) == [(selector.TREES["inner"], 12)] * 6 + [(selector.TREES["outer"], 12)] * 3
+
+
+def test_bank_is_made_once_and_on_all_cores(spark):
+    texts = {"question": "từ nội dung?", "generated": "Câu trả lời ngắn gọn. Có thêm một câu.", "extractive": "a b c d. e f g h."}
+    rows = spark.range(0, 40, 1, 1).select(F.col("id").alias("qid"), *[F.lit(t).alias(c) for c, t in texts.items()])
+    assert answers.candidate_bank(rows).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(profile):
+        made.add(1)
+        return profile
+
+    entries = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "a"), (3, "a"), (3, None)], "qid long, profile string")
+    got = answers.bank_violations(entries.withColumn("profile", seen.asNondeterministic()("profile"))).collect()
+    assert sorted(map(tuple, got)) == [(2, 1, 2, 2)] and made.value == 6
+
+
+def test_trimmed_to_whole_sentences(spark):
+    text = "một hai ba bốn. năm sáu bảy. tám chín mười mười một."
+    units = answers.sentence_table(F.lit(text))
+    cut = [answers.trim_to_sentences(F.lit(text), units, n) for n in (2, 4, 6, 7, 20)]
+    assert list(spark.range(1).select(*cut).first()) == ["một hai", "một hai ba bốn.", "một hai ba bốn.", "một hai ba bốn.\nnăm sáu bảy.", text]
