@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from lexatlas.functions import patterns as P
 from lexatlas.functions import scoring
 from lexatlas.functions import text as tx
-from lexatlas.operators import answers, citations, evidence, folds, models, selector
+from lexatlas.operators import answers, chunking, citations, evidence, folds, models, selector
+from lexatlas.operators.joins import narrow
 from lexatlas.plans import corpus_queries, inputs
 from lexatlas.plans.registry import query
 from lexatlas.plans.retrieval_queries import HITS, RERANKED
@@ -157,9 +158,12 @@ def prompt_block(spark, folder):
 
 
 def chunk_hits(spark, folder):
-    """Statute chunks ranked for each question by the pair scorer, over BM25 documents."""
-    rows = corpus_queries.records(spark, folder).persist()
+    """Statute chunks ranked for each question by the pair scorer, over BM25 documents.
+
+    A document's records are its own, so only the documents in the ranking are chunked.
+    """
     top = inputs.reranked(spark, folder).where("rank <= 5").select("qid", "doc_id")
+    rows = chunking.chunk_records(narrow(inputs.statutes(spark, folder), top, "doc_id")).persist()
     pairs = rows.where("record = 'chunk'").join(top, "doc_id").join(inputs.questions(spark, folder), "qid")
     scored = models.score_pairs(pairs, "question", "text")
     ordered = scored.withColumn("rank", F.row_number().over(_by("qid", F.col("rerank_score").desc(), "chunk_id")))

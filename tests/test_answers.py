@@ -104,3 +104,15 @@ def test_trimmed_to_whole_sentences(spark):
     units = answers.sentence_table(F.lit(text))
     cut = [answers.trim_to_sentences(F.lit(text), units, n) for n in (2, 4, 6, 7, 20)]
     assert list(spark.range(1).select(*cut).first()) == ["một hai", "một hai ba bốn.", "một hai ba bốn.", "một hai ba bốn.\nnăm sáu bảy.", text]
+
+
+def test_only_ranked_documents_are_chunked(spark, tmp_path):
+    words = ["ánh sáng mặt trời", "nước biển xanh"]
+    docs = [(i, f"{words[i % 2]} dòng {i}\nđầu {i}\n{words[i % 2]} nội dung\ncuối") for i in range(40)]
+    spark.createDataFrame([(i, t, "vi", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, words[0])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    hits, parents = answer_queries.chunk_hits(spark, str(tmp_path))
+    ranked = {r.doc_id for r in hits.select("doc_id").collect()}
+    assert len(ranked) == 5 and {r.doc_id for r in parents.select("doc_id").collect()} == ranked
+    whole = answer_queries.corpus_queries.records(spark, str(tmp_path)).where("record = 'parent'")
+    assert sorted(map(str, parents.collect())) == sorted(str(r) for r in whole.collect() if r.doc_id in ranked)
