@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexatlas.functions import ngrams
 from lexatlas.functions import text as tx
-from lexatlas.operators import answers, audit, bm25, chunking, cleaning, joins, vectors
+from lexatlas.operators import answers, audit, bm25, chunking, cleaning, joins, setjoin, vectors
 
 
 def written(spark, path, rows: int):
@@ -118,3 +118,14 @@ def test_bm25_weights_are_added_up_without_a_row_per_question_and_term(spark, mo
         assert {(r.qid, r["rank"]): r.score for r in bm25.rank_documents(questions, documents, 4).collect()} == pytest.approx(best, abs=2e-6)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Aggregate [qid" not in plan
+
+
+def test_set_pairs_in_small_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = [[f"t{t}" for t in rng.choice(400, 40, replace=False)] for _ in range(30)]
+    sets = {i: sorted({*base[i % 30][: 40 - i % 4], f"own{i}"}) for i in range(150)}
+    frame = lambda name, ids: spark.createDataFrame([(i, sets[i]) for i in ids], f"{name} long, tokens array<string>")
+    monkeypatch.setattr(setjoin, "BLOCK_SETS", 2)
+    got = {(r.left_id, r.right_id): r.common for r in setjoin.similar_sets(frame("left_id", range(150)), frame("right_id", range(0, 150, 3)), 0.8).collect()}
+    common = {(a, b): len({*sets[a]} & {*sets[b]}) for a in range(150) for b in range(0, 150, 3)}
+    assert got == {(a, b): n for (a, b), n in common.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)} and len(got) > 150
