@@ -120,6 +120,18 @@ def test_bm25_weights_are_added_up_without_a_row_per_question_and_term(spark, mo
     assert "MapInArrow" in plan and "Aggregate [qid" not in plan
 
 
+def counted(spark, frame, column):
+    """The frame, and how many of its rows have been made so far."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(value):
+        made.add(1)
+        return value
+
+    return frame.withColumn(column, seen.asNondeterministic()(column)), made
+
+
 def test_set_pairs_in_small_blocks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = [[f"t{t}" for t in rng.choice(400, 40, replace=False)] for _ in range(30)]
@@ -129,3 +141,12 @@ def test_set_pairs_in_small_blocks(spark, monkeypatch):
     got = {(r.left_id, r.right_id): r.common for r in setjoin.similar_sets(frame("left_id", range(150)), frame("right_id", range(0, 150, 3)), 0.8).collect()}
     common = {(a, b): len({*sets[a]} & {*sets[b]}) for a in range(150) for b in range(0, 150, 3)}
     assert got == {(a, b): n for (a, b), n in common.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)} and len(got) > 150
+
+
+def test_anti_joins_make_the_records_once(spark):
+    rows = [("parent", "p", None, "P"), ("chunk", "p", "c1", "x"), ("chunk", "q", "c2", "y"), ("chunk", None, "c3", "z"), ("parent", "r", None, "R"), ("parent", None, None, "N"), ("note", "r", None, "")]
+    frame = spark.createDataFrame(rows, "record string, parent_id string, chunk_id string, text string")
+    for check, wanted in ((audit.orphan_chunks, {"y", "z"}), (audit.unreferenced_parents, {"R", "N"})):
+        records, made = counted(spark, frame, "text")
+        found = check(records)
+        assert found.columns == frame.columns and {r.text for r in found.collect()} == wanted and made.value <= len(rows)
