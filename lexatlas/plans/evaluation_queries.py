@@ -275,8 +275,11 @@ s AS (SELECT g.qid, count(*) FILTER (WHERE dr <= 3) / count(*) - count(*) FILTER
 
 
 def deltas(spark, folder):
-    """Recall of three documents against one, grouped by the vector id's remainder."""
-    ranked = ranking.first_occurrence(inputs.vector_hits(spark, folder))
+    """Recall of three documents against one, grouped by the vector id's remainder.
+
+    Both depths read one ranking, so the search is made once.
+    """
+    ranked = ranking.first_occurrence(inputs.vector_hits(spark, folder)).persist()
     gold = multi_gold(spark, folder)
     top = lambda k: metrics.per_query(gold, ranked.where(F.col("rank") <= k))
     grouped = own_gold(spark, folder).select("qid", (F.col("qid") % 171).cast("string").alias("group_key"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexatlas.functions import ngrams
 from lexatlas.functions import text as tx
-from lexatlas.operators import answers, audit, bm25, chunking, cleaning, joins, setjoin, vectors
+from lexatlas.operators import answers, audit, bm25, chunking, cleaning, folds, joins, setjoin, vectors
 
 
 def written(spark, path, rows: int):
@@ -150,3 +150,9 @@ def test_anti_joins_make_the_records_once(spark):
         records, made = counted(spark, frame, "text")
         found = check(records)
         assert found.columns == frame.columns and {r.text for r in found.collect()} == wanted and made.value <= len(rows)
+
+
+def test_bootstrap_makes_the_deltas_once(spark):
+    deltas, made = counted(spark, spark.createDataFrame([(str(i), 0.1 * i, 1) for i in range(10)], "group_key string, delta double, n long"), "group_key")
+    report = folds.bootstrap_report(deltas, draws=20).first()
+    assert report.group_count == 10 and made.value == 10
