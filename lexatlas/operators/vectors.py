@@ -23,8 +23,8 @@ from lexatlas.operators.joins import spread
 
 #: Largest question matrix (bytes) that is shipped to every executor.
 QUERY_BYTES = 32 << 20
-#: Rows of one fragment on either side of a grid cell.
-FRAGMENT_ROWS = 16_384
+#: Rows of a cell's question fragment, and how many times as many vectors meet them there.
+FRAGMENT_ROWS, VECTOR_SHARE = 16_384, 4
 #: Fragments of a side that smaller fragments may add up to; every row is copied once per fragment of the other side.
 GRID_SIDE = 8
 
@@ -110,10 +110,38 @@ def _leaders(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, n
     return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
 
 
+#: Parts of a block whose largest scores bound the k-th best of the whole, for each of the k; more than rounding can move a score.
+PARTS, ROUNDING = 8, 2e-6
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_leaders` of the rounded scores.
+
+    The k-th largest of the parts' maxima is no larger than the k-th best
+    score, so only scores from there on, few of them, are rounded and ordered.
+    """
+    parts = PARTS * k
+    width = scores.shape[1] // parts
+    if width >= 4:
+        inner = scores[:, : parts * width]
+        peaks = inner.reshape(len(scores), parts, width).max(axis=2)
+        bound = np.partition(peaks, parts - k, axis=1)[:, parts - k] - ROUNDING
+        near = scores >= bound[:, None]
+        counts = np.count_nonzero(near, axis=1)
+        if not np.isnan(peaks).any() and not np.isnan(scores[:, parts * width :]).any():
+            rows, columns = np.nonzero(near)
+            at = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+            kept = np.full((len(scores), counts.max()), -np.inf)
+            kept_ids = np.full(kept.shape, np.iinfo(np.int64).max)
+            kept[rows, at], kept_ids[rows, at] = np.round(scores[rows, columns], 6) + 0.0, ids[columns]
+            return _leaders(kept, kept_ids, k)
+    return _leaders(np.round(scores, 6) + 0.0, ids, k)
+
+
 def _blocks(questions: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Each question's k best of this block; scores are held for a bounded number of questions at a time."""
     step = max(1, SCORE_BYTES // (8 * len(ids)))
-    parts = [_leaders(np.round(questions[at : at + step] @ block.T, 6) + 0.0, ids, k) for at in range(0, len(questions), step)]
+    parts = [_best(questions[at : at + step] @ block.T, ids, k) for at in range(0, len(questions), step)]
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
@@ -143,7 +171,8 @@ def _stream_search(vectors: DataFrame, question_ids: np.ndarray, questions: np.n
 
 
 def _grid_search(vectors: DataFrame, questions: DataFrame, k: int, rows: int, asked: int, fragment: int) -> DataFrame:
-    down, across = max(1, math.ceil(rows / fragment)), max(1, math.ceil(asked / fragment))
+    # Few fragments of vectors: each of them hands on k rows per question.
+    down, across = max(1, math.ceil(rows / (VECTOR_SHARE * fragment))), max(1, math.ceil(asked / fragment))
     left = vectors.select(
         F.pmod(F.xxhash64("vec_id"), F.lit(down)).alias("r"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))).alias("c"),
@@ -181,7 +210,7 @@ def nearest(
     arrays of one dimension.  Filters belong on ``vectors`` before the call, so
     they reach the scan.  Ties are resolved by the smaller ``vec_id``.
 
-    ``fragment`` is the size of a cell's sides on small tables. Cells grow with
+    ``fragment`` is the size of a cell's question side on small tables. Cells grow with
     the tables up to ``FRAGMENT_ROWS``, as each row travels to every cell of
     its row or column; all pairs are compared at any size.
     """

@@ -156,3 +156,17 @@ def test_bootstrap_makes_the_deltas_once(spark):
     deltas, made = counted(spark, spark.createDataFrame([(str(i), 0.1 * i, 1) for i in range(10)], "group_key string, delta double, n long"), "group_key")
     report = folds.bootstrap_report(deltas, draws=20).first()
     assert report.group_count == 10 and made.value == 10
+
+
+def test_only_scores_near_the_best_are_ordered(monkeypatch):
+    rng = np.random.default_rng(5)
+    scores = np.round(rng.normal(size=(7, 9000)), 2)  # with many ties
+    scores[0] = 0.5
+    ids = rng.permutation(9000).astype(np.int64)
+    wanted = [sorted(zip(-row, ids))[:20] for row in scores]
+    widths, leaders = [], vectors._leaders
+    monkeypatch.setattr(vectors, "_leaders", lambda s, i, k: widths.append(s.shape[1]) or leaders(s, i, k))
+    found, best = vectors._best(scores, ids, 20)
+    assert [list(zip(-s, i)) for s, i in zip(best, found)] == wanted
+    vectors._best(rng.normal(size=(7, 9000)), ids, 20)
+    assert widths[-1] < 900
