@@ -152,6 +152,13 @@ def test_anti_joins_make_the_records_once(spark):
         assert found.columns == frame.columns and {r.text for r in found.collect()} == wanted and made.value <= len(rows)
 
 
+def test_report_makes_the_records_once(spark):
+    documents = spark.createDataFrame([(i, f"Điều 1. Tên {i}\n1. Nội dung\na) thêm") for i in range(12)], "doc_id long, cleaned_text string").withColumn("law_name", F.lit("l")).withColumn("source", F.lit("s"))
+    records, made = counted(spark, chunking.chunk_records(documents), "text")
+    report = audit.validation_report(documents, records).first()
+    assert report.document_count == report.parent_count == 12 and made.value == report.chunk_count + 12
+
+
 def test_bootstrap_makes_the_deltas_once(spark):
     deltas, made = counted(spark, spark.createDataFrame([(str(i), 0.1 * i, 1) for i in range(10)], "group_key string, delta double, n long"), "group_key")
     report = folds.bootstrap_report(deltas, draws=20).first()
