@@ -108,17 +108,9 @@ def similar_sets(
     homes = homes.join(met.select(*scope, right_id).distinct(), [*scope, right_id], "left_semi")
     homes = homes.withColumn("_part", F.pmod(F.xxhash64(right_id), F.ceil(crowd / BLOCK_SETS)))
     least = F.array_min(F.transform("_b", lambda t: F.xxhash64(t)))
-    blocks = (
-        wanted(two, right_id, "_b").withColumn("_home", least).join(homes, [*scope, right_id, "_home"])
-        .groupBy(*home).agg(F.collect_list(F.struct(right_id, "_b")).alias("_sets"))
-    )
+    beside = wanted(two, right_id, "_b").withColumn("_home", least).join(homes, [*scope, right_id, "_home"])
     partners = met.join(homes, [*scope, right_id]).groupBy(*scope, left_id, "_home", "_part").agg(F.collect_set(right_id).alias("_partners"))
-    told = partners.join(wanted(one, left_id, "_a"), [*scope, left_id]).join(blocks, home)
-    checked = F.transform(
-        F.filter("_sets", lambda b: F.array_contains("_partners", b[right_id])),
-        lambda b: F.struct(b[right_id].alias(right_id), F.size(F.array_intersect("_a", b["_b"])).alias("common"), F.size(b["_b"]).alias("nb")),
-    )
-    pairs = told.select(*scope, left_id, F.size("_a").alias("na"), F.explode(checked).alias("p")).select(*scope, left_id, "na", "p.*")
-    similarity = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-    found = pairs.select(*scope, left_id, right_id, "common", similarity.alias("similarity"))
+    told = partners.join(wanted(one, left_id, "_a"), [*scope, left_id]).join(beside, home).where(F.array_contains("_partners", F.col(right_id)))
+    common: Column = F.size(F.array_intersect("_a", "_b"))
+    found = told.select(*scope, left_id, right_id, common.alias("common"), (common / (F.size("_a") + F.size("_b") - common)).alias("similarity"))
     return found.where(F.col("similarity") >= threshold)
